@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from plait.llm.common import table
 from plait.llm.exact_dedup import groups_of_equal_texts
+from plait.llm.sharding import shard_documents
 from plait.llm.topk_search import exact_top_k
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return groups_of_equal_texts(docs, keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -19,7 +24,7 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_topk, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_exact_topk, op8_sharding, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_topk": """
