@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plait.llm import byte_bpe
 from plait.llm.common import table
 from plait.llm.exact_dedup import groups_of_equal_texts
 from plait.llm.sharding import shard_documents
@@ -20,11 +22,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups_of_equal_texts(docs, keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_topk, op8_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_exact_topk, op8_sharding, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_topk": """
