@@ -11,6 +11,7 @@ from plait.llm.common import table
 from plait.llm.exact_dedup import groups_of_equal_texts
 from plait.llm.sharding import shard_documents
 from plait.llm.simhash import simhash_components
+from plait.llm.substring_dedup import substring_dedup
 from plait.llm.topk_search import exact_top_k
 
 
@@ -18,6 +19,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), width=3)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(table(spark, sf_dir, "documents"), width=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
@@ -36,7 +42,7 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_exact_topk, op6_simhash, op8_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_exact_topk, op6_simhash, op7_substring_dedup, op8_sharding, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_topk": """
@@ -51,6 +57,25 @@ ORACLE_SQL = {
         SELECT query_id, row_number() OVER w AS rank, vec_id, score FROM s
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20
     """,
+    "op7_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), starts AS (
+            SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d
+        ), windows AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY sha256(array_to_string(w[i:i + 34], ' '))) AS n FROM starts
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM windows WHERE n > 1
+        ), words AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n
+            FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+               sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
