@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from plait.llm.common import arrow_map
 
 #: Words a query takes, words kept by a worker, and bytes from which a pre-token goes to the heap.
-WORDS, CACHE, LONG = 25_000, 400_000, 256
+WORDS, CACHE, LONG = 60_000, 800_000, 256
 
 #: positions: word, position, the next position, token, the next token. A word keeps its rows of every round r.
 ENCODE = """
@@ -83,7 +83,7 @@ class Codec:
         ]
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "token": pa.array([m for _, m in pairs], pa.int64())})
         vocabulary = pa.table({"t": pa.array(list(self.bytes_of), pa.int32()), "hex": [b.hex() for b in self.bytes_of.values()]})
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": tempfile.gettempdir(), "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "320MB", "temp_directory": tempfile.gettempdir(), "preserve_insertion_order": False})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -141,9 +141,10 @@ class Codec:
             offer(i)
         return [self.ranks[p] for p in parts if p]
 
-    def learn(self, words: Iterable[str]) -> dict[str, tuple[str, int, bytes]]:
-        """(ids as text, their number, the bytes they decode to) of at least these words."""
-        wanted = set(words)
+    def learn(self, texts: Iterable[list[str]]) -> dict[str, tuple[str, int, bytes]]:
+        """(ids as text, their number, the bytes they decode to) of at least the words of these texts."""
+        wanted = set()
+        wanted.update(*texts)
         todo = list(wanted.difference(self.known))
         if len(self.known) + len(todo) > CACHE:
             self.known, todo = {}, list(wanted)
@@ -186,11 +187,11 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, at: int
     for batch in batches:
         texts = batch.column(at).to_pylist()
         words = [cut.findall(t) if t else [] for t in texts]
-        known = bpe.learn(w for ws in words for w in ws)
-        hits = [[known[w] for w in ws] for ws in words]
-        n = pa.array([sum([h[1] for h in row]) for row in hits], pa.int64())
-        ids = [" ".join([h[0] for h in row]) for row in hits]
-        raw = [b"".join([h[2] for h in row]) for row in hits]
+        known = bpe.learn(words)
+        hits = [list(map(known.__getitem__, ws)) for ws in words]
+        n = pa.array([sum([x for _, x, _ in row]) for row in hits], pa.int64())
+        ids = [" ".join([x for x, _, _ in row]) for row in hits]
+        raw = [b"".join([x for _, _, x in row]) for row in hits]
         if digests:
             made = [pa.array([hashlib.sha256(i.encode()).hexdigest() for i in ids]), pa.array([hashlib.sha256(r).hexdigest() for r in raw])]
         else:
