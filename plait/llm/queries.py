@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm import byte_bpe
+from plait.llm import byte_bpe, quality
 from plait.llm.common import table
 from plait.llm.exact_dedup import groups_of_equal_texts
 from plait.llm.sharding import shard_documents
@@ -38,11 +38,17 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), quality.grade_of_labels())
+    return quality.score(docs, model).drop("text")
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_exact_topk, op6_simhash, op7_substring_dedup, op8_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_exact_topk, op6_simhash, op7_substring_dedup, op8_sharding, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_topk": """
