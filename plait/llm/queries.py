@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 from plait.llm import byte_bpe, quality
 from plait.llm.common import table
 from plait.llm.exact_dedup import groups_of_equal_texts
+from plait.llm.mixing import mix_plan
 from plait.llm.sharding import shard_documents
 from plait.llm.simhash import simhash_components
 from plait.llm.substring_dedup import substring_dedup
 from plait.llm.topk_search import exact_top_k
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents"), target_entropy=0.97, repetition=4.0)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), width=3)
 
@@ -48,7 +53,7 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_exact_topk, op6_simhash, op7_substring_dedup, op8_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_exact_topk, op5_mixing, op6_simhash, op7_substring_dedup, op8_sharding, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_topk": """
