@@ -13,9 +13,16 @@ from plait.llm.mixing import mix_plan
 from plait.llm.sharding import shard_documents
 from plait.llm.simhash import simhash_components
 from plait.llm.substring_dedup import substring_dedup
+from plait.llm.token_output import training_order
 from plait.llm.topk_search import exact_top_k
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ordered = training_order(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return ordered.select("slot", "shard", "offset", "doc_id", "seq", "n_tokens", F.sha2("record", 256).alias("record_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"), target_entropy=0.97, repetition=4.0)
 
@@ -53,7 +60,7 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_exact_topk, op5_mixing, op6_simhash, op7_substring_dedup, op8_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_exact_topk, op4_token_output, op5_mixing, op6_simhash, op7_substring_dedup, op8_sharding, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_topk": """
