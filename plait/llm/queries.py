@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plait.llm import byte_bpe, quality
+from plait.llm.chat_format import REPLY, link_tool_calls, turns_as_calls
 from plait.llm.common import table
 from plait.llm.exact_dedup import groups_of_equal_texts
 from plait.llm.mixing import mix_plan
@@ -40,6 +41,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(turns_as_calls(table(spark, sf_dir, "conversations")), REPLY)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return groups_of_equal_texts(docs, keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -60,7 +65,7 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_exact_topk, op4_token_output, op5_mixing, op6_simhash, op7_substring_dedup, op8_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_exact_topk, op4_token_output, op5_mixing, op6_simhash, op7_substring_dedup, op8_sharding, op9_chat_format, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_topk": """
@@ -94,6 +99,26 @@ ORACLE_SQL = {
                sha256(coalesce(text, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)
     """,
+    "op9_chat_format": """
+        WITH m AS (
+            SELECT conv_id, turn, role, text, role = 'user' AS is_call,
+                   CASE WHEN role = 'assistant' THEN turn - 1 END AS asked FROM conversations
+        ), calls AS (SELECT DISTINCT conv_id, turn FROM m WHERE is_call),
+        answers AS (SELECT DISTINCT conv_id, asked FROM m WHERE asked IS NOT NULL)
+        SELECT m.conv_id, m.turn, m.role, c.turn AS call_turn, is_call::BIGINT AS n_calls,
+               (is_call AND a.conv_id IS NOT NULL)::BIGINT AS n_answered,
+               CASE WHEN is_call AND text IS NULL THEN 'prompt: missing' WHEN is_call AND length(text) > 400 THEN 'prompt: too long'
+                    WHEN is_call AND text = '' THEN 'prompt: too short' ELSE '' END AS errors,
+               coalesce(c.turn, m.turn) AS order_turn, (c.turn IS NOT NULL)::BIGINT AS depth,
+               '{"content":' || CASE WHEN is_call OR text IS NULL THEN 'null' ELSE to_json(text)::VARCHAR END
+               || ',"role":' || to_json(m.role)::VARCHAR
+               || CASE WHEN c.turn IS NOT NULL THEN ',"tool_call_id":"call:' || m.asked || '"' ELSE '' END
+               || CASE WHEN is_call THEN ',"tool_calls":[{"arguments":{' ||
+                      CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || to_json(text)::VARCHAR || ',' END
+                      || '"turn":' || m.turn || '},"id":"call:' || m.turn || '","name":"reply"}]' ELSE '' END || '}' AS message
+        FROM m LEFT JOIN calls c ON m.conv_id = c.conv_id AND m.asked = c.turn
+        LEFT JOIN answers a ON m.conv_id = a.conv_id AND m.turn = a.asked
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
