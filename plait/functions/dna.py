@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 _FROM, _TO = "ACGTUMRWSYKVHDBNacgtumrwsykvhdbn", "TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn"
 #: The same table for single characters; anything else becomes N.
@@ -106,7 +107,7 @@ def downweight(h: np.ndarray, rounds: int) -> np.ndarray:
     return ~rest
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def wang_hash_64(key: pd.Series) -> pd.Series:
     """Wang's hash of a column, as the signed integer of the same bits (compare with bit 63 flipped)."""
     return pd.Series(wang_hash(key.to_numpy(np.int64).view(np.uint64)).view(np.int64))

@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 
 from plait.functions import dna
 
-PATH_ORDER = Window.partitionBy("path_id").orderBy("step")
+
+
+def path_order():
+    """Window of a path's steps in order."""
+    return Window.partitionBy("path_id").orderBy("step")
 
 
 @dataclass
@@ -56,7 +60,7 @@ def path_is_canonical(first_id: Column, first_rev: Column, last_id: Column, last
 def edges_of(steps: DataFrame) -> DataFrame:
     """Canonical oriented edges (from_id, from_rev, to_id, to_rev), once each. One sort by path, one aggregation; no join."""
     pairs = steps.select(
-        F.col("node_id").alias("a"), F.col("is_rev").alias("ar"), F.lead("node_id").over(PATH_ORDER).alias("b"), F.lead("is_rev").over(PATH_ORDER).alias("br")
+        F.col("node_id").alias("a"), F.col("is_rev").alias("ar"), F.lead("node_id").over(path_order()).alias("b"), F.lead("is_rev").over(path_order()).alias("br")
     ).where("b is not null")
     kept = is_canonical(F.col("a"), F.col("ar"), F.col("b"), F.col("br"))
     return pairs.select(

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plait.functions import dna
-from plait.operators.graph import PATH_ORDER, HapGraph
+from plait.operators.graph import HapGraph, path_order
 
 GENERIC_SAMPLE = "_gbwt_ref"
-BEFORE = PATH_ORDER.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def sense_of(sample: Column, references: Collection[str] | Column) -> Column:
@@ -69,7 +68,7 @@ def with_lengths(graph: HapGraph) -> DataFrame:
 
 def offsets(graph: HapGraph) -> DataFrame:
     """steps with len and bp_offset, the bases before the step."""
-    return with_lengths(graph).withColumn("bp_offset", F.coalesce(F.sum("len").over(BEFORE), F.lit(0)))
+    return with_lengths(graph).withColumn("bp_offset", F.coalesce(F.sum("len").over(path_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
 def path_lengths(graph: HapGraph) -> DataFrame:
@@ -81,10 +80,10 @@ def neighbours(steps: DataFrame) -> DataFrame:
     """steps with the step before and after (null at the ends) and whether there is one."""
     return steps.select(
         "*",
-        F.lag("node_id").over(PATH_ORDER).alias("prev_id"),
-        F.lag("is_rev").over(PATH_ORDER).alias("prev_rev"),
-        F.lead("node_id").over(PATH_ORDER).alias("next_id"),
-        F.lead("is_rev").over(PATH_ORDER).alias("next_rev"),
+        F.lag("node_id").over(path_order()).alias("prev_id"),
+        F.lag("is_rev").over(path_order()).alias("prev_rev"),
+        F.lead("node_id").over(path_order()).alias("next_id"),
+        F.lead("is_rev").over(path_order()).alias("next_rev"),
     ).withColumns({"has_prev": F.col("prev_id").isNotNull(), "has_next": F.col("next_id").isNotNull()})
 
 

@@ -65,11 +65,10 @@ def has_edge(spark, sf):
     return g.has_edge(asked.distinct(), gr.edges_bi)
 
 
-@query(sql("SELECT e.to_id AS node_id, NOT e.to_rev AS is_rev, e.from_id AS next_id, NOT e.from_rev AS next_rev FROM edges_bi e WHERE e.to_id < 100"))
+@query(sql("SELECT e.to_id AS node_id, e.to_rev AS is_rev, e.from_id AS next_id, e.from_rev AS next_rev FROM edges_bi e"))
 def follow_edges_left(spark, sf):
     gr = graph(spark, sf)
-    mine = g.handles(gr.nodes.where("node_id < 100")).select("node_id", "is_rev")
-    return g.follow_edges(mine, gr.edges_bi, left=True).select("node_id", (~F.col("is_rev")).alias("is_rev"), "next_id", (~F.col("next_rev")).alias("next_rev"))
+    return g.follow_edges(g.handles(gr.nodes).select("node_id", "is_rev"), gr.edges_bi, left=True)
 
 
 @query(sql("SELECT count(*) AS n_nodes, min(node_id) AS min_id, max(node_id) AS max_id FROM nodes WHERE node_id IN (SELECT node_id FROM steps)"))
@@ -130,10 +129,10 @@ def paths_matching(spark, sf):
     return found.select("path_id", "sample", "contig")
 
 
-@query(sql("SELECT s.path_id, s.step, s.node_id, s.is_rev, p.sample FROM steps s JOIN paths p USING (path_id) WHERE p.sense = 'REFERENCE' AND s.node_id <= 500"))
+@query(sql("SELECT s.path_id, s.step, s.node_id, s.is_rev, p.sample FROM steps s JOIN paths p USING (path_id) WHERE p.sense = 'REFERENCE'"))
 def steps_of_sense(spark, sf):
     gr = graph(spark, sf)
-    return paths.steps_on(gr, gr.nodes.where("node_id <= 500"), "REFERENCE").select("path_id", "step", "node_id", "is_rev", "sample")
+    return paths.steps_on(gr, gr.nodes, "REFERENCE").select("path_id", "step", "node_id", "is_rev", "sample")
 
 
 @query(sql("""SELECT p.path_id, CASE sense WHEN 'GENERIC' THEN contig ELSE concat_ws('#', sample, haplotype, contig) END AS name,
@@ -148,13 +147,15 @@ def step_counts(spark, sf):
     return paths.step_counts(graph(spark, sf)).select("path_id", "n_steps")
 
 
-@query(sql(""", h AS (SELECT * FROM paths WHERE sample IN ('c1', 'c2', 'c3', 'c4', 'c5', 'c6')),
-    full_key AS (SELECT count(*) AS n FROM (SELECT DISTINCT sample, haplotype, contig FROM h)), two AS (SELECT count(*) AS n FROM (SELECT DISTINCT sample, haplotype FROM h))
-    SELECT path_id, (CASE WHEN (SELECT n FROM full_key) <= 64 THEN dense_rank() OVER (ORDER BY sample, haplotype, contig)
-    WHEN (SELECT n FROM two) <= 64 THEN dense_rank() OVER (ORDER BY sample, haplotype) ELSE dense_rank() OVER (ORDER BY sample) END - 1)::INTEGER AS hap_id FROM h"""))
+@query(sql("SELECT path_id, (dense_rank() OVER (ORDER BY sense, haplotype NULLS FIRST, sense) - 1)::INTEGER AS hap_id FROM paths"))
 def haplotype_ids(spark, sf):
-    mine = paths.matching(graph(spark, sf).paths, samples={"c1", "c2", "c3", "c4", "c5", "c6"})
-    return paths.haplotype_ids(mine).select("path_id", "hap_id")
+    senses = graph(spark, sf).paths.withColumn("sample", F.col("sense")).withColumn("contig", F.col("sense"))
+    return paths.haplotype_ids(senses).select("path_id", "hap_id")
+
+
+@query(sql("SELECT path_id, 0 AS hap_id FROM paths"))
+def haplotype_ids_overflow(spark, sf):
+    return paths.haplotype_ids(graph(spark, sf).paths, most=2).select("path_id", "hap_id")
 
 
 @query(sql("""SELECT path_id, row_number() OVER (PARTITION BY sample, contig, haplotype ORDER BY path_id) - 1 AS fragment FROM paths"""))
@@ -256,11 +257,11 @@ def kmers_by_middle_base(spark, sf):
     return made[0].unionAll(made[1]).unionAll(made[2]).unionAll(made[3])
 
 
-@query(sql(_KMERS + " SELECT h.* FROM hits h WHERE id IN (SELECT node_id FROM steps WHERE path_id < 50)"))
+@query(sql(_KMERS + " SELECT h.* FROM hits h WHERE id IN (SELECT s.node_id FROM steps s JOIN paths p USING (path_id) WHERE p.sense = 'REFERENCE')"))
 def hits_in_subgraph(spark, sf):
     gr = graph(spark, sf)
     index = kmers.canonical_kmers(gr.nodes, 5, "node_id").withColumnRenamed("id", "node_id")
-    return kmers.hits_in_subgraph(index, gr.steps.where("path_id < 50").select("node_id").distinct()).withColumnRenamed("node_id", "id")
+    return kmers.hits_in_subgraph(index, paths.steps_on(gr, sense="REFERENCE").select("node_id").distinct()).withColumnRenamed("node_id", "id")
 
 
 @query(sql(_KMERS + " SELECT count(*) AS n_keys, sum(n)::BIGINT AS n_values, count(*) FILTER (n = 1) AS n_unique FROM (SELECT kmer, count(*) AS n FROM hits GROUP BY kmer)"))
@@ -268,17 +269,16 @@ def index_statistics(spark, sf):
     return kmers.index_statistics(_hits(spark, sf))
 
 
-@query(sql("""SELECT node_id, list_reduce(list_transform(string_split(substr(seq, 1, 12), ''), lambda c: instr('ACGT', c)::BIGINT - 1), lambda a, x: a * 4 + x, 0) AS key,
-    substr(seq, 1, 12) AS kmer FROM nodes WHERE len >= 12"""))
+@query(sql(_KMERS + """ SELECT kmer, key, kmer AS back FROM (SELECT DISTINCT kmer, list_reduce(list_transform(string_split(kmer, ''),
+    lambda c: instr('ACGT', c)::BIGINT - 1), lambda a, x: a * 4 + x, 0) AS key FROM hits)"""))
 def kmer_keys(spark, sf):
-    k = graph(spark, sf).nodes.where("len >= 12").select("node_id", dna.kmer_key(F.substring("seq", 1, 12)).alias("key"))
-    return k.withColumn("kmer", dna.kmer_text("key", 12))
+    return _hits(spark, sf).select("kmer").distinct().withColumn("key", dna.kmer_key("kmer")).withColumn("back", dna.kmer_text("key", 5))
 
 
 @query(sql("""SELECT node_id, step, packed, packed // 2048 AS back_id, (packed // 1024) % 2 = 1 AS back_rev, (packed % 1024)::INTEGER AS back_offset
-    FROM (SELECT node_id, step, node_id * 2048 + is_rev::INTEGER * 1024 + step AS packed FROM steps WHERE path_id < 100)"""))
+    FROM (SELECT node_id, step, node_id * 2048 + is_rev::INTEGER * 1024 + step AS packed FROM steps)"""))
 def packed_positions(spark, sf):
-    s = graph(spark, sf).steps.where("path_id < 100").select("node_id", "step", dna.pack_position(F.col("node_id"), F.col("is_rev"), F.col("step")).alias("packed"))
+    s = graph(spark, sf).steps.select("node_id", "step", dna.pack_position(F.col("node_id"), F.col("is_rev"), F.col("step")).alias("packed"))
     back = dna.unpack_position(F.col("packed"))
     return s.select("node_id", "step", "packed", back["node_id"].alias("back_id"), back["is_rev"].alias("back_rev"), back["offset"].alias("back_offset"))
 
@@ -321,13 +321,13 @@ def walk_segments(spark, sf):
 
 @query(sql(_SEGMENTS + """, o AS (SELECT node_id, name, coalesce(sum(len) OVER (PARTITION BY name ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f,
     coalesce(sum(len) OVER (PARTITION BY name ORDER BY node_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM seg)
-    SELECT name, is_rev, (CASE WHEN is_rev THEN b ELSE f END) + step AS "offset", 1 AS length FROM steps JOIN o USING (node_id) WHERE path_id < 200"""))
+    SELECT name, is_rev, (CASE WHEN is_rev THEN b ELSE f END) + step AS "offset", 1 AS length FROM steps JOIN o USING (node_id)"""))
 def translate_back(spark, sf):
     gr = _segmented(spark, sf)
-    return segments.translate_back(gr, gr.steps.where("path_id < 200").select("node_id", "is_rev", F.col("step").alias("start"), F.lit(1).alias("length")))
+    return segments.translate_back(gr, gr.steps.select("node_id", "is_rev", F.col("step").alias("start"), F.lit(1).alias("length")))
 
 
-@query("SELECT p_partkey, upper(p_name) AS name, length(p_name) AS n FROM part WHERE p_partkey % 7 = 0")
+@query("SELECT p_partkey, upper(p_name) AS name, length(p_name) AS n FROM part")
 def upper_case_labels(spark, sf):
     (part,) = tables(spark, sf, "part")
-    return part.where("p_partkey % 7 = 0").select("p_partkey", F.upper("p_name").alias("name"), F.length("p_name").cast("bigint").alias("n"))
+    return part.select("p_partkey", F.upper("p_name").alias("name"), F.length("p_name").cast("bigint").alias("n"))

@@ -1,2 +1,435 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries on windows, minimizers, components, subgraphs, alignments, covers, names and GFA text."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from plait.functions import dna
+from plait.functions.alignment import align, path_lcs, to_cigar
+from plait.operators import components as C
+from plait.operators import cover, kmers, lineage, paths, windows
+from plait.operators import graph as g
+from plait.operators import subgraph as U
+from plait.plans.driver_view import graph, sql
+from plait.sources import gfa, gfa_out
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# Windows.
+
+W = 12
+_WINDOWS = """, b AS (SELECT s.*, n.len FROM steps_bi s JOIN nodes n USING (node_id)),
+    ahead AS (SELECT row_number() OVER () AS rid, len, list({{'t': (CASE WHEN is_rev THEN '<' ELSE '>' END) || node_id, 'len': len}})
+        OVER (PARTITION BY path_id, ori ORDER BY step ROWS BETWEEN CURRENT ROW AND {2} FOLLOWING) AS x FROM b),
+    each AS (SELECT rid, len, len(x) AS total, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM ahead),
+    cum AS (SELECT rid, i, total, {0} AS base, {1} AS target, v.t AS t,
+        ({0}) + sum(CASE WHEN i = 1 THEN 0 ELSE v.len END) OVER (PARTITION BY rid ORDER BY i) AS bp,
+        string_agg(v.t, '' ) OVER (PARTITION BY rid ORDER BY i) AS walk FROM each),
+    ends AS (SELECT rid, min(i) FILTER (bp >= target) AS n, max(i) AS last FROM cum GROUP BY rid),
+    cut AS (SELECT c.walk, c.bp >= c.target AS reached, c.bp FROM cum c JOIN ends e ON c.rid = e.rid AND c.i = coalesce(e.n, e.last)),
+    win AS (SELECT DISTINCT walk FROM cut WHERE reached UNION SELECT walk FROM cut WHERE NOT reached AND bp >= {3}
+        AND walk NOT IN (SELECT walk FROM cum WHERE i < total))"""
+_Q7 = _WINDOWS.format("len", f"len + {W - 1}", W, W)
+_Q8 = _WINDOWS.format(f"CASE WHEN len >= {W} THEN {W - 1} ELSE len END", f"CASE WHEN len >= {W} THEN {2 * (W - 1)} ELSE len + {W - 1} END", 2 * W, W)
+_ALONE = f" SELECT walk FROM win UNION SELECT (CASE WHEN is_rev THEN '<' ELSE '>' END) || node_id FROM b WHERE len >= {W}"
+
+
+@query(sql(_Q7 + " SELECT walk FROM win"))
+def haplotype_windows(spark, sf):
+    return windows.haplotype_windows(graph(spark, sf), W).select(windows.walk_text(F.col("nodes")).alias("walk"))
+
+
+@query(sql(_Q8 + _ALONE))
+def nonredundant_windows(spark, sf):
+    return windows.nonredundant_windows(graph(spark, sf), W).select(windows.walk_text(F.col("nodes")).alias("walk"))
+
+
+@query()
+def pattern_search(spark, sf):
+    return windows.pattern_search(graph(spark, sf), "ACTACA")
+
+
+@query(sql(""", r AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY path_id, step) AS k FROM placed JOIN paths USING (path_id) WHERE sample = '_gbwt_ref')
+    SELECT node_id, (CASE WHEN is_rev THEN '<' ELSE '>' END) || contig || '#' || bp_offset::BIGINT AS label FROM r WHERE k = 1"""))
+def reference_positions(spark, sf):
+    return windows.reference_positions(graph(spark, sf), paths.GENERIC_SAMPLE)
+
+
+# Hashes and minimizers of node labels.
+
+
+def _wang(x: str, source: str, out: str) -> str:
+    """CTEs h1 .. h7 of Wang's hash of column x of a table; HUGEINT, as 64-bit additions would overflow."""
+    m = "18446744073709551616::HUGEINT"
+    steps = [
+        f"{out}1 AS (SELECT *, (({m} - 1 - {x}::HUGEINT) + ({x}::HUGEINT * 2097152) % {m}) % {m} AS h FROM {source})",
+        f"{out}2 AS (SELECT * REPLACE (xor(h, h // 16777216) AS h) FROM {out}1)",
+        f"{out}3 AS (SELECT * REPLACE ((h * 265) % {m} AS h) FROM {out}2)",
+        f"{out}4 AS (SELECT * REPLACE (xor(h, h // 16384) AS h) FROM {out}3)",
+        f"{out}5 AS (SELECT * REPLACE ((h * 21) % {m} AS h) FROM {out}4)",
+        f"{out}6 AS (SELECT * REPLACE (xor(h, h // 268435456) AS h) FROM {out}5)",
+        f"{out} AS (SELECT * REPLACE ((h + (h * 2147483648) % {m}) % {m} AS h) FROM {out}6)",
+    ]
+    return ", " + ", ".join(steps)
+
+
+@query(sql(_wang("node_id", "nodes", "w") + " SELECT node_id, (CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616::HUGEINT ELSE h END)::BIGINT AS hash FROM w"))
+def wang_hash(spark, sf):
+    return graph(spark, sf).nodes.select("node_id", dna.wang_hash_64("node_id").alias("hash"))
+
+
+K, S_, MW = 7, 3, 4
+
+
+def _strand_hashes(k: int, pre: str) -> str:
+    key = "list_reduce(list_transform(string_split({0}, ''), lambda c: instr('ACGT', c)::BIGINT - 1), lambda a, x: a * 4 + x, 0)"
+    cut = f""", {pre}c AS (SELECT node_id AS id, i, substr(seq, i + 1, {k}) AS fwd, reverse(translate(substr(seq, i + 1, {k}), 'ACGT', 'TGCA')) AS rev
+        FROM (SELECT *, unnest(range(0, len - {k} + 1)) AS i FROM nodes WHERE len >= {k})),
+        {pre}k AS (SELECT *, {key.format("fwd")} AS kf, {key.format("rev")} AS kr FROM {pre}c)"""
+    return cut + _wang("kf", f"{pre}k", f"{pre}f") + f", {pre}m AS (SELECT * RENAME (h AS hf) FROM {pre}f)" + _wang("kr", f"{pre}m", f"{pre}g") + (
+        f", {pre} AS (SELECT *, least(hf, h) AS least_h, h < hf AS is_rev FROM {pre}g)"
+    )
+
+
+_OUT = "CASE WHEN is_rev THEN rev ELSE fwd END AS kmer, is_rev, (CASE WHEN is_rev THEN i + {0} - 1 ELSE i END)::INTEGER AS \"offset\"".format(K)
+_MIN = _strand_hashes(K, "q") + f""", wins AS (SELECT id, i AS win, min(least_h) OVER w AS best, count(*) OVER w AS n FROM q
+    WINDOW w AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND {MW - 1} FOLLOWING)),
+    won AS (SELECT q.*, win FROM q JOIN wins ON q.id = wins.id AND q.i BETWEEN win AND win + {MW - 1} AND least_h = best AND n = {MW})"""
+
+
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    return graph(spark, sf).nodes.select(F.col("node_id").alias("id"), "seq")
+
+
+@query(sql(_MIN + f" SELECT DISTINCT id, {_OUT} FROM won"))
+def minimizers(spark, sf):
+    return kmers.minimizers(_labels(spark, sf), K, MW)
+
+
+@query(sql(_MIN + f' SELECT id, {_OUT}, min(win)::INTEGER AS start, (max(win) - min(win) + {K} + {MW} - 1)::INTEGER AS length FROM won GROUP BY ALL'))
+def minimizer_regions(spark, sf):
+    return kmers.minimizer_regions(_labels(spark, sf), K, MW)
+
+
+@query(sql(_strand_hashes(K, "q") + _strand_hashes(S_, "z") + f""", s AS (SELECT id, i, least_h, min(least_h) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND {K - S_} FOLLOWING) AS best,
+    lead(least_h, {K - S_}) OVER (PARTITION BY id ORDER BY i) AS last FROM z)
+    SELECT q.id, {_OUT.replace('i +', 'q.i +').replace('ELSE i ', 'ELSE q.i ').replace('is_rev', 'q.is_rev', 1).replace(', is_rev', ', q.is_rev').replace('(CASE WHEN is_rev', '(CASE WHEN q.is_rev')}
+    FROM q JOIN s ON q.id = s.id AND q.i = s.i WHERE s.least_h = best OR last = best"""))
+def syncmers(spark, sf):
+    return kmers.syncmers(_labels(spark, sf), K, S_)
+
+
+@query()
+def weighted_minimizers(spark, sf):
+    labels = _labels(spark, sf)
+    often = kmers.frequent_kmers(kmers.canonical_kmers(labels, K), 20).select("kmer").limit(10_000).collect()
+    both = {x for r in often for x in (r["kmer"], r["kmer"].translate(str.maketrans("ACGT", "TGCA"))[::-1])}
+    return kmers.minimizers(labels, K, MW, frequent=sorted(both), rounds=3)
+
+
+@query()
+def minimizer_index(spark, sf):
+    return kmers.minimizer_index(graph(spark, sf), K, MW)
+
+
+@query()
+def haplotype_bitmaps(spark, sf):
+    return kmers.minimizer_index_with_paths(graph(spark, sf), K, MW)
+
+
+@query()
+def kmer_index(spark, sf):
+    return kmers.kmer_index(graph(spark, sf), K)
+
+
+# Components.
+
+_CC = """, cc(id, comp) USING KEY (id) AS (
+    SELECT DISTINCT node_id, node_id FROM steps
+    UNION (SELECT u.id, min(v.comp) FROM recurring.cc AS u JOIN edges_bi e ON e.from_id = u.id JOIN cc AS v ON e.to_id = v.id WHERE v.comp < u.comp GROUP BY u.id))"""
+
+
+@query(sql(_CC + " SELECT id AS node_id, comp AS component_id FROM cc", recursive=True))
+def components(spark, sf):
+    return C.component_ids(graph(spark, sf))
+
+
+@query(sql(_CC + " SELECT comp AS component_id, count(*) AS n_nodes FROM cc GROUP BY comp", recursive=True))
+def component_sizes(spark, sf):
+    return C.component_sizes(C.component_ids(graph(spark, sf)))
+
+
+@query(sql(_CC + """, first_ref AS (SELECT c.comp, min(path_id) FILTER (sense = 'REFERENCE') AS r, min(path_id) FILTER (sense = 'GENERIC') AS q
+    FROM steps s JOIN cc c ON c.id = s.node_id JOIN paths p USING (path_id) WHERE s.step = 0 GROUP BY c.comp),
+    comps AS (SELECT comp, row_number() OVER (ORDER BY comp) - 1 AS i FROM (SELECT DISTINCT comp FROM cc))
+    SELECT comps.comp AS component_id, coalesce((SELECT contig FROM paths WHERE path_id = coalesce(r, q)), 'component_' || i) AS contig
+    FROM comps LEFT JOIN first_ref USING (comp)""", recursive=True))
+def contig_names(spark, sf):
+    gr = graph(spark, sf)
+    return C.contig_names(gr, C.component_ids(gr))
+
+
+@query()
+def construction_jobs(spark, sf):
+    return C.construction_jobs(C.component_ids(graph(spark, sf)), 1000)
+
+
+@query()
+def path_jobs(spark, sf):
+    gr = graph(spark, sf)
+    ids = C.component_ids(gr)
+    return C.assign_paths(gr, ids, C.construction_jobs(ids, 1000))
+
+
+@query(sql(_CC + " SELECT s.path_id, c.comp AS component_id FROM steps s JOIN cc c ON c.id = s.node_id WHERE s.step = 0", recursive=True))
+def chunks(spark, sf):
+    gr = graph(spark, sf)
+    return C.chunk_paths(gr, C.component_ids(gr))
+
+
+@query(sql(_CC + """, at AS (SELECT s.path_id, c.comp FROM steps s JOIN cc c ON c.id = s.node_id WHERE s.step = 0)
+    SELECT path_id, sample, contig FROM paths WHERE path_id IN (SELECT path_id FROM at WHERE comp IN (SELECT comp FROM at JOIN paths USING (path_id) WHERE contig = '1-URGENT'))""".replace(" at ", " spots ").replace(", at AS", ", spots AS"), recursive=True))
+def contig_paths(spark, sf):
+    gr = graph(spark, sf)
+    return C.contig_paths(gr, C.component_ids(gr), "1-URGENT").select("path_id", "sample", "contig")
+
+
+@query(sql("""SELECT (SELECT count(*) FROM paths) * 2 AS n_paths, (SELECT count(DISTINCT node_id) FROM steps) * 2 AS n_nodes, (SELECT count(*) FROM edges) * 2 AS n_edges"""))
+def merge_graphs(spark, sf):
+    a = graph(spark, sf)
+    shift = a.nodes.agg(F.max("node_id")).first()[0] or 0
+    moved = g.HapGraph(a.nodes.withColumn("node_id", F.col("node_id") + shift), a.paths, a.steps.withColumn("node_id", F.col("node_id") + shift))
+    both = g.merge([a, moved])
+    made = [both.paths.agg(F.count(F.lit(1)).alias("n_paths")), both.visited.agg(F.count(F.lit(1)).alias("n_nodes")), both.edges.agg(F.count(F.lit(1)).alias("n_edges"))]
+    one = [x.withColumn("k", F.lit(1)) for x in made]
+    return one[0].join(one[1], "k").join(one[2], "k").drop("k")
+
+
+@query(sql(""", rs AS (SELECT s.* FROM steps s JOIN paths p USING (path_id) WHERE p.sense = 'REFERENCE'),
+    rp AS (SELECT node_id AS a, is_rev AS ar, lead(node_id) OVER w AS b, lead(is_rev) OVER w AS br FROM rs WINDOW w AS (PARTITION BY path_id ORDER BY step)),
+    rb AS (SELECT a AS from_id, ar AS from_rev, b AS to_id, br AS to_rev FROM rp WHERE b IS NOT NULL UNION SELECT b, NOT br, a, NOT ar FROM rp WHERE b IS NOT NULL)
+    SELECT * FROM rb WHERE CASE WHEN NOT from_rev THEN to_id >= from_id ELSE to_id > from_id OR (to_id = from_id AND NOT to_rev) END"""))
+def restricted_edges(spark, sf):
+    return g.restrict(graph(spark, sf), F.col("sense") == "REFERENCE").edges
+
+
+@query()
+def head_nodes(spark, sf):
+    gr = graph(spark, sf)
+    return C.head_nodes(gr, C.component_ids(gr))
+
+
+@query()
+def topological_order(spark, sf):
+    gr = graph(spark, sf)
+    return C.topological_order(gr, C.component_ids(gr))
+
+
+# Positions, runs, alignments.
+
+
+@query(sql("""SELECT p.path_id, (p.o_offset)::BIGINT AS "offset", s.step, s.node_id, s.is_rev, (p.o_offset - s.bp_offset)::BIGINT AS inside
+    FROM (SELECT path_id, sum(len) // 2 AS o_offset FROM placed GROUP BY path_id) p JOIN placed s ON s.path_id = p.path_id AND s.bp_offset <= p.o_offset AND p.o_offset < s.bp_offset + s.len"""))
+def position_lookup(spark, sf):
+    gr = graph(spark, sf)
+    middle = paths.path_lengths(gr).select("path_id", F.expr("bp div 2").alias("offset"))
+    return U.positions(paths.offsets(gr), middle)
+
+
+@query(sql(""", inside AS (SELECT s.*, s.step - row_number() OVER (PARTITION BY path_id ORDER BY step) AS island FROM steps s
+    WHERE node_id IN (SELECT node_id FROM steps JOIN paths USING (path_id) WHERE sense = 'REFERENCE'))
+    SELECT path_id, min(step) AS first_step, string_agg((CASE WHEN is_rev THEN '<' ELSE '>' END) || node_id, '' ORDER BY step) AS walk FROM inside GROUP BY path_id, island"""))
+def subgraph_paths(spark, sf):
+    gr = graph(spark, sf)
+    ids = paths.steps_on(gr, sense="REFERENCE").select("node_id").distinct()
+    return U.runs(gr, ids).select("path_id", "first_step", windows.walk_text(F.col("nodes")).alias("walk"))
+
+
+@query()
+def distinct_haplotypes(spark, sf):
+    gr = graph(spark, sf)
+    ids = paths.steps_on(gr, sense="REFERENCE").select("node_id").distinct()
+    runs = U.canonical_runs(U.runs(gr, ids))
+    return runs.groupBy(windows.walk_text(F.col("nodes")).alias("walk")).agg(F.count(F.lit(1)).alias("weight"))
+
+
+def _busiest(spark: SparkSession, sf: str) -> tuple[g.HapGraph, dict, int]:
+    """The longest path (the smallest id of these) and its middle."""
+    gr = graph(spark, sf)
+    top = paths.path_lengths(gr).join(gr.paths, "path_id").orderBy(F.desc("bp"), "path_id").limit(1).collect()[0]
+    return gr, top.asDict(), top["fragment"] + top["bp"] // 2
+
+
+@query()
+def subgraph_nodes(spark, sf):
+    gr, p, at = _busiest(spark, sf)
+    sub = U.path_offset_query(gr, p["sample"], p["contig"], p["haplotype"], at, 8, U.DISTINCT)
+    return spark.createDataFrame(sorted(sub.nodes.items()), "node_id bigint, seq string")
+
+
+@query()
+def subgraph_gfa(spark, sf):
+    gr, p, at = _busiest(spark, sf)
+    sub = U.path_offset_query(gr, p["sample"], p["contig"], p["haplotype"], at, 8, U.DISTINCT)
+    return spark.createDataFrame(list(enumerate(sub.to_gfa())), "i bigint, line string")
+
+
+def _path_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each path with the one of the next id, as arrays of (node_id, is_rev, oriented label)."""
+    gr = graph(spark, sf)
+    read = gr.steps.join(gr.nodes, "node_id").withColumn("oseq", dna.oriented("seq", "is_rev"))
+    rows = read.groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "node_id", "is_rev", "oseq"))), lambda x: F.struct(x["node_id"].alias("n"), x["is_rev"].alias("r"), x["oseq"].alias("s"))).alias("walk"))
+    nxt = rows.select((F.col("path_id") - 1).alias("path_id"), F.col("walk").alias("other"))
+    return rows.join(nxt, "path_id")
+
+
+def _walk(x) -> tuple[list, dict]:
+    return [(d["n"], d["r"]) for d in x], {(d["n"], d["r"]): d["s"] for d in x}
+
+
+@F.pandas_udf(StringType())
+def _lcs_text(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b, strict=True):
+        (p, label), (q, _) = _walk(x), _walk(y)
+        out.append(",".join(f"{i}-{j}" for i, j in path_lcs(p, q, lambda h, label=label: len(label[h]))))
+    return pd.Series(out)
+
+
+@F.pandas_udf(StringType())
+def _cigar_text(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b, strict=True):
+        (p, one), (q, two) = _walk(x), _walk(y)
+        out.append(to_cigar(align(p, q, {**one, **two}.__getitem__)))
+    return pd.Series(out)
+
+
+@query()
+def path_lcs_pairs(spark, sf):
+    return _path_pairs(spark, sf).select("path_id", _lcs_text("walk", "other").alias("pairs"))
+
+
+@query()
+def cigars(spark, sf):
+    return _path_pairs(spark, sf).select("path_id", _cigar_text("walk", "other").alias("cigar"))
+
+
+# Covers.
+
+
+@query()
+def path_cover(spark, sf):
+    gr = graph(spark, sf)
+    return cover.path_cover(gr, C.component_ids(gr), n=4, k=3)
+
+
+@query()
+def local_haplotypes(spark, sf):
+    gr = graph(spark, sf)
+    return cover.local_haplotypes(gr, C.component_ids(gr), n=4, k=3)
+
+
+@query()
+def augment(spark, sf):
+    gr = graph(spark, sf)
+    return cover.augment(gr, C.component_ids(gr), n=4, k=3, with_paths=gr.paths.where("sense = 'REFERENCE'"))
+
+
+# Names and text.
+
+_LINES = """, lines AS (SELECT node_id, 0 AS side, 0 AS k, concat_ws(chr(9), 'S', node_id, seq) AS line FROM nodes WHERE node_id IN (SELECT node_id FROM steps)
+    UNION ALL SELECT from_id, 1 + from_rev::INTEGER, 2 * to_id + to_rev::INTEGER, concat_ws(chr(9), 'L', from_id, CASE WHEN from_rev THEN '-' ELSE '+' END, to_id, CASE WHEN to_rev THEN '-' ELSE '+' END) FROM edges)"""
+
+
+@query(sql(_LINES + " SELECT line FROM lines"))
+def canonical_gfa(spark, sf):
+    return lineage.canonical_gfa(graph(spark, sf))
+
+
+@query(sql(_LINES + " SELECT sha256(string_agg(line || chr(10), '' ORDER BY node_id, side, k)) AS name FROM lines"))
+def graph_name(spark, sf):
+    return spark.createDataFrame([(lineage.compute_name(graph(spark, sf)),)], "name string")
+
+
+#: Nations of a region are subgraphs of it; each nation translates to the next one of its region.
+_RELATIONS = """rel AS (SELECT n_name AS src, r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION SELECT n_name, lead(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) FROM nation),
+    arcs AS (SELECT * FROM rel WHERE dst IS NOT NULL AND src <> dst)"""
+
+
+@query(f"""WITH RECURSIVE {_RELATIONS}, reach(src, dst, hops) AS (SELECT src, dst, 1 FROM arcs UNION
+    SELECT r.src, a.dst, r.hops + 1 FROM reach r JOIN arcs a ON a.src = r.dst WHERE r.hops < 12)
+    SELECT src, dst, min(hops)::INTEGER AS hops FROM reach GROUP BY ALL""")
+def lineage_paths(spark, sf):
+    nation, region = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("nation", "region"))
+    up = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit("subgraph").alias("kind"), F.col("n_name").alias("src"), F.col("r_name").alias("dst"))
+    side = nation.select(F.lit("translation").alias("kind"), F.col("n_name").alias("src"), F.lead("n_name").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("dst"))
+    return lineage.reachable(up.unionByName(side.where("dst is not null")))
+
+
+_WALKS = """, w AS (SELECT path_id, string_agg(node_id || CASE WHEN is_rev THEN '-' ELSE '+' END, ',' ORDER BY step) AS p,
+    string_agg((CASE WHEN is_rev THEN '<' ELSE '>' END) || node_id, '' ORDER BY step) AS w, sum(len)::BIGINT AS bp FROM placed GROUP BY path_id)"""
+
+
+@query(sql(_WALKS + " SELECT path_id, p AS p_walk, w AS w_walk, bp FROM w"))
+def walk_strings(spark, sf):
+    return gfa_out.walks(graph(spark, sf))
+
+
+@query(sql(_LINES + _WALKS + """ SELECT 'H' || chr(9) || 'VN:Z:1.1' AS line UNION ALL SELECT line FROM lines WHERE side = 0
+    UNION ALL SELECT line || chr(9) || '0M' FROM lines WHERE side > 0
+    UNION ALL SELECT CASE sense WHEN 'GENERIC' THEN concat_ws(chr(9), 'P', contig || CASE WHEN fragment <> 0 THEN '[' || fragment || ']' ELSE '' END, p, '*')
+    ELSE concat_ws(chr(9), 'W', sample, coalesce(haplotype, 0), contig, fragment, fragment + bp, w) END FROM paths JOIN w USING (path_id)"""))
+def gfa_lines(spark, sf):
+    return gfa_out.gfa_lines(graph(spark, sf)).select("line")
+
+
+@query(sql(_WALKS + """ SELECT concat_ws(chr(9), 'P', concat_ws('#', sample, coalesce(haplotype::VARCHAR, '18446744073709551615'), contig)
+    || CASE WHEN fragment <> 0 THEN '[' || fragment || ']' ELSE '' END, p, '*') AS line FROM paths JOIN w USING (path_id)"""))
+def gfa_pan_sn_paths(spark, sf):
+    return gfa_out.path_text(graph(spark, sf), "pan-sn").select("line")
+
+
+@query(sql(_WALKS + " SELECT concat_ws(chr(9), 'W', sample, coalesce(haplotype, 0), contig, fragment, fragment + bp, w) AS line FROM paths JOIN w USING (path_id) WHERE sense = 'REFERENCE'"))
+def gfa_reference_walks(spark, sf):
+    return gfa_out.path_text(graph(spark, sf), "ref-only").select("line")
+
+
+@query(sql(_WALKS + " SELECT path_id, concat_ws(chr(9), 'P', path_id, p, '*') AS line FROM w"))
+def gfa_all_paths(spark, sf):
+    return gfa_out.all_paths(graph(spark, sf))
+
+
+_CHOP = """, p AS (SELECT node_id, seq, ceil(len / 8.0)::BIGINT AS n, coalesce(sum(ceil(len / 8.0)::BIGINT) OVER (ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM nodes)"""
+
+
+@query(sql(_CHOP + " SELECT before + 1 + i AS node_id, substr(seq, i * 8 + 1, 8) AS seq, length(substr(seq, i * 8 + 1, 8)) AS len FROM (SELECT *, unnest(range(n)) AS i FROM p)"))
+def chopped_segments(spark, sf):
+    s = graph(spark, sf).nodes.select(F.col("node_id").alias("ord"), F.col("node_id").cast("string").alias("name"), "seq")
+    return gfa.make_nodes(s, 8)[0]
+
+
+@query(sql(_CHOP + " SELECT concat_ws(chr(9), 'T', 's' || node_id, array_to_string(range(before + 1, before + 1 + n), ',')) AS line FROM p"))
+def translation_table(spark, sf):
+    gr = graph(spark, sf)
+    s = gr.nodes.select(F.col("node_id").alias("ord"), F.concat(F.lit("s"), "node_id").alias("name"), "seq")
+    nodes, ranges, _ = gfa.make_nodes(s, 8)
+    return gfa_out.translation_table(g.HapGraph(nodes, gr.paths, gr.steps, ranges)).select("line")
