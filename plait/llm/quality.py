@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from plait.llm.common import arrow_map
 
-TRAIN_ROWS, BUCKETS, RATES, MEMORY = 12_000, 1 << 18, 6, 400_000
+TRAIN_ROWS, BUCKETS, RATES, MEMORY, STEP = 12_000, 1 << 18, 6, 300_000, 1000
 #: A word feature counts if it is in as many training documents at least.
 LEAST_DOCS = 8
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,41 +71,50 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
-def fit(rows: list[np.ndarray], rates: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 150, rate: float = 0.1, lasso: float = 1e-3) -> OrdinalModel:
-    """Maximum likelihood with an absolute-value penalty on word weights (few words matter), by proximal Adam over all rows. The gaps between thresholds stay positive as exponentials."""
+def fit(cols: np.ndarray, lengths: np.ndarray, rates: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 150, rate: float = 0.1, lasso: float = 1e-3) -> OrdinalModel:
+    """Maximum likelihood with an absolute-value penalty on word weights (few words matter), by proximal Adam over all rows. The gaps between thresholds stay positive as exponentials.
+
+    cols: the buckets of all rows one after another, lengths: how many each row has. Rows are taken STEP at a time, so beside cols
+    itself a few arrays of STEP rows' buckets are in memory.
+    """
     neutral = OrdinalModel(np.zeros(BUCKETS), np.zeros(RATES), np.zeros(n_grades - 1))
     if len(set(grades.tolist())) < 2:
         return neutral
-    lengths = np.array([len(r) for r in rows])
-    cols, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
-    seen = np.bincount(cols, minlength=BUCKETS)
+    n = len(lengths)
+    seen = np.zeros(BUCKETS, np.int64)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    spans = [(a, min(a + STEP, n)) for a in range(0, n, STEP)]
+    for a, b in spans:
+        seen += np.bincount(cols[ends[a] : ends[b]], minlength=BUCKETS)
     used = np.flatnonzero(seen >= LEAST_DOCS)
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, len(used), np.int32)  # one past the end: a weight that stays 0
     place[used] = np.arange(len(used))
-    there = place[cols] >= 0
-    cols, row = place[cols[there]], row[there]
-    share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / len(grades), 1e-3, 1 - 1e-3)
+    cols = place[cols]
+    share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / n, 1e-3, 1 - 1e-3)
     start = np.maximum.accumulate(np.log(share / (1 - share)) + np.arange(n_grades - 1) * 1e-2)
     x = np.concatenate([np.zeros(len(used) + RATES), start[:1], np.log(np.diff(start) + 1e-2)])
-    m, v, w_end = np.zeros_like(x), np.zeros_like(x), len(used)
+    m, v, w_end, each = np.zeros_like(x), np.zeros_like(x), len(used), np.arange(n)
     for step in range(1, rounds + 1):
-        w, d, raw = x[:w_end], x[w_end : w_end + RATES], x[w_end + RATES :]
+        w, d, raw = np.append(x[:w_end], 0.0), x[w_end : w_end + RATES], x[w_end + RATES :]
         gaps = np.exp(np.clip(raw[1:], -8, 8))
         cuts = np.concatenate([raw[:1], raw[0] + np.cumsum(gaps)])
-        score = np.bincount(row, weights=w[cols], minlength=len(rows)) + rates @ d
+        score = rates @ d
+        for a, b in spans:
+            score[a:b] += np.bincount(np.repeat(np.arange(b - a), lengths[a:b]), weights=w[cols[ends[a] : ends[b]]], minlength=b - a)
         below = 1 / (1 + np.exp(np.clip(score[:, None] - cuts[None, :], -60, 60)))
-        full = np.concatenate([np.zeros((len(rows), 1)), below, np.ones((len(rows), 1))], axis=1)
-        each = np.arange(len(rows))
+        full = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
         p = np.maximum(full[each, grades + 1] - full[each, grades], 1e-9)
-        slope = np.concatenate([np.zeros((len(rows), 1)), below * (1 - below), np.zeros((len(rows), 1))], axis=1)
+        slope = np.concatenate([np.zeros((n, 1)), below * (1 - below), np.zeros((n, 1))], axis=1)
         up, down = slope[each, grades + 1] / p, slope[each, grades] / p
-        by_score = (up - down) / len(rows)
-        by_cut = np.zeros((len(rows), n_grades + 1))
+        by_score = (up - down) / n
+        by_cut = np.zeros((n, n_grades + 1))
         by_cut[each, grades + 1] -= up
         by_cut[each, grades] += down
-        by_cut = by_cut[:, 1:-1].sum(axis=0) / len(rows)
-        tail = np.cumsum(by_cut[::-1])[::-1]
-        grad = np.concatenate([np.bincount(cols, weights=by_score[row], minlength=w_end), rates.T @ by_score, tail[:1], tail[1:] * gaps])
+        tail = np.cumsum(by_cut[:, 1:-1].sum(axis=0)[::-1] / n)[::-1]
+        by_word = np.zeros(w_end + 1)
+        for a, b in spans:
+            by_word += np.bincount(cols[ends[a] : ends[b]], weights=np.repeat(by_score[a:b], lengths[a:b]), minlength=w_end + 1)
+        grad = np.concatenate([by_word[:w_end], rates.T @ by_score, tail[:1], tail[1:] * gaps])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         scale = rate / (np.sqrt(v / (1 - 0.99**step)) + 1e-4)
         x = x - scale * (m / (1 - 0.9**step))
@@ -131,10 +140,13 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int = 3,
             ids = pa.array([b.astype(np.int32) for b, _ in made], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([r for _, r in made], pa.list_(pa.float64()))], ["grade", "ids", "rates"])
 
-    got = arrow_map(mine, run, "grade int, ids array<int>, rates array<double>").toArrow().to_pandas()
-    if not len(got):
-        return fit([], np.zeros((0, RATES)), np.zeros(0, np.int64), n_grades)
-    return fit([np.asarray(i, np.int64) for i in got["ids"]], np.stack(list(got["rates"])), got["grade"].to_numpy(np.int64), n_grades)
+    got = arrow_map(mine, run, "grade int, ids array<int>, rates array<double>").toArrow().combine_chunks()
+    if not got.num_rows:
+        return fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, RATES)), np.zeros(0, np.int64), n_grades)
+    ids = pa.concat_arrays(got["ids"].chunks)
+    lengths, cols = ids.value_lengths().to_numpy().astype(np.int64), ids.flatten().to_numpy()
+    rates = pa.concat_arrays(got["rates"].chunks).flatten().to_numpy().reshape(-1, RATES)
+    return fit(cols, lengths, rates, got["grade"].to_numpy().astype(np.int64), n_grades)
 
 
 def score(docs: DataFrame, model: OrdinalModel, cut: float = 0.6, text_col: str = "text") -> DataFrame:
