@@ -42,34 +42,39 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return settle(raw.where(kind.isin(*"HSLPWZQ")).select("ord", kind.alias("kind"), F.split("value", "\t", -1).alias("f")))
 
 
+def of_kind(*kinds: str) -> Column:
+    """The fields of lines of these kinds, null for others: Spark may test an expression before it filters the lines."""
+    return F.when(F.col("kind").isin(*kinds), F.col("f"))
+
+
 def required(f: Column, i: int, what: str) -> Column:
-    """A field that must be there and not be empty."""
+    """A field that must be there and not be empty. Null fields (lines of another kind, see of_kind) have null values and are no error."""
     value = F.get(f, i)
-    return F.when(value.isNull() | (value == ""), F.raise_error(F.concat(F.lit(f"{what}: "), F.concat_ws(" ", f)))).otherwise(value)
+    return F.when(f.isNull(), F.lit(None).cast("string")).when(value.isNull() | (value == ""), F.raise_error(F.concat(F.lit(f"{what}: "), F.concat_ws(" ", f)))).otherwise(value)
 
 
 def sign(value: Column, what: str) -> Column:
     """Whether an orientation is reverse; anything but + and - is an error."""
-    return F.when(value == "+", False).when(value == "-", True).otherwise(F.raise_error(F.lit(f"{what}: no orientation")).cast("boolean"))
+    return F.when(value.isNull(), F.lit(None).cast("boolean")).when(value == "+", False).when(value == "-", True).otherwise(F.raise_error(F.lit(f"{what}: no orientation")).cast("boolean"))
 
 
 def headers(typed: DataFrame) -> DataFrame:
     """tag, type, value of every header field; a field of another form is an error."""
-    each = typed.where("kind = 'H'").select(F.explode(F.slice("f", 2, 1 << 20)).alias("x"))
+    each = typed.where("kind = 'H'").select(F.explode(F.slice(of_kind("H"), 2, 1 << 20)).alias("x"))
     form = "^([^:]{2}):([^:]):(.*)$"
     ok = F.when(F.col("x").rlike(form), F.col("x")).otherwise(F.raise_error(F.concat(F.lit("malformed header field "), "x")))
     return each.select(F.regexp_extract(ok, form, 1).alias("tag"), F.regexp_extract(ok, form, 2).alias("type"), F.regexp_extract(ok, form, 3).alias("value"))
 
 
 def segment_lines(typed: DataFrame) -> DataFrame:
-    s = typed.where("kind = 'S'")
-    return s.select("ord", required(F.col("f"), 1, "S-line without a name").alias("name"), F.upper(required(F.col("f"), 2, "S-line without a sequence")).alias("seq"))
+    f = of_kind("S")
+    return typed.where("kind = 'S'").select("ord", required(f, 1, "S-line without a name").alias("name"), F.upper(required(f, 2, "S-line without a sequence")).alias("seq"))
 
 
 def link_lines(typed: DataFrame) -> DataFrame:
-    f = F.col("f")
+    f = of_kind("L")
     return typed.where("kind = 'L'").select(
-        required(f, 1, "L-line").alias("from_name"), sign(F.get(f, 2), "L-line").alias("from_rev"), required(f, 3, "L-line").alias("to_name"), sign(F.get(f, 4), "L-line").alias("to_rev")
+        required(f, 1, "L-line").alias("from_name"), sign(required(f, 2, "L-line"), "L-line").alias("from_rev"), required(f, 3, "L-line").alias("to_name"), sign(required(f, 4, "L-line"), "L-line").alias("to_rev")
     )
 
 
@@ -80,7 +85,7 @@ def _symbols(text: Column) -> Column:
 
 def path_lines(typed: DataFrame) -> DataFrame:
     """P-lines: ord, name, symbols."""
-    f = F.col("f")
+    f = of_kind("P")
     parts = F.split(required(f, 2, "P-line without segments"), ",")
     each = F.transform(parts, lambda x, i: F.struct(i.alias("pos"), x.substr(F.lit(1), F.length(x) - 1).alias("symbol"), sign(F.right(x, F.lit(1)), "P-line").alias("is_rev")))
     return typed.where("kind = 'P'").select("ord", required(f, 1, "P-line without a name").alias("name"), each.alias("symbols"))
@@ -88,7 +93,7 @@ def path_lines(typed: DataFrame) -> DataFrame:
 
 def walk_lines(typed: DataFrame) -> DataFrame:
     """W- and Z-lines: ord, sample, haplotype, contig, start, symbols. A start of * is 0; sample * is a generic path."""
-    f = F.col("f")
+    f = of_kind("W", "Z")
     start = F.when(required(f, 4, "W-line") == "*", F.lit("0")).otherwise(F.get(f, 4))
     return typed.where("kind in ('W', 'Z')").select(
         "ord", required(f, 1, "W-line").alias("sample"), required(f, 2, "W-line").cast("bigint").alias("haplotype"), required(f, 3, "W-line").alias("contig"),
@@ -98,7 +103,7 @@ def walk_lines(typed: DataFrame) -> DataFrame:
 
 def rule_lines(typed: DataFrame) -> DataFrame:
     """Q-lines: rule, pos, symbol, is_rev."""
-    f = F.col("f")
+    f = of_kind("Q")
     return typed.where("kind = 'Q'").select(required(f, 1, "Q-line without a name").alias("rule"), F.inline(_symbols(required(f, 2, "Q-line without an expansion"))))
 
 
