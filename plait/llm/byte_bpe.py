@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from plait.llm.common import arrow_map
 
 #: Words a query takes, words kept by a worker, and bytes from which a pre-token goes to the heap.
-WORDS, CACHE, LONG = 60_000, 800_000, 256
+WORDS, CACHE, LONG = 60_000, 450_000, 256
 
 #: positions: word, position, the next position, token, the next token. A word keeps its rows of every round r.
 ENCODE = """

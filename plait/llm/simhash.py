@@ -109,6 +109,7 @@ def simhash_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id",
     named = linked.join(fps, linked["node"] == fps["fp"]).select("node", "root", "first")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     merged = named.join(least, "root").select("node", "least")
-    ids = fps.join(merged, fps["fp"] == merged["node"], "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    # A fingerprint may belong to a third of all rows: the join is one that adaptive execution can split.
+    # A fingerprint may belong to a third of all rows. With both sides written, both are shuffled for the last join alone,
+    # and adaptive execution can split its partitions.
+    ids = settle(fps.join(merged, fps["fp"] == merged["node"], "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return rows.join(ids.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
