@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="plait-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; one of our own where none is set."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write df to the session's shared checkpoint folder (one of our own where none is set) and cut its lineage there."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plait-"))
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared folder and go on from there: it is computed once, its lineage ends, and it outlives the executors that made it.
+
+    A written table has the statistics of its files. A checkpoint would carry the estimates of the plan that made it,
+    which multiply with every join of a loop until the planner itself no longer ends.
+    """
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
