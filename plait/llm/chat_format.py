@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from plait.llm.common import settle
 
-DOUBLINGS = 40
 CALLS = "array<struct<id: string, name: string, arguments: string>>"
 #: Names of JSON types as a variant has them.
 _TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"]}
@@ -57,7 +56,7 @@ def _call_json(call: Column) -> Column:
 def _forest(parents: DataFrame) -> DataFrame:
     """For (conv, node, parent) with one parent a node: conv, node, root and depth; nodes on or above a cycle are left out."""
     state = settle(parents.select("conv", "node", F.col("parent").alias("at"), F.lit(1).cast("bigint").alias("depth")))
-    for _ in range(DOUBLINGS):
+    for _ in range(state.count().bit_length() + 1):  # a root is at most as many steps away as there are nodes
         up = state.select(F.col("conv").alias("c"), F.col("node").alias("n"), F.col("at").alias("further"), F.col("depth").alias("more"))
         joined = state.join(up, F.expr("conv <=> c and at <=> n"), "left").withColumn("moved", F.col("c").isNotNull() | F.col("n").isNotNull())
         if joined.where("moved").limit(1).count() == 0:

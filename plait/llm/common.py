@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from plait.storage import settle, shared_folder
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "arrow_map", "fan_out", "pieces", "pin", "settle", "table"]
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,13 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there: it is computed once,
-    has a fixed partitioning, and outlives the executors that made it."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def pin(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder: unlike a settled table it keeps its partitions, and the rows of each in order."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plait-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

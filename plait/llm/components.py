@@ -1,6 +1,6 @@
 """Connected components of a table of links, by alternating large-star and small-star rounds.
 
-Each round is a minimum by key (combined before the shuffle) and a join back on it; rounds are cut by checkpoints
+Each round is a minimum by key (combined before the shuffle) and a join back on it; each round's links are written
 in the shared folder. Only linked nodes take part, and neither links nor labels come to the driver.
 """
 

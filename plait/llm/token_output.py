@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.llm.common import arrow_map, settle
+from plait.llm.common import arrow_map, pin
 
 TAIL, PAD, ROUNDS = "\x00\n", 65535, 6
 
@@ -81,7 +81,7 @@ def sequences(docs: DataFrame, path: str, pattern: str, length: int, end: int, i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int32()), pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     made = arrow_map(docs.select(F.col(id_col).cast("bigint"), text_col), run, "doc_id bigint, n_tokens int, ids binary")
-    return settle(made.withColumn("part", F.spark_partition_id()))
+    return pin(made.withColumn("part", F.spark_partition_id()))
 
 
 def training_order(docs: DataFrame, path: str, pattern: str, length: int = 512, end: int = 50256, key: int = 1, shard_slots: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
