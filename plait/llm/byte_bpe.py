@@ -6,8 +6,8 @@ a token position of a word: its token and the token after it. Each round joins t
 least rank, contracts it, and hands on the words that changed; a word without a pair is done. Ordered
 aggregations then string the ids together and, through the vocabulary, the bytes they stand for: the decoder.
 
-Words repeat, so a worker keeps the results of up to CACHE words (then forgets them all): its memory does not grow
-with its input. Pre-tokens over LONG bytes, which would take a round per merge over all their positions, are
+Words repeat, so a worker keeps the ids of up to CACHE words (then forgets them all): its memory does not grow with its
+input. Every word is decoded as it is learnt; one that decodes to its own bytes stands for them and is not kept twice. Pre-tokens over LONG bytes, which would take a round per merge over all their positions, are
 contracted by a heap in the same order. There is no shuffle; a lost task is simply run again.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from plait.llm.common import arrow_map
 
 #: Words a query takes, words kept by a worker, and bytes from which a pre-token goes to the heap.
-WORDS, CACHE, LONG = 60_000, 450_000, 256
+WORDS, CACHE, LONG = 15_000, 450_000, 256
 
 #: positions: word, position, the next position, token, the next token. A word keeps its rows of every round r.
 ENCODE = """
@@ -59,7 +59,7 @@ ENCODE = """
     )
     SELECT w, p, t FROM state JOIN (SELECT w, max(r) AS r FROM state GROUP BY w) USING (w, r)
 """
-IDS = "SELECT w, string_agg(t::VARCHAR, ' ' ORDER BY p) AS ids, count(*) AS n FROM tokens GROUP BY w"
+IDS = "SELECT w, string_agg(t::VARCHAR, ' ' ORDER BY p) AS ids FROM tokens GROUP BY w"
 DECODE = "SELECT w, string_agg(v.hex, '' ORDER BY p) AS hex FROM tokens JOIN vocabulary v USING (t) GROUP BY w"
 
 
@@ -88,7 +88,8 @@ class Codec:
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.known: dict[str, str] = {}  # the ids of a word, as text
+        self.odd: dict[str, bytes] = {}  # what a word decodes to, if that is not the word
 
     def _positions(self, words: list[bytes]) -> pa.Table:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -107,15 +108,15 @@ class Codec:
             }
         )
 
-    def _by_query(self, words: list[str], raw: list[bytes]) -> Iterator[tuple[str, tuple[str, int, bytes]]]:
+    def _by_query(self, words: list[str], raw: list[bytes]) -> Iterator[tuple[str, str, bytes]]:
         self.db.register("positions", self._positions(raw))
         self.db.execute(ENCODE)
         self.db.unregister("positions")
         ids = self.db.sql(IDS).to_arrow_table()
         decoded = self.db.sql(DECODE).to_arrow_table()
         texts = dict(zip(decoded["w"].to_pylist(), decoded["hex"].to_pylist(), strict=True))
-        for w, i, n in zip(ids["w"].to_pylist(), ids["ids"].to_pylist(), ids["n"].to_pylist(), strict=True):
-            yield words[w], (i, n, bytes.fromhex(texts[w]))
+        for w, i in zip(ids["w"].to_pylist(), ids["ids"].to_pylist(), strict=True):
+            yield words[w], i, bytes.fromhex(texts[w])
 
     def _by_heap(self, word: bytes) -> list[int]:
         """The same contractions in the same order: the least rank first, of equal ranks the leftmost."""
@@ -142,27 +143,45 @@ class Codec:
         return [self.ranks[p] for p in parts if p]
 
     def learn(self, texts: Iterable[list[str]]) -> dict[str, tuple[str, int, bytes]]:
-        """(ids as text, their number, the bytes they decode to) of at least the words of these texts."""
+        """(ids as text, their number, the bytes they decode to) of the words of these texts."""
+        texts = list(texts)
+        known = self.meet(texts)
+        return {w: (known[w], known[w].count(" ") + 1, self.decoded([w])) for words in texts for w in words}
+
+    def meet(self, texts: Iterable[list[str]]) -> dict[str, str]:
+        """The ids of at least the words of these texts."""
         wanted = set()
         wanted.update(*texts)
         todo = list(wanted.difference(self.known))
         if len(self.known) + len(todo) > CACHE:
-            self.known, todo = {}, list(wanted)
+            self.known, self.odd, todo = {}, {}, list(wanted)
         short = []
         for w in todo:
             raw = w.encode()
             if (rank := self.ranks.get(raw)) is not None:
-                self.known[w] = (str(rank), 1, self.bytes_of[rank])
+                self._keep(w, str(rank), self.bytes_of[rank])
             elif len(raw) > LONG:
                 ids = self._by_heap(raw)
-                self.known[w] = (" ".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids)))
+                self._keep(w, " ".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)))
             else:
                 short.append((w, raw))
         for i in range(0, len(short), WORDS):
             part = short[i : i + WORDS]
-            self.known.update(self._by_query([w for w, _ in part], [raw for _, raw in part]))
+            for found in self._by_query([w for w, _ in part], [raw for _, raw in part]):
+                self._keep(*found)
         return self.known
 
+    def _keep(self, word: str, ids: str, decoded: bytes) -> None:
+        self.known[word] = ids
+        if decoded != word.encode():
+            self.odd[word] = decoded
+
+    def decoded(self, words: list[str]) -> bytes:
+        """What the ids of these known words decode to."""
+        if self.odd:
+            return b"".join([self.odd.get(w) or w.encode() for w in words])
+        return "".join(words).encode()
+
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids, by the ordered aggregation."""
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -187,11 +206,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, at: int
     for batch in batches:
         texts = batch.column(at).to_pylist()
         words = [cut.findall(t) if t else [] for t in texts]
-        known = bpe.learn(words)
-        hits = [list(map(known.__getitem__, ws)) for ws in words]
-        n = pa.array([sum([x for _, x, _ in row]) for row in hits], pa.int64())
-        ids = [" ".join([x for x, _, _ in row]) for row in hits]
-        raw = [b"".join([x for _, _, x in row]) for row in hits]
+        known = bpe.meet(words)
+        ids = [" ".join(map(known.__getitem__, ws)) for ws in words]
+        n = pa.array([i.count(" ") + 1 if i else 0 for i in ids], pa.int64())
+        raw = list(map(bpe.decoded, words))
         if digests:
             made = [pa.array([hashlib.sha256(i.encode()).hexdigest() for i in ids]), pa.array([hashlib.sha256(r).hexdigest() for r in raw])]
         else:

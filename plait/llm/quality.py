@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from plait.llm.common import arrow_map
 
-TRAIN_ROWS, BUCKETS, RATES, MEMORY, STEP = 12_000, 1 << 18, 6, 300_000, 1000
+TRAIN_ROWS, BUCKETS, RATES, MEMORY, STEP = 12_000, 1 << 18, 6, 120_000, 1000
 #: A word feature counts if it is in as many training documents at least.
 LEAST_DOCS = 8
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
