@@ -82,7 +82,8 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
         .select("fp", wiped.bitwiseOR(F.expr("shiftleft(cast(__bit as bigint), 32)")).alias("key"))
     )
     shared = settle(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    mine = variants.join(shared, "key")
+    # Merged at every size: variants are 64 rows a fingerprint, and a plan that broadcasts the shared keys while they are few says nothing of larger tables.
+    mine = settle(variants.join(shared.hint("merge"), "key"))
     few = mine.where(F.col("n") <= hot).select("key", "fp")
     x, y = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
     near = x.join(y, "key").where((F.col("a") < F.col("b")) & (_bits(F.col("a"), F.col("b")) <= 2) & (F.shiftrightunsigned("key", 32) == _first_variant(F.col("a").bitwiseXOR(F.col("b")))))
