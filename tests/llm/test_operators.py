@@ -281,6 +281,54 @@ def test_near_dedup_of_a_large_group(spark, monkeypatch):
     assert [r["doc_id"] for r in near_dedup.near_dedup(frame).collect()] == [0]
 
 
+def near_kept(rows, similarity=0.8, width=5):
+    """Brute force: ids that stay of (id, text), by links of all pairs."""
+    sets = [{tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if (w := t.split()) else set() for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) > 0 and root[a] != root[b]:
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    return sorted(min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in set(root))
+
+
+def star(rng, first, copies, words=300, changed=9):
+    """A base and copies that are similar to it and not to each other; the base has the largest id."""
+    base = [rng.choice(WORDS) for _ in range(words)]
+    out = [(first + copies, " ".join(base))]
+    for i in range(copies):
+        copy = list(base)
+        for k in rng.sample(range(0, words // 10), changed - 3):
+            copy[10 * k + 5] = f"new{first}x{i}x{k}"
+        out.append((first + i, " ".join(copy)))
+    return out
+
+
+def test_near_dedup_of_star_groups(spark):
+    rng = random.Random(11)
+    rows = [r for g in range(4) for r in star(rng, 1000 * g, 30)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert all(alike(sets[0], s) >= 0.8 for s in sets[1:31]) and sum(alike(sets[1], s) >= 0.8 for s in sets[2:31]) < 15
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in near_dedup.near_dedup(frame).collect()) == near_kept(rows) == [0, 1000, 2000, 3000]
+
+
+def test_near_dedup_of_same_words(spark):
+    """Texts of the same words in another order are all candidates of each other; two or three of them are similar."""
+    rng = random.Random(12)
+    words, rows = [f"w{i}" for i in range(120)], []
+    for i in range(60):
+        rng.shuffle(words)
+        rows.append((10 * i, " ".join(words)))
+        for k in range(1, 1 + i % 3):
+            at = 30 * k
+            rows.append((10 * i + k, " ".join([*words[:at], words[at + 1], words[at], *words[at + 2 :]])))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in near_dedup.near_dedup(frame).collect()) == near_kept(rows)
+
+
 # Substring dedup.
 
 
