@@ -329,6 +329,22 @@ def test_near_dedup_of_same_words(spark):
     assert sorted(r["doc_id"] for r in near_dedup.near_dedup(frame).collect()) == near_kept(rows)
 
 
+def test_near_dedup_of_blocks(spark):
+    """Blocks of new words at the head, the end or inside, and cut texts, up to the similarity."""
+    rng = random.Random(13)
+    rows, fresh = [], lambda i, n: [f"b{i}x{k}" for k in range(n)]
+    for i in range(120):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(60, 300))]
+        n = len(words)
+        rows.append((10 * i, " ".join(words)))
+        for k, part in enumerate((0.1, 0.17, 0.22, 0.24, 0.3), 1):
+            more, at = fresh(f"{i}y{k}", int(part * n)), rng.randrange(n)
+            made = [words + more, more + words, words[:at] + more + words[at:], words[: int(n * (1 - 0.8 * part))]][(i + k) % 4]
+            rows.append((10 * i + k, " ".join(made)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in near_dedup.near_dedup(frame).collect()) == near_kept(rows)
+
+
 # Substring dedup.
 
 
