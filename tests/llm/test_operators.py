@@ -345,6 +345,19 @@ def test_near_dedup_of_blocks(spark):
     assert sorted(r["doc_id"] for r in near_dedup.near_dedup(frame).collect()) == near_kept(rows)
 
 
+def test_near_dedup_at_other_similarities(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(40):
+        words = [rng.choice(WORDS) for _ in range(100)]
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join([*words, *(f"b{i}x{k}" for k in range(20 + 2 * i))]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for similarity in (0.6, 0.75, 1.0):
+        assert sorted(r["doc_id"] for r in near_dedup.near_dedup(frame, similarity=similarity).collect()) == near_kept(rows, similarity)
+    with pytest.raises(ValueError):
+        near_dedup.near_dedup(frame, similarity=0.0)
+
+
 # Substring dedup.
 
 
