@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +16,17 @@ from plait.llm.mixing import mix_plan
 from plait.llm.sharding import shard_documents
 from plait.llm.simhash import simhash_components
 from plait.llm.substring_dedup import substring_dedup
-from plait.llm.token_output import training_order
+from plait.llm.token_output import read_shards, training_order, write_shards
 from plait.llm.topk_search import exact_top_k
+from plait.storage import shared_folder
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ordered = training_order(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return ordered.select("slot", "shard", "offset", "doc_id", "seq", "n_tokens", F.sha2("record", 256).alias("record_sha256"))
+    out = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(ordered, out)
+    return ordered.select("slot", "shard", "offset", "doc_id", "seq", "n_tokens").join(read_shards(spark, out), "slot", "left")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

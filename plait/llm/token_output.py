@@ -13,13 +13,14 @@ shard is committed whole or not at all, wherever the output lies.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plait.llm.common import arrow_map, pin
@@ -141,3 +142,20 @@ def read_slots(shard: bytes, length: int, first: int, count: int) -> np.ndarray:
     if not (raw[:, -2:] == np.frombuffer(TAIL.encode(), np.uint8)).all():
         raise ValueError("not a shard of this stride")
     return np.ascontiguousarray(raw[:, :-2]).view("<u2")
+
+
+def read_shards(spark: SparkSession, out: str, length: int = 512, shard_slots: int = 16384) -> DataFrame:
+    """slot and record_sha256 of every record in the shards at out, as written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = np.frombuffer(content.as_buffer(), np.uint8)
+                count, rest = divmod(len(raw), 2 * length + len(TAIL))
+                if rest:
+                    raise ValueError("not a shard of this stride")
+                ids = read_slots(raw, length, 0, count)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(count) + shard * shard_slots), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string())], ["slot", "record_sha256"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out)
+    return files.select(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int").alias("shard"), "content").mapInArrow(run, "slot bigint, record_sha256 string")

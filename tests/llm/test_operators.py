@@ -16,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from plait.llm import byte_bpe, chat_format, mixing, near_dedup, quality, sharding, simhash, substring_dedup, token_output, topk_search
+from plait.llm import byte_bpe, chat_format, mixing, near_dedup, quality, queries, sharding, simhash, substring_dedup, token_output, topk_search
 from plait.llm.components import components
 from plait.llm.exact_dedup import exact_dedup, groups_of_equal_texts
 
@@ -521,3 +521,12 @@ def test_conversations_without_calls(spark):
     assert found[1, 1]["call_turn"] == 0 and found[1, 0]["n_answered"] == 1 and found[1, 2]["errors"] == "prompt: too long" and found[2, 0]["call_turn"] is None
     assert json.loads(found[1, 0]["message"])["tool_calls"][0]["arguments"] == {"prompt": 'say "x"\n', "turn": 0}
     assert "prompt: missing" in found[3, None]["errors"]
+
+
+def test_op4_writes_its_shards(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries, "shared_folder", lambda _: str(tmp_path / "shared"))
+    rows = queries.op4_token_output(spark, str(tmp_path)).collect()
+    shards = [open(f, "rb").read() for f in sorted(glob.glob(str(tmp_path / "shared/shards-*/part-*")))]
+    assert len(rows) == sum(map(len, shards)) // 1026 and sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    assert all(r["record_sha256"] == hashlib.sha256(shards[r["shard"]][r["offset"] : r["offset"] + 1024]).hexdigest() for r in rows)
