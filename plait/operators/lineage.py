@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plait.operators.graph import HapGraph
+from plait.storage import settle
 
 
 def canonical_lines(graph: HapGraph) -> DataFrame:
@@ -166,15 +167,14 @@ class GraphName:
         return "\n".join(lines) + "\n"
 
 
-def reachable(relations: DataFrame, depth: int = 12) -> DataFrame:
-    """(src, dst, hops): least hops between names over relations (kind, src, dst), up to a depth; frontier joins."""
-    arcs = relations.select("src", "dst").where("src <> dst").distinct()
-    seen = arcs.withColumn("hops", F.lit(1))
-    frontier = seen
-    for hop in range(2, depth + 1):
+def reachable(relations: DataFrame) -> DataFrame:
+    """(src, dst, hops): least hops between names over relations (kind, src, dst), by frontier joins until no new pair is found."""
+    arcs = settle(relations.select("src", "dst").where("src <> dst").distinct())
+    seen = frontier = arcs.withColumn("hops", F.lit(1))
+    hop = 1
+    while frontier.limit(1).count():
+        hop += 1
         step = frontier.select("src", F.col("dst").alias("mid")).join(arcs.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        frontier = step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hop))
-        if frontier.limit(1).count() == 0:
-            break
-        seen = seen.unionByName(frontier)
+        frontier = settle(step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hop)))
+        seen = settle(seen.unionByName(frontier))
     return seen

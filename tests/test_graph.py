@@ -223,6 +223,13 @@ def test_lineage():
         lineage.GraphName.from_headers(["H\tSG:Z:only"])
 
 
+def test_reachable_over_long_chains(spark):
+    arcs = [("x", f"n{i}", f"n{i + 1}") for i in range(15)] + [("x", "n15", "n14"), ("y", "n3", "n3"), ("y", "n0", "n1")]
+    found = {(r["src"], r["dst"]): r["hops"] for r in lineage.reachable(spark.createDataFrame(arcs, "kind string, src string, dst string")).collect()}
+    want = {(f"n{i}", f"n{j}"): j - i for i in range(16) for j in range(i + 1, 16)}
+    assert found == want | {("n15", "n14"): 1, ("n14", "n14"): 2, ("n15", "n15"): 2}
+
+
 def test_restrict_and_merge(spark, base):
     short = g.restrict(base, F.col("path_id") != 1)
     assert short.edges.count() == 5 and g.sanity_checks(short) == []
