@@ -1,45 +1,26 @@
 """Weakly connected components and what is built on them: jobs, contigs, chunks, heads, topological order.
 
-Components are found by alternating large-star and small-star rounds over the edges; each round is a minimum by node (combined
-before the shuffle) and a join. Orders and head nodes are computed within a component, by peeling.
+Components come from the star rounds of plait.operators.stars over the edges. Orders and head nodes are peeled off in rounds of joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plait.operators.graph import HapGraph, restrict
-from plait.storage import settle
-
-ROUNDS, MOST_COMPONENTS = 60, 1_000_000
-
-
-def _star(arcs: DataFrame, large: bool) -> DataFrame:
-    least = arcs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    moved = arcs.where("v > u" if large else "v <= u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    if not large:
-        moved = moved.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
+from plait.operators.stars import components
+from plait.operators.totals import running_total
 
 
 def component_ids(graph: HapGraph) -> DataFrame:
     """node_id and component_id, the least node id of its component, for every visited node."""
-    edges = settle(graph.edges.select(F.greatest("from_id", "to_id").alias("a"), F.least("from_id", "to_id").alias("b")).where("a <> b").distinct())
-    state = None
-    for _ in range(ROUNDS):
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _star(both, True)
-        edges = settle(_star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            rooted = edges.select(F.col("a").alias("node_id"), F.col("b").alias("root"))
-            return graph.visited.select("node_id").join(rooted, "node_id", "left").select("node_id", F.coalesce("root", "node_id").alias("component_id"))
-        state = now
-    raise RuntimeError("components did not settle")
+    rooted = components(graph.edges, "from_id", "to_id").select(F.col("node").alias("node_id"), "root")
+    return graph.visited.select("node_id").join(rooted, "node_id", "left").select("node_id", F.coalesce("root", "node_id").alias("component_id"))
 
 
 def component_sizes(ids: DataFrame) -> DataFrame:
@@ -47,17 +28,24 @@ def component_sizes(ids: DataFrame) -> DataFrame:
 
 
 def construction_jobs(ids: DataFrame, bound: int) -> DataFrame:
-    """component_id and job_id: consecutive components share a job while its nodes stay within the bound. A table of sizes comes to the driver."""
-    sizes = [tuple(r) for r in component_sizes(ids).orderBy("component_id").limit(MOST_COMPONENTS + 1).collect()]
-    if len(sizes) > MOST_COMPONENTS:
-        raise ValueError(f"over {MOST_COMPONENTS} components")
-    jobs, job, held = [], -1, 0
-    for component, n in sizes:
-        if job < 0 or held + n > bound:
-            job, held = job + 1, 0
-        held += n
-        jobs.append((component, job, n))
-    return ids.sparkSession.createDataFrame(jobs, "component_id bigint, job_id int, n_nodes bigint")
+    """component_id, job_id and n_nodes: consecutive components share a job while its nodes stay within the bound.
+
+    What a job holds depends on all before it, so one task reads the table of sizes, as it streams by.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, held = -1, 0
+        for batch in batches:
+            jobs = []
+            for n in batch.column(1).to_pylist():
+                if job < 0 or held + n > bound:
+                    job, held = job + 1, 0
+                held += n
+                jobs.append(job)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(jobs, pa.int32()), batch.column(1)], ["component_id", "job_id", "n_nodes"])
+
+    sizes = component_sizes(ids).repartition(1).sortWithinPartitions("component_id")
+    return sizes.mapInArrow(pack, "component_id bigint, job_id int, n_nodes bigint")
 
 
 def path_components(graph: HapGraph, ids: DataFrame) -> DataFrame:
@@ -79,9 +67,8 @@ def contig_names(graph: HapGraph, ids: DataFrame, wanted=None) -> DataFrame:
     named = named if wanted is None else named.where(wanted)
     ranked = path_components(graph, ids).join(named, "path_id").withColumn("rank", F.struct(F.when(F.col("sense") == "REFERENCE", 0).otherwise(1), "path_id"))
     best = ranked.groupBy("component_id").agg(F.min_by("contig", "rank").alias("contig"))
-    order = component_sizes(ids).select("component_id")
-    numbered = construction_jobs(ids, 0).select("component_id", F.col("job_id").alias("i"))  # a job each: numbers in order
-    return order.join(best, "component_id", "left").join(numbered, "component_id").select("component_id", F.coalesce("contig", F.concat(F.lit("component_"), "i")).alias("contig"))
+    numbered = running_total(ids.select("component_id").distinct(), F.lit(1), "i", "component_id")
+    return numbered.join(best, "component_id", "left").select("component_id", F.coalesce("contig", F.concat(F.lit("component_"), "i")).alias("contig"))
 
 
 def chunk_paths(graph: HapGraph, ids: DataFrame, contig: str | None = None) -> DataFrame:

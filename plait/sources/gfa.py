@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plait.operators.graph import HapGraph
+from plait.operators.totals import running_total
 from plait.operators.paths import GENERIC_SAMPLE, add_fragments, compose_reference_samples, parse_reference_samples, sense_of
 from plait.storage import settle
 
@@ -118,15 +119,6 @@ def check_file(typed: DataFrame) -> list[str]:
     return [f"unknown version {v}" for v in versions if v not in KNOWN_VERSIONS]
 
 
-def running_total(rows: DataFrame, value: Column, name: str, key: str = "ord") -> DataFrame:
-    """rows with the total of value over the rows before. Ranges are summed first and their starts added."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = settle(rows.withColumn("_v", value.cast("bigint")).repartitionByRange(n, key).withColumn("_p", F.spark_partition_id()))
-    starts = ranged.groupBy("_p").agg(F.sum("_v").alias("t")).select("_p", (F.sum("t").over(Window.orderBy("_p")) - F.col("t")).alias("_start"))  # a row for each partition
-    own = F.coalesce(F.sum("_v").over(Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn(name, own).join(F.broadcast(starts), "_p").withColumn(name, F.col(name) + F.col("_start")).drop("_v", "_p", "_start")
-
-
 def needs_translation(segments: DataFrame, max_length: int) -> bool:
     """Whether some name is no positive integer or some segment is longer than a node may be (0: any length)."""
     row = segments.agg(F.bool_or(~F.col("name").rlike("^[0-9]+$") | F.col("name").rlike("^0+$")).alias("text"), F.max(F.length("seq")).alias("longest")).first()
