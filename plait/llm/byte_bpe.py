@@ -7,18 +7,22 @@ least rank, contracts it, and hands on the words that changed; a word without a
 aggregations then string the ids together and, through the vocabulary, the bytes they stand for: the decoder.
 
 Words repeat, so a worker keeps the ids of up to CACHE words (then forgets them all): its memory does not grow with its
-input. Every word is decoded as it is learnt; one that decodes to its own bytes stands for them and is not kept twice. Pre-tokens over LONG bytes, which would take a round per merge over all their positions, are
-contracted by a heap in the same order. There is no shuffle; a lost task is simply run again.
+input. Every word is decoded as it is learnt; one that decodes to its own bytes stands for them and is not kept twice.
+Pre-tokens over LONG bytes, which would take a round per merge over all their positions, are contracted by a heap in
+the same order. There is no shuffle; a lost task is simply run again. A worker that has had no such task for IDLE
+seconds closes its database and gives all of its memory back.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import tempfile
+import threading
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from contextlib import contextmanager
 
 import duckdb
 import numpy as np
@@ -27,10 +31,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.llm.common import arrow_map
+from plait.llm.common import arrow_map, let_go
 
-#: Words a query takes, words kept by a worker, and bytes from which a pre-token goes to the heap.
-WORDS, CACHE, LONG = 15_000, 450_000, 256
+#: Words a query takes, words kept by a worker, bytes from which a pre-token goes to the heap, and seconds until an idle worker lets go.
+WORDS, CACHE, LONG, IDLE = 15_000, 450_000, 256, 1.0
 
 #: positions: word, position, the next position, token, the next token. A word keeps its rows of every round r.
 ENCODE = """
@@ -59,7 +63,7 @@ ENCODE = """
     )
     SELECT w, p, t FROM state JOIN (SELECT w, max(r) AS r FROM state GROUP BY w) USING (w, r)
 """
-IDS = "SELECT w, string_agg(t::VARCHAR, ' ' ORDER BY p) AS ids FROM tokens GROUP BY w"
+IDS = "SELECT w, string_agg(t::VARCHAR, ' ' ORDER BY p) AS ids, string_agg(v.hex, '' ORDER BY p) AS hex FROM tokens JOIN vocabulary v USING (t) GROUP BY w"
 DECODE = "SELECT w, string_agg(v.hex, '' ORDER BY p) AS hex FROM tokens JOIN vocabulary v USING (t) GROUP BY w"
 
 
@@ -112,11 +116,9 @@ class Codec:
         self.db.register("positions", self._positions(raw))
         self.db.execute(ENCODE)
         self.db.unregister("positions")
-        ids = self.db.sql(IDS).to_arrow_table()
-        decoded = self.db.sql(DECODE).to_arrow_table()
-        texts = dict(zip(decoded["w"].to_pylist(), decoded["hex"].to_pylist(), strict=True))
-        for w, i in zip(ids["w"].to_pylist(), ids["ids"].to_pylist(), strict=True):
-            yield words[w], i, bytes.fromhex(texts[w])
+        found = self.db.sql(IDS).to_arrow_table()
+        for w, ids, text in zip(found["w"].to_pylist(), found["ids"].to_pylist(), found["hex"].to_pylist(), strict=True):
+            yield words[w], ids, bytes.fromhex(text)
 
     def _by_heap(self, word: bytes) -> list[int]:
         """The same contractions in the same order: the least rank first, of equal ranks the leftmost."""
@@ -144,15 +146,13 @@ class Codec:
 
     def learn(self, texts: Iterable[list[str]]) -> dict[str, tuple[str, int, bytes]]:
         """(ids as text, their number, the bytes they decode to) of the words of these texts."""
-        texts = list(texts)
-        known = self.meet(texts)
-        return {w: (known[w], known[w].count(" ") + 1, self.decoded([w])) for words in texts for w in words}
-
-    def meet(self, texts: Iterable[list[str]]) -> dict[str, str]:
-        """The ids of at least the words of these texts."""
-        wanted = set()
-        wanted.update(*texts)
-        todo = list(wanted.difference(self.known))
+        wanted = {w for words in texts for w in words}
+        known = self.meet(wanted)
+        return {w: (known[w], known[w].count(" ") + 1, self.decoded([w])) for w in wanted}
+
+    def meet(self, wanted: Iterable[str]) -> dict[str, str]:
+        """The ids of at least these words (each given once)."""
+        todo = [w for w in wanted if w not in self.known]
         if len(self.known) + len(todo) > CACHE:
             self.known, self.odd, todo = {}, {}, list(wanted)
         short = []
@@ -165,6 +165,7 @@ class Codec:
                 self._keep(w, " ".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)))
             else:
                 short.append((w, raw))
+        short.sort(key=lambda x: len(x[1]))  # a query takes as many rounds as its longest word
         for i in range(0, len(short), WORDS):
             part = short[i : i + WORDS]
             for found in self._by_query([w for w, _ in part], [raw for _, raw in part]):
@@ -176,7 +177,7 @@ class Codec:
         if decoded != word.encode():
             self.odd[word] = decoded
 
-    def decoded(self, words: list[str]) -> bytes:
+    def decoded(self, words: Iterable[str]) -> bytes:
         """What the ids of these known words decode to."""
         if self.odd:
             return b"".join([self.odd.get(w) or w.encode() for w in words])
@@ -195,28 +196,67 @@ class Codec:
         return [bytes.fromhex(texts.get(i, "")) for i in range(len(ids))]
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    """One for each worker process and file; it lives as long as the worker."""
-    return Codec(path)
+class _Index(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+_IDLE: dict[str, Codec] = {}
+_LOCK = threading.Lock()
+_TIMERS: list[threading.Timer] = []
+
+
+def _close_idle() -> None:
+    with _LOCK:
+        while _IDLE:
+            _IDLE.popitem()[1].db.close()
+    gc.collect()
+    let_go()
+
+
+@contextmanager
+def codec(path: str) -> Iterator[Codec]:
+    """The worker's codec for a file, for one task. Tasks that follow closely find it, and the words it knows, again."""
+    with _LOCK:
+        while _TIMERS:
+            _TIMERS.pop().cancel()
+        mine = _IDLE.pop(path, None)
+    mine = mine or Codec(path)
+    try:
+        yield mine
+    finally:
+        with _LOCK:
+            _IDLE[path] = mine
+            _TIMERS.append(threading.Timer(IDLE, _close_idle))
+            _TIMERS[-1].daemon = True
+            _TIMERS[-1].start()
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, at: int, digests: bool):
-    cut, bpe = regex.compile(pattern), codec(path)
-    for batch in batches:
-        texts = batch.column(at).to_pylist()
-        words = [cut.findall(t) if t else [] for t in texts]
-        known = bpe.meet(words)
-        ids = [" ".join(map(known.__getitem__, ws)) for ws in words]
-        n = pa.array([i.count(" ") + 1 if i else 0 for i in ids], pa.int64())
-        raw = list(map(bpe.decoded, words))
-        if digests:
-            made = [pa.array([hashlib.sha256(i.encode()).hexdigest() for i in ids]), pa.array([hashlib.sha256(r).hexdigest() for r in raw])]
-        else:
-            flat = np.array(" ".join(i for i in ids if i).split(" ") if any(ids) else [], np.int32)
-            ends = np.concatenate([[0], np.cumsum(n.to_numpy())]).astype(np.int32)
-            made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(raw, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, n, *made], [*batch.schema.names, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("token_ids", "decoded"))])
+    cut = regex.compile(pattern)
+    with codec(path) as bpe:
+        for batch in batches:
+            index = _Index()  # a text is kept as the numbers of its words
+            texts = [np.fromiter(map(index.__getitem__, cut.findall(t.as_py() or "")), np.int32) for t in batch.column(at)]
+            words, known = list(index), bpe.meet(index)
+            ids_of = [known[w] for w in words]
+            n, ids, raw = [], [], []
+            for text in texts:
+                text = text.tolist()
+                joined, back = " ".join(map(ids_of.__getitem__, text)), bpe.decoded(map(words.__getitem__, text))
+                n.append(joined.count(" ") + 1 if joined else 0)
+                ids.append(hashlib.sha256(joined.encode()).hexdigest() if digests else joined)
+                raw.append(hashlib.sha256(back).hexdigest() if digests else back)
+            if digests:
+                made = [pa.array(ids, pa.string()), pa.array(raw, pa.string())]
+            else:
+                flat = np.array(" ".join(i for i in ids if i).split(" ") if any(ids) else [], np.int32)
+                made = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat)), pa.array(raw, pa.binary())]
+            n = pa.array(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, n, *made], [*batch.schema.names, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("token_ids", "decoded"))])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -235,17 +275,17 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", dig
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
-    """rows with decoded (binary) for a column of token ids. Null ids decode to nothing; an id outside the vocabulary is an error."""
-    mine = rows.select(*(c for c in rows.columns if c != "decoded"))
+    """rows with decoded (binary) for a column of token ids. Null ids decode to nothing; an id outside the vocabulary, or a null among ids, is an error. A column named like the result is replaced."""
+    mine = rows.select(*(c for c in rows.columns if c.lower() != "decoded"))
     at = mine.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path)
-        for batch in batches:
-            ids = [row or [] for row in batch.column(at).to_pylist()]
-            if bad := {t for row in ids for t in row} - bpe.bytes_of.keys():
-                raise ValueError(f"ids outside the vocabulary: {sorted(bad)[:5]}")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bpe.decode(ids), pa.binary())], [*batch.schema.names, "decoded"])
+        with codec(path) as bpe:
+            for batch in batches:
+                ids = [row or [] for row in batch.column(at).to_pylist()]
+                if bad := {t for row in ids for t in row} - bpe.bytes_of.keys():
+                    raise ValueError(f"ids outside the vocabulary: {sorted(map(str, bad))[:5]}")
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bpe.decode(ids), pa.binary())], [*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mine.schema.fields) + ", decoded binary"
     return arrow_map(mine, run, schema)

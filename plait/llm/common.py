@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from plait.storage import settle, shared_folder
+from plait.storage import discard, settle, shared_folder
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "arrow_map", "fan_out", "pieces", "pin", "settle", "table"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "arrow_map", "discard", "fan_out", "free_name", "let_go", "pieces", "pin", "settle", "table"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,6 +49,26 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, step)
 
 
+def let_go() -> None:
+    """Give freed memory back to the system. Python workers live on after a stage; only what they use should count against an executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over bounded pieces."""
-    return df.mapInArrow(lambda it: f(pieces(it)), schema)
+    """mapInArrow over bounded pieces; the worker gives back what it has freed when a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(pieces(batches))
+        finally:
+            let_go()
+
+    return df.mapInArrow(run, schema)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that no column of df has (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    return next(name for i in count() if (name := f"{wanted}{i or ''}").lower() not in taken)

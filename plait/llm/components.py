@@ -1,42 +1,5 @@
-"""Connected components of a table of links, by alternating large-star and small-star rounds.
+"""Connected components of links between documents or fingerprints: those of the graph engine."""
 
-Each round is a minimum by key (combined before the shuffle) and a join back on it; each round's links are written
-in the shared folder. Only linked nodes take part, and neither links nor labels come to the driver.
-"""
+from plait.operators.stars import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from plait.llm.common import settle
-
-ROUNDS = 60
-
-
-def _star(arcs: DataFrame, large: bool) -> DataFrame:
-    """arcs u -> v with every neighbour; the neighbours of u point to the least of them (and of u itself)."""
-    least = arcs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    if large:
-        moved = arcs.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        moved = arcs.where("v <= u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        moved = moved.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of every node with a link to another: root is the least node that it reaches."""
-    edges = settle(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
-    state = None
-    for _ in range(ROUNDS):
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _star(both, large=True)
-        edges = settle(_star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), large=False))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        state = now
-    raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+__all__ = ["components"]

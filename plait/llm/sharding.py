@@ -1,56 +1,109 @@
 """Sharding indivisible groups by Karmarkar-Karp differencing.
 
-Rows of equal text form a group that no shard boundary may cut. Sums of the groups are made in Spark. Groups of at
-least an even share of ITEMS stand alone (at most ITEMS of them, by counting); all smaller ones are hashed into
-ITEMS bundles. So the differencing gets at most 2 * ITEMS items whatever the table's size, each small against a
-shard, and it balances these: the two partial partitions with the largest spread are combined in opposite order
-until one is left. Documents get their shard by a join with the item table, which has a proven bound.
+Rows of equal text form a group that no shard boundary may cut. Spark sums the groups and deals them to tasks. Differencing
+composes: a partial partition (a sum for each shard) is all that the rest needs to know of the groups in it. So each
+task differences its groups, the largest first, in chunks of CHUNK, then the chunks' partitions, until one is left;
+the driver differences these, one for each task. Every group, large or small, is placed by the method: again and again
+the two partial partitions of the largest spread are combined in opposite order. Documents get their shard by a
+join on the group, of two written tables, so that adaptive execution can split a hot text.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plait.llm.common import settle
+from plait.llm.common import arrow_map, fan_out, settle
 
-ITEMS = 4096
+#: Groups or partial partitions of one heap, and groups that a task gets, about (some 30 bytes of memory each).
+CHUNK, TASK_GROUPS = 4096, 1_000_000
 
 
-def differencing(sizes: Sequence[int], shards: int) -> list[int]:
-    """The shard of each item."""
-    if not sizes:
-        return []
-    # A partial partition: sums from large to small, and for each a chain of items (first, last).
-    after = [-1] * len(sizes)
-    heap = [(-size, i, [size] + [0] * (shards - 1), [(i, i)] + [None] * (shards - 1)) for i, size in enumerate(sizes)]
+def combined(parts: Sequence[Sequence[int]]) -> tuple[list[int], list[list[int]]]:
+    """All partial partitions as one, and for each of them what its shards become.
+
+    A partial partition is a list of sums, a shard each, from large to small; so is the result.
+    """
+    heap = [(part[-1] - part[0], i, list(part)) for i, part in enumerate(parts)]
     heapq.heapify(heap)
-    made = len(sizes)
+    into: list[tuple[int, list[int]] | None] = [None] * len(parts)  # the partition that one went into, and its shards' places there
     while len(heap) > 1:
-        _, _, a, chains_a = heapq.heappop(heap)
-        _, _, b, chains_b = heapq.heappop(heap)
-        joined = []
-        for x, p, y, q in zip(a, chains_a, reversed(b), reversed(chains_b), strict=True):
-            if p and q:
-                after[p[1]] = q[0]
-                p = (p[0], q[1])
-            joined.append((x + y, p or q))
-        joined.sort(key=lambda t: -t[0])
-        sums = [t[0] for t in joined]
-        heapq.heappush(heap, (sums[-1] - sums[0], made, sums, [t[1] for t in joined]))
-        made += 1
-    shard = [0] * len(sizes)
-    for s, chain in enumerate(heap[0][3]):
-        at = chain[0] if chain else -1
-        while at >= 0:
-            shard[at], at = s, after[at]
-    return shard
-
-
-def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", items: int = ITEMS) -> DataFrame:
+        _, i, a = heapq.heappop(heap)
+        _, k, b = heapq.heappop(heap)
+        joined = [x + y for x, y in zip(a, reversed(b), strict=True)]
+        order = sorted(range(len(joined)), key=lambda j: -joined[j])
+        place = [0] * len(joined)
+        for at, j in enumerate(order):
+            place[j] = at
+        sums = [joined[j] for j in order]
+        into[i], into[k] = (len(into), place), (len(into), place[::-1])
+        heapq.heappush(heap, (sums[-1] - sums[0], len(into), sums))
+        into.append(None)
+    final: list[list[int]] = [list(range(len(parts[0])))] * len(into)
+    for i in range(len(into) - 2, -1, -1):
+        up, place = into[i]
+        final[i] = [final[up][j] for j in place]
+    return heap[0][2], final[: len(parts)]
+
+
+def place_parts(parts: list[Sequence[int]], owner: np.ndarray, shard: np.ndarray) -> tuple[Sequence[int], np.ndarray]:
+    """Any number of partial partitions as one, CHUNK at a time; shard: of each item its shard in the partition `owner`, followed to the end."""
+    while len(parts) > 1:
+        made = [combined(parts[i : i + CHUNK]) for i in range(0, len(parts), CHUNK)]
+        shard = np.array([places for _, chunk in made for places in chunk])[owner, shard]
+        parts, owner = [sums for sums, _ in made], owner // CHUNK
+    return parts[0], shard
+
+
+def place_groups(sizes: np.ndarray, shards: int) -> tuple[Sequence[int], np.ndarray]:
+    """The sums from large to small, and the shard of each group."""
+    order = np.argsort(-sizes, kind="stable")
+    parts, first = [], []
+    for i in range(0, len(order), CHUNK):
+        sums, places = combined([[n] + [0] * (shards - 1) for n in sizes[order[i : i + CHUNK]].tolist()])
+        parts.append(sums)
+        first += [where[0] for where in places]
+    sums, placed = place_parts(parts, np.arange(len(order)) // CHUNK, np.array(first, np.int64))
+    out = np.empty(len(order), np.int64)
+    out[order] = placed
+    return sums, out
+
+
+def differencing(sizes: Sequence[int], shards: int) -> list[int]:
+    """The shard of each item."""
+    return place_groups(np.array(sizes, np.int64), shards)[1].tolist() if len(sizes) else []
+
+
+def shards_of_groups(groups: DataFrame, shards: int) -> DataFrame:
+    """__key and shard for groups (__key, __sum)."""
+    groups = settle(groups)
+    tasks = max(fan_out(groups.sparkSession), -(-groups.count() // TASK_GROUPS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not got:
+            return
+        keys, sizes, task = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sizes), pa.array(task), pa.array(place_groups(sizes, shards)[1].astype(np.int32))], ["__key", "__sum", "__task", "__own"])
+
+    dealt = groups.repartition(tasks, "__key").select("__key", "__sum", F.spark_partition_id().alias("__task"))
+    placed = settle(arrow_map(dealt, run, "__key bigint, __sum bigint, __task int, __own int"))
+    sums: dict[int, list[int]] = {}
+    for r in placed.groupBy("__task", "__own").agg(F.sum("__sum").alias("t")).collect():  # shards rows for each task, of up to TASK_GROUPS groups
+        sums.setdefault(r["__task"], [0] * shards)[r["__own"]] = r["t"]
+    known = sorted(sums)
+    items = [(t, own) for t in known for own in range(shards)]
+    where = place_parts([sums[t] for t in known], np.repeat(np.arange(len(known)), shards), np.tile(np.arange(shards), len(known)))[1].tolist() if known else []
+    final = groups.sparkSession.createDataFrame([(*item, int(s)) for item, s in zip(items, where, strict=True)], "__task int, __own int, shard int")
+    return placed.join(F.broadcast(final), ["__task", "__own"]).select("__key", "shard")
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law ("bytes"), shard, slot and grown_shard (null under this law) for every row.
 
     Rows of equal text share a shard. size is the text's UTF-8 bytes plus one; a null text is empty and belongs to the
@@ -58,7 +111,6 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     other. An empty table gives an empty result. Other columns are not read. (Texts whose 64-bit hashes are equal
     would share a shard as well, which breaks no rule.)
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = settle(
         docs.select(
@@ -68,23 +120,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
             F.xxhash64(text).alias("__key"),
         ).withColumn("__part", F.spark_partition_id())
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    bundles = rows.groupBy(F.pmod("__key", F.lit(items)).alias("__item")).agg(F.sum("size").alias("__sum"))
-    heavy = rows.groupBy("__key").agg(F.sum("size").alias("__sum")).where(F.col("__sum") * items >= total).limit(items)
-    alone = [(r[0], r[1]) for r in heavy.collect()]
-    sums = {r[0]: r[1] for r in bundles.collect()}
-    for key, size in alone:
-        sums[key % items] -= size
-    bundled = sorted(sums.items())
-    alone.sort()
-    placed = differencing([s for _, s in bundled] + [s for _, s in alone], shards)
-    by_bundle = spark.createDataFrame([(b, s) for (b, _), s in zip(bundled, placed, strict=False)], "__b bigint, __by_bundle int")
-    by_key = spark.createDataFrame([(k, s) for (k, _), s in zip(alone, placed[len(bundled) :], strict=True)], "__k bigint, __by_key int")
-    dealt = (
-        rows.join(F.broadcast(by_bundle), F.pmod("__key", F.lit(items)) == F.col("__b"), "left")
-        .join(F.broadcast(by_key), F.col("__key") == F.col("__k"), "left")
-        .select("doc_id", "size", "text_crc32", "__part", F.coalesce("__by_key", "__by_bundle").alias("shard"))
-    )
+    places = settle(shards_of_groups(rows.groupBy("__key").agg(F.sum("size").alias("__sum")), shards))
+    dealt = settle(rows.join(places.hint("merge"), "__key").select("doc_id", "size", "text_crc32", "__part", "shard"))
     # Slots: each written partition numbers its own rows of a shard, from where the partitions before it end.
     counts = dealt.groupBy("shard", "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

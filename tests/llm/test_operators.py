@@ -100,13 +100,20 @@ def test_bpe_equals_the_library(docs, empty):
         assert r["token_ids"] == enc.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode() and r["n_tokens"] == len(r["token_ids"])
     again = byte_bpe.decode(made.select("text", "token_ids"), PATH)
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in again.collect())
-    for r in byte_bpe.digests(docs, PATH, PATTERN).collect():
-        assert len(r["ids_sha256"]) == 64
+    texts = collections.Counter((r[0], r[1] or "") for r in awkward())
+    want = collections.Counter()
+    for (i, t), n in texts.items():
+        ids = enc.encode_ordinary(t)
+        want[i, len(ids), sha(" ".join(map(str, ids))), sha(t)] += n
+    got = byte_bpe.digests(docs, PATH, PATTERN)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and collections.Counter(map(tuple, got.collect())) == want
+    clash = made.select("token_ids", F.lit(1).alias("Decoded"))
+    assert byte_bpe.decode(clash, PATH).columns == ["token_ids", "decoded"]
     assert byte_bpe.encode(empty, PATH, PATTERN).count() == 0
 
 
 def test_bpe_of_hard_words():
-    codec = byte_bpe.codec(PATH)
+    codec = byte_bpe.Codec(PATH)
     enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
     rng = random.Random(1)
     words = ["".join(rng.choice(["a", "b", "ab", "the", "é", "漢", "ing", " "]) for _ in range(rng.randint(1, 400))) for _ in range(60)] + ["a" * 5000, "ab" * 300]
