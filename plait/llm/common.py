@@ -9,9 +9,9 @@ from itertools import count
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from plait.storage import discard, settle, shared_folder
+from plait.storage import discard, settle
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "arrow_map", "discard", "fan_out", "free_name", "let_go", "pieces", "pin", "settle", "table"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "arrow_map", "discard", "fan_out", "free_name", "let_go", "pieces", "settle", "table"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,14 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder: unlike a settled table it keeps its partitions, and the rows of each in order."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def fan_out(spark: SparkSession) -> int:
     """How many partitions a shuffle gets in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

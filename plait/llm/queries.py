@@ -23,10 +23,10 @@ from plait.storage import shared_folder
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ordered = training_order(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    order = training_order(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     out = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    write_shards(ordered, out)
-    return ordered.select("slot", "shard", "offset", "doc_id", "seq", "n_tokens").join(read_shards(spark, out), "slot", "left")
+    write_shards(order, out)
+    return order.places().join(read_shards(spark, out), "slot", "left").withColumn("record_sha256", F.lower(F.hex("record_sha256")))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
