@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
-from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from plait.storage import discard, settle
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "arrow_map", "discard", "fan_out", "free_name", "let_go", "pieces", "settle", "table"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "arrow_map", "discard", "fan_out", "free_prefix", "let_go", "pieces", "settle", "table"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,7 +59,6 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """A column name that no column of df has (names are compared without case)."""
-    taken = {c.lower() for c in df.columns}
-    return next(name for i in count() if (name := f"{wanted}{i or ''}").lower() not in taken)
+def free_prefix(df: DataFrame) -> str:
+    """Underscores that no column of df begins with: names made with them clash with none."""
+    return "_" * (2 + max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0))

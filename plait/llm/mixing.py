@@ -1,28 +1,35 @@
 """Mixing sources to target weights by temperature.
 
 The weight of a source is its token share to a power a, normalised: a = 1 keeps the shares, a = 0 makes all sources
-equal. The exponent is bisected to the largest that meets a target entropy, or to the least that keeps a
-limit on repetition (entropy falls and repetition falls as a grows). Weights times a token budget give each
-source whole passes and a remainder.
-
-A keyed hash permutes the documents; its leading bits cut the permutation into blocks. The remainder of a source takes
-whole blocks from the front, and of the block where it ends the documents up to a cut in the permutation. So all
-that a document needs is its own hash and one row of its source: no source, however large, is sorted or gathered,
-and only the one cut block of a source is ordered.
+equal. Tokens are those of a byte-level BPE, or any column. The exponent is bisected to the largest that meets a target
+entropy, or to the least that keeps a limit on repetition (entropy falls and repetition falls as a grows). Weights
+times a token budget give each source whole passes and a remainder.
+
+A keyed hash permutes the documents; its leading bits cut the permutation into blocks, and blocks into smaller blocks.
+The remainder of a source takes whole blocks from the front; of the block where it ends whole smaller blocks, and of the
+smallest the documents up to a cut in the permutation. So all that a document needs is its own hash and one row
+of its source: no source, however large, is sorted or gathered, and only the one cut block of a source is ordered.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plait.llm.common import settle
+from plait.llm.common import arrow_map, free_prefix, settle
+from plait.llm.token_output import encoding
 
-#: Sources are a configured set; more than this is an error, as their table goes to the driver. Documents of a block, about.
-MOST_SOURCES, BLOCK_DOCS, TOP = 100_000, 4096, (1 << 63) - 1
+#: Sources whose sums go to the driver, and whose table is broadcast; with more of them the same sums are made in Spark. Documents of a block, about.
+FEW_SOURCES, BLOCK_DOCS, TOP = 100_000, 4096, (1 << 63) - 1
+
+#: Of an exponent a, with shares p of tokens t: sum of p ** a, sum of p ** a * ln p, largest t / p ** a, largest p ** a / t.
+Moments = Callable[[float], tuple[float, float, float, float]]
 
 
 def weights(tokens: Sequence[float], exponent: float) -> list[float]:
@@ -35,48 +42,78 @@ def entropy(w: Sequence[float]) -> float:
     return -sum(x * math.log(x) for x in w if x > 0)
 
 
-def bisect_exponent(tokens: Sequence[float], good: Callable[[list[float]], bool], want_large: bool, rounds: int = 60) -> float:
-    """The largest (want_large) or least exponent in [0, 1] whose weights are good; if none is, the end nearest to it."""
+def bisect_exponent(good: Callable[[float], bool], want_large: bool, rounds: int = 60) -> float:
+    """The largest (want_large) or least exponent in [0, 1] that is good; if none is, the end nearest to it."""
     low, high = 0.0, 1.0
     end, other = (high, low) if want_large else (low, high)
-    if good(weights(tokens, end)) or not good(weights(tokens, other)):
-        return end if good(weights(tokens, end)) else other
+    if found := good(end):
+        return end
+    if not good(other):
+        return other if found else end
     for _ in range(rounds):
         mid = (low + high) / 2
-        if good(weights(tokens, mid)) == want_large:
+        if good(mid) == want_large:
             low = mid
         else:
             high = mid
     return low if want_large else high
 
 
-def _passes(tokens: Sequence[int], w: Sequence[float], budget: float) -> float:
-    return max((budget * x / t for x, t in zip(w, tokens, strict=True) if t), default=0.0)
+def moments_of(tokens: Sequence[int]) -> Moments:
+    some = [t for t in tokens if t]
+    logs = [math.log(t / sum(some)) for t in some]
+
+    def at(a: float) -> tuple[float, float, float, float]:
+        raw = [math.exp(a * x) for x in logs]
+        return sum(raw), sum(r * x for r, x in zip(raw, logs, strict=True)), max(t / r for t, r in zip(some, raw, strict=True)), max(r / t for t, r in zip(some, raw, strict=True))
 
+    return at
+
+
+def moments_in(sums: DataFrame, total: int) -> Moments:
+    """The same for a table with a column t, however many rows it has."""
+    log = F.log(F.col("t") / F.lit(total))
+
+    def at(a: float) -> tuple[float, float, float, float]:
+        raw = F.exp(F.lit(a) * log)
+        return tuple(sums.where("t > 0").agg(F.sum(raw), F.sum(raw * log), F.max(F.col("t") / raw), F.max(raw / F.col("t"))).first())
+
+    return at
 
-def exponent_for(tokens: Sequence[int], target_entropy: float | None, repetition: float | None, budget: int | None) -> tuple[float, int]:
-    """Exponent and budget. target_entropy: a share of the entropy of equal weights. repetition: the most passes over a source.
+
+def solve(at: Moments, n: int, target_entropy: float | None, repetition: float | None, budget: int | None) -> tuple[float, int]:
+    """Exponent and budget for n sources with tokens. target_entropy: a share of the entropy of equal weights. repetition: the most passes over a source.
 
     budget None: enough for a whole pass over every source. Of two targets, the limit on repetition prevails.
     """
-    some = [t for t in tokens if t]
-    if not some:
+    if not n:
         return 1.0, 0
 
-    def needed(w: list[float]) -> float:
-        return budget if budget is not None else max(t / x for t, x in zip(some, w, strict=True))
+    def entropy_at(a: float) -> float:
+        total, by_log, *_ = at(a)
+        return math.log(total) - a * by_log / total
+
+    def needed(a: float) -> float:
+        total, _, largest, _ = at(a)
+        return budget if budget is not None else total * largest
+
+    def passes(a: float) -> float:
+        total, _, _, densest = at(a)
+        return needed(a) / total * densest
 
     exponent = 1.0
     if target_entropy is not None:
-        exponent = bisect_exponent(some, lambda w: entropy(w) >= target_entropy * math.log(max(len(some), 1)), want_large=True)
+        exponent = bisect_exponent(lambda a: entropy_at(a) >= target_entropy * math.log(n), want_large=True)
     if repetition is not None:
-        least = bisect_exponent(some, lambda w: _passes(some, w, needed(w)) <= repetition, want_large=False)
+        least = bisect_exponent(lambda a: passes(a) <= repetition, want_large=False)
         exponent = max(exponent, least) if target_entropy is not None else least
-    return exponent, math.ceil(needed(weights(some, exponent)))
+    return exponent, math.ceil(needed(exponent))
 
 
-def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+def exponent_for(tokens: Sequence[int], target_entropy: float | None, repetition: float | None, budget: int | None) -> tuple[float, int]:
+    """solve() for a list of token sums."""
+    n = sum(t > 0 for t in tokens)
+    return solve(moments_of(tokens) if n else (lambda a: (0.0, 0.0, 0.0, 0.0)), n, target_entropy, repetition, budget)
 
 
 def permuted(id_col: str, seed: int) -> Column:
@@ -84,57 +121,83 @@ def permuted(id_col: str, seed: int) -> Column:
     return F.xxhash64(F.col(id_col), F.lit(seed)).bitwiseAND(F.lit(TOP))
 
 
-def plan(rows: DataFrame, target_entropy: float | None, repetition: float | None, budget: int | None) -> DataFrame:
-    """For rows (source, n_tokens, place): source, source_tokens, weight, token_budget, passes and cut (places before it get one pass more)."""
-    spark = rows.sparkSession
-    sums = rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(sums) > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources")
-    sums.sort(key=lambda r: (r["source"] is not None, r["source"]))
-    tokens = [r["t"] for r in sums]
-    exponent, budget = exponent_for(tokens, target_entropy, repetition, budget)
-    shares = weights(tokens, exponent) if any(tokens) else [0.0] * len(tokens)
-    made = []
-    for r, w in zip(sums, shares, strict=True):
-        mine = math.floor(budget * w * (1 + 1e-12))
-        passes, rest = divmod(mine, r["t"]) if r["t"] else (1, 0)
-        made.append((r["source"], r["t"], w, mine, passes, rest))
-    sources = spark.createDataFrame(made, "source string, source_tokens bigint, weight double, token_budget bigint, passes bigint, rest bigint")
-    bits = max(0, math.ceil(math.log2(max(1, sum(r["n"] for r in sums) / BLOCK_DOCS))))
-    block = F.shiftright("place", 63 - bits) if bits else F.lit(0).cast("bigint")
-    blocks = rows.groupBy("source", block.alias("block")).agg(F.sum("n_tokens").alias("t"))
-    upto = Window.partitionBy("source").orderBy("block")
-    ends = blocks.withColumn("end", F.sum("t").over(upto)).alias("b").join(F.broadcast(sources).alias("s"), F.expr("b.source <=> s.source"))
-    # The block in which the remainder ends, and what is left of it there.
-    cut_blocks = ends.where("end > rest and end - t <= rest").select("b.source", "block", (F.col("rest") - F.col("end") + F.col("t")).alias("left"))
-    first = cut_blocks.groupBy("source").agg(F.min(F.struct("block", "left")).alias("x")).select(F.col("source").alias("cs"), "x.block", "x.left")
-    inside = rows.withColumn("block", block).join(F.broadcast(first.withColumnRenamed("block", "cb")), F.expr("source <=> cs and block = cb"))
-    before = Window.partitionBy("source", "block").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    cuts = inside.withColumn("end", F.sum("n_tokens").over(before)).where(F.col("end") > F.col("left")).groupBy("source").agg(F.min("place").alias("cut"))
-    return sources.alias("s").join(cuts.alias("c"), F.expr("s.source <=> c.source"), "left").select(
-        "s.source", "source_tokens", "weight", "token_budget", "passes", F.coalesce("cut", F.lit(0)).cast("bigint").alias("cut")
+def counted(docs: DataFrame, tokens: Column | None, seed: int, id_col: str, text_col: str, source_col: str, path: str | None, pattern: str) -> DataFrame:
+    """doc_id, source, n_tokens and place of every document, written once. tokens None: the BPE's count of each text."""
+    mine = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), permuted(id_col, seed).alias("place")]
+    if tokens is not None:
+        return settle(docs.select(*mine, F.coalesce(tokens, F.lit(0)).cast("bigint").alias("n_tokens")))
+    rows, path = docs.select(*mine, F.col(text_col).alias("text")), path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoding(path, pattern).encode_ordinary
+        for batch in batches:
+            n = np.fromiter((len(encode(t.as_py() or "")) for t in batch.column(3)), np.int64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n)], ["doc_id", "source", "place", "n_tokens"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:3])
+    return settle(arrow_map(rows, run, f"{kinds}, n_tokens bigint"))
+
+
+def plan(rows: DataFrame, target_entropy: float | None, repetition: float | None, budget: int | None) -> tuple[DataFrame, bool]:
+    """For rows (source, n_tokens, place): source, source_tokens, weight, token_budget, passes and cut (places before it get one pass more), written; and whether that may be broadcast."""
+    sums = settle(rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")))
+    n_sources, some, total, n = sums.agg(F.count(F.lit(1)), F.count_if(F.col("t") > 0), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    few = n_sources <= FEW_SOURCES
+    small = F.broadcast if few else lambda df: df
+    at = (moments_of([r["t"] for r in sums.select("t").collect()]) if few else moments_in(sums, total)) if some else (lambda a: (1.0, 0.0, 0.0, 0.0))
+    exponent, budget = solve(at, some, target_entropy, repetition, budget)
+    weight = F.when(F.col("t") > 0, F.exp(F.lit(exponent) * F.log(F.col("t") / F.lit(max(total, 1)))) / F.lit(at(exponent)[0])).otherwise(0.0)
+    mine = F.floor(F.lit(float(budget)) * weight * (1 + 1e-12)).cast("bigint")
+    sources = sums.select("source", F.col("t").alias("source_tokens"), weight.alias("weight"), mine.alias("token_budget")).select(
+        "*", F.expr("if(source_tokens > 0, token_budget div source_tokens, 1)").alias("passes"), F.expr("if(source_tokens > 0, token_budget % source_tokens, 0)").alias("rest")
     )
-
-
-def mix_plan(docs: DataFrame, target_entropy: float | None = None, repetition: float | None = None, budget: int | None = None, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    sources = settle(sources)
+    bits = max(0, math.ceil(math.log2(max(1, n / BLOCK_DOCS))))
+    # Where the remainder of a source ends: the block, then the smaller block in it, and how many tokens are left of it there.
+    ends, upto = sources.select("source", F.lit(0).cast("bigint").alias("block"), F.col("rest").alias("left")), Window.partitionBy("source").orderBy("block")
+    known = 0
+
+    def inside() -> DataFrame:
+        there = ends.select(F.col("source").alias("s"), F.col("block").alias("b"), "left")
+        return rows.join(small(there), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("place", 63 - known) == F.col("b"))).select("source", "place", "n_tokens", "left")
+
+    for upper in sorted({bits // 2, bits}):
+        blocks = inside().groupBy("source", "left", F.shiftright("place", 63 - upper).alias("block")).agg(F.sum("n_tokens").alias("t"))
+        last = blocks.withColumn("end", F.sum("t").over(upto)).where("end > left and end - t <= left")
+        ends = settle(last.groupBy("source").agg(F.min(F.struct("block", (F.col("left") - F.col("end") + F.col("t")).alias("left"))).alias("x")).select("source", "x.block", "x.left"))
+        known = upper
+    before = Window.partitionBy("source").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = inside().withColumn("end", F.sum("n_tokens").over(before)).where("end > left").groupBy("source").agg(F.min("place").alias("cut"))
+    found = sources.alias("s").join(small(cuts).alias("c"), F.expr("s.source <=> c.source"), "left")
+    return settle(found.select("s.source", "source_tokens", "weight", "token_budget", "passes", F.coalesce("cut", F.lit(0)).cast("bigint").alias("cut"))), few
+
+
+def mix_plan(
+    docs: DataFrame, target_entropy: float | None = None, repetition: float | None = None, budget: int | None = None, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    tokens: Column | None = None, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
+) -> DataFrame:
     """One row per document: doc_id, source, n_tokens, weight, source_tokens, token_budget and copies (0: left out).
 
-    Tokens are words between white space; a null text has none. A null source is a source of its own; documents with
-    equal ids share their place in the permutation. An empty table gives an empty result. Other columns are not read.
+    n_tokens: `tokens`, an expression over docs, or else the number of ids that the byte-level BPE of `path` gives the text;
+    null counts as none. A null source is a source of its own; documents with equal ids share their place in the
+    permutation. An empty table gives an empty result. Other columns are not read.
     """
-    rows = settle(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("n_tokens"), permuted(id_col, seed).alias("place"))
-    )
-    table = plan(rows, target_entropy, repetition, budget)
-    return rows.alias("d").join(F.broadcast(table).alias("p"), F.expr("d.source <=> p.source")).select(
+    rows = counted(docs, tokens, seed, id_col, text_col, source_col, path, pattern)
+    table, few = plan(rows, target_entropy, repetition, budget)
+    return rows.alias("d").join((F.broadcast(table) if few else table).alias("p"), F.expr("d.source <=> p.source")).select(
         "doc_id", "d.source", "n_tokens", "weight", "source_tokens", "token_budget", (F.col("passes") + (F.col("place") < F.col("cut")).cast("bigint")).alias("copies")
     )
 
 
-def mix(docs: DataFrame, target_entropy: float | None = None, repetition: float | None = None, budget: int | None = None, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixture itself: the rows of docs, each as often as its copies, with the columns of docs. Nothing is shuffled but sums."""
-    rows = settle(docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("n_tokens"), permuted(id_col, seed).alias("place")))
-    table = settle(plan(rows, target_entropy, repetition, budget)).select(F.col("source").alias("__s"), F.col("passes").alias("__passes"), F.col("cut").alias("__cut"))
-    copies = F.col("__passes") + (permuted(id_col, seed) < F.col("__cut")).cast("bigint")
-    mixed = docs.join(F.broadcast(table), docs[source_col].eqNullSafe(F.col("__s")))
-    return mixed.withColumn("__copies", copies.cast("int")).where("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
+def mix(
+    docs: DataFrame, target_entropy: float | None = None, repetition: float | None = None, budget: int | None = None, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    tokens: Column | None = None, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
+) -> DataFrame:
+    """The mixture itself: the rows of docs, each as often as its copies in mix_plan, with the columns of docs. Nothing is shuffled but sums (and documents by source, if there are over FEW_SOURCES)."""
+    rows = counted(docs, tokens, seed, id_col, text_col, source_col, path, pattern).select("source", "n_tokens", "place")
+    table, few = plan(rows, target_entropy, repetition, budget)
+    s, passes, cut, copies, copy = (free_prefix(docs) + x for x in ("source", "passes", "cut", "copies", "copy"))
+    table = table.select(F.col("source").alias(s), F.col("passes").alias(passes), F.col("cut").alias(cut))
+    mixed = docs.join(F.broadcast(table) if few else table, docs[source_col].eqNullSafe(F.col(s)))
+    mixed = mixed.withColumn(copies, (F.col(passes) + (permuted(id_col, seed) < F.col(cut)).cast("bigint")).cast("int")).where(F.col(copies) > 0)
+    return mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*docs.columns)

@@ -73,7 +73,7 @@ class Permutation:
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
+def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -84,7 +84,7 @@ def sequences(docs: DataFrame, path: str, pattern: str, length: int, end: int, i
     the task's earlier rows), written once: whoever reads the rows, and in what pieces, finds the same numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, before = _encoding(path, pattern).encode_ordinary, 0
+        encode, before = encoding(path, pattern).encode_ordinary, 0
         for batch in batches:
             ids = [array("H", [*encode(t or ""), end]) for t in batch.column(1).to_pylist()]
             n = np.array([len(i) for i in ids], np.int32)
