@@ -5,8 +5,10 @@ symbol runs, separators, repeated neighbours, share of distinct words), the same
 t0 < t1 < ... cut it into grades: P(grade <= j) = logistic(t_j - w.x). So one set of weights gives the expected
 grade and every tail probability P(grade >= j), and documents are selected by a tail.
 
-The model is fitted on the driver to at most TRAIN_ROWS labelled documents, the first by a hash of their id (a fixed,
-documented bound); their features are made on the executors. Scoring is one pass without a shuffle.
+The model is fitted on the driver to at most TRAIN_ROWS labelled documents, the first by a hash of their id, and of these
+to as many as have TRAIN_FEATURES features together (fixed, documented bounds: what comes to the driver does not
+grow with the table or with the length of texts); their features are made on the executors. Scoring is one pass
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plait.llm.common import arrow_map
+from plait.llm.common import arrow_map, free_prefix, settle
 
-TRAIN_ROWS, BUCKETS, RATES, MEMORY, STEP = 12_000, 1 << 18, 6, 120_000, 1000
+TRAIN_ROWS, TRAIN_FEATURES, BUCKETS, RATES, MEMORY, STEP = 12_000, 24_000_000, 1 << 18, 6, 120_000, 1000
 #: A word feature counts if it is in as many training documents at least.
 LEAST_DOCS = 8
+RESULTS = ("score", "expected_grade", "p_tail", "keep")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _RUN = re.compile(r"[^\w\s]{2}")
 _CORE = re.compile(r"\w+")
@@ -125,22 +128,31 @@ def fit(cols: np.ndarray, lengths: np.ndarray, rates: np.ndarray, grades: np.nda
     return OrdinalModel(weights, x[w_end : w_end + RATES], np.concatenate([raw[:1], raw[0] + np.cumsum(np.exp(np.clip(raw[1:], -8, 8)))]))
 
 
-def train(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int = 3, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS) -> OrdinalModel:
-    """A model from labelled documents. grade: an expression over labels, 0 to n_grades - 1; rows where it is null, or whose document is missing, are left out."""
+def train(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int = 3, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS, most: int = TRAIN_FEATURES) -> OrdinalModel:
+    """A model from labelled documents. grade: an expression over labels, 0 to n_grades - 1; rows where it is null, or whose document is missing, are left out.
+
+    An id with several labels has the least of them; of several documents with one id, that of the least hash counts.
+    """
     drawn = (
         labels.select(F.col(id_col).alias("__id"), grade.cast("int").alias("__grade")).where("__id is not null and __grade is not null")
         .groupBy("__id").agg(F.min("__grade").alias("__grade")).orderBy(F.xxhash64("__id"), "__id").limit(limit)
     )
-    mine = docs.join(F.broadcast(drawn), docs[id_col] == F.col("__id")).select("__grade", F.col(text_col).alias("text"))  # limit rows of two numbers
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
+    mine = texts.join(F.broadcast(drawn), F.col("__doc") == F.col("__id")).select("__grade", "text", F.xxhash64("__id").alias("place"), F.xxhash64("text").alias("pick"))  # limit rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
         for batch in batches:
             made = [features(t, codes) for t in batch.column(1).to_pylist()]
             ids = pa.array([b.astype(np.int32) for b, _ in made], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([r for _, r in made], pa.list_(pa.float64()))], ["grade", "ids", "rates"])
-
-    got = arrow_map(mine, run, "grade int, ids array<int>, rates array<double>").toArrow().combine_chunks()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), ids, pa.array([r for _, r in made], pa.list_(pa.float64()))], ["grade", "place", "pick", "ids", "rates"])
+
+    made = arrow_map(mine, run, "grade int, place bigint, pick bigint, ids array<int>, rates array<double>")
+    once = settle(made.groupBy("place").agg(F.min_by(F.struct("grade", "ids", "rates"), "pick").alias("x")).select("place", "x.*"))
+    sizes = sorted((r["place"], r["n"]) for r in once.select("place", F.size("ids").alias("n")).collect())  # limit rows
+    upto = np.cumsum([n for _, n in sizes])
+    fits = int(np.searchsorted(upto, most, side="right"))
+    got = (once if fits == len(sizes) else once.where(F.col("place") < sizes[fits][0])).orderBy("place").select("grade", "ids", "rates").toArrow().combine_chunks()
     if not got.num_rows:
         return fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, RATES)), np.zeros(0, np.int64), n_grades)
     ids = pa.concat_arrays(got["ids"].chunks)
@@ -155,7 +167,7 @@ def score(docs: DataFrame, model: OrdinalModel, cut: float = 0.6, text_col: str
     A null text is empty; a text without words is scored by its rates only. All rows and columns stay; columns named
     like a result column are replaced. A model that was fitted on fewer than two grades rejects nothing.
     """
-    new = ("score", "expected_grade", "p_tail", "keep")
+    new = RESULTS
     mine = docs.select(*(c for c in docs.columns if c.lower() not in new))
     at = mine.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -174,6 +186,13 @@ def score(docs: DataFrame, model: OrdinalModel, cut: float = 0.6, text_col: str
     return arrow_map(mine, run, f"{schema}, score double, expected_grade double, p_tail double, keep boolean")
 
 
+def select(docs: DataFrame, model: OrdinalModel, cut: float = 0.6, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score() keeps, with the columns of docs (those named like a result of score as well)."""
+    own = free_prefix(docs)
+    safe = {c: own + c if c.lower() in RESULTS else c for c in docs.columns}
+    return score(docs.withColumnsRenamed(safe), model, cut, safe[text_col]).where("keep").select(*(F.col(name).alias(c) for c, name in safe.items()))
+
+
 def grade_of_labels() -> Column:
     """Ratings of the labels table: 0 poor, 1 sound but toxic, 2 clean."""
     return F.expr("CASE WHEN quality = 0 THEN 0 WHEN quality = 1 AND toxic = 1 THEN 1 WHEN quality = 1 AND toxic = 0 THEN 2 END")
