@@ -3,11 +3,12 @@
 Each vector is cut into m slices, and for a query each slice orders the vectors by their partial score: m
 score lists, held locally by every task for its own rows.
 
-1. Every task gathers the k best entries of each of its lists and resolves their full scores. The k-th best of
-   all of them is a score that at least k vectors reach: a safe cutoff for the query.
+1. Every task gathers the k best entries of each of its lists and resolves the full scores of these alone. The k-th
+   best of all of them is a score that at least k vectors reach: a safe cutoff for the query.
 2. The cutoffs are broadcast. A vector whose full score reaches cutoff c has a list with an entry of c / m or more,
    so each list yields its entries from the uniform threshold c / m on; what is missing of a vector counts as the
-   threshold, and a vector whose bound stays under c goes.
+   threshold, and a vector whose bound stays under c goes. A list whose entries cannot reach the threshold in a block
+   of vectors, by the largest length of its slices there, is not computed for that block and query.
 3. The remaining scores are resolved in full; those at or over c are ranked, ties by the smaller id.
 
 The query set may grow with the table, so it is cut into blocks of QUERY_BLOCK vectors: only one block (a few MB,
@@ -56,9 +57,17 @@ def _by_width(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray,
                 yield ids[part], np.zeros((len(part), 0))
 
 
+def _largest(a: np.ndarray, b: np.ndarray) -> float:
+    """A bound of all inner products; an error where they might not fit 64 bits."""
+    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(a.shape[1], 1)
+    if most >= 2.0**62:
+        raise ValueError("inner products of these vectors may not fit 64 bits")
+    return most
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products: doubles while they hold every sum, else 64-bit integers."""
-    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(a.shape[1], 1)
+    most = _largest(a, b)
     return (a @ b.T).astype(np.int64) if most < 2**53 else a.astype(np.int64) @ b.astype(np.int64).T
 
 
@@ -97,16 +106,15 @@ def _gather(batches, block, k: int, lists: int, scale: float):
         for ids, rows in _by_width(batch, scale):
             for q_ids, queries in block.get(rows.shape[1], ()):
                 partial = [_product(queries[:, s], rows[:, s]) for s in _slices(rows.shape[1], lists)]
-                total = sum(partial)
                 own = q_ids[:, None] == ids[None, :]
                 if len(ids) <= k + 1:
                     q, r = np.nonzero(~own)
                 else:
-                    top = np.concatenate([np.argpartition(p, -k - 1, axis=1)[:, -k - 1 :] for p in partial], axis=1)
-                    pick = np.zeros(total.shape, bool)
-                    np.put_along_axis(pick, top, True, axis=1)
+                    pick = np.zeros(own.shape, bool)
+                    for p in partial:
+                        np.put_along_axis(pick, np.argpartition(p, -k - 1, axis=1)[:, -k - 1 :], True, axis=1)
                     q, r = np.nonzero(pick & ~own)
-                best.add(q_ids[q], ids[r], total[q, r])
+                best.add(q_ids[q], ids[r], sum(p[q, r] for p in partial))
     q, v, s = best.done()
     if len(q):
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
@@ -118,16 +126,23 @@ def _resolve(batches, block, cutoffs, k: int, lists: int, scale: float):
     for batch in batches:
         for ids, rows in _by_width(batch, scale):
             for q_ids, queries in block.get(rows.shape[1], ()):
+                _largest(queries, rows)
                 parts = _slices(rows.shape[1], lists)
                 cut = np.array([cutoffs.get(int(q), np.iinfo(np.int64).min // 4) for q in q_ids])[:, None]
                 least = -((-cut) // len(parts))  # c / m, up to the next integer
-                partial = [_product(queries[:, s], rows[:, s]) for s in parts]
+                # By the lengths of slices no entry of a list is over |q| * |r|.
+                reach = [np.linalg.norm(queries[:, s], axis=1) * np.linalg.norm(rows[:, s], axis=1).max(initial=0) for s in parts]
+                some = np.flatnonzero(np.logical_or.reduce([x * (1 + 1e-9) + 1 >= least[:, 0] for x in reach]))
+                if not len(some):
+                    continue
+                asked, mine, cut, least = queries[some], q_ids[some], cut[some], least[some]
+                partial = [_product(asked[:, s], rows[:, s]) for s in parts]
                 sent = [p >= least for p in partial]
                 bound = sum(np.where(there, p, least) for there, p in zip(sent, partial, strict=True))
-                q, r = np.nonzero(np.logical_or.reduce(sent) & (bound >= cut) & (q_ids[:, None] != ids[None, :]))
+                q, r = np.nonzero(np.logical_or.reduce(sent) & (bound >= cut) & (mine[:, None] != ids[None, :]))
                 total = sum(p[q, r] for p in partial)
                 good = total >= cut[q, 0]
-                best.add(q_ids[q[good]], ids[r[good]], total[good])
+                best.add(mine[q[good]], ids[r[good]], total[good])
     q, v, s = best.done()
     if len(q):
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
@@ -148,7 +163,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
     Components count as floor(scale * x); the score is the integer inner product. Rows with a null id, a null
     vector, or a null or non-finite component take no part; vectors are compared with those of their own length
     only (an empty vector scores 0). Fewer than k other rows: all of them. Rows that repeat an id are each a
-    candidate, but a query never finds its own id, and of repeated query ids the smallest vector is asked. Other columns are not read.
+    candidate, but a query never finds its own id, and of repeated query ids the smallest vector is asked. Finite components
+    so large that a score might not fit 64 bits are an error. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
