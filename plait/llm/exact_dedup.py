@@ -15,19 +15,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plait.llm.common import fan_out
+from plait.llm.common import fan_out, free_prefix
 
 #: Characters of a text's head in the sort key; sampled rows and splits of a hot text for each partition.
 HEAD, SAMPLE, SPLITS = 48, 64, 4
+RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def _hot(keyed: DataFrame, n: int) -> list[int]:
+def _hot(keyed: DataFrame, key: str, n: int) -> list[int]:
     """Hashes of the texts with over a quarter of a partition's share of the rows; 4n at most, by counting."""
     rows = keyed.count()
     share = min(1.0, SAMPLE * n / max(rows, 1))
-    drawn = keyed.select("__hash") if share == 1.0 else keyed.select("__hash").sample(share, seed=7)
+    drawn = keyed.select(key) if share == 1.0 else keyed.select(key).sample(share, seed=7)
     least = max(2, SAMPLE // 4)
-    return [r[0] for r in drawn.groupBy("__hash").count().where(F.col("count") > least).orderBy(F.desc("count")).limit(SPLITS * n).collect()]
+    return [r[0] for r in drawn.groupBy(key).count().where(F.col("count") > least).orderBy(F.desc("count")).limit(SPLITS * n).collect()]
 
 
 def groups_of_equal_texts(
@@ -42,48 +43,51 @@ def groups_of_equal_texts(
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep must be smallest or largest, not {keep!r}")
-    n = fan_out(docs.sparkSession)
+    n, own = fan_out(docs.sparkSession), free_prefix(docs)
     best, first = (F.min, F.asc_nulls_last) if keep == "smallest" else (F.max, F.desc_nulls_last)
     text = F.coalesce((F.col(text_col) if normalise is None else normalise).cast("string"), F.lit(""))
-    mine = [c for c in docs.columns if c.lower() not in ("keep_id", "group_size", "kept", "text_sha256")]
-    keyed = docs.select(*mine, text.alias("__text")).withColumn("__hash", F.xxhash64("__text"))
-    hot = _hot(keyed, n)
-    is_hot = F.col("__hash").isin(hot) if hot else F.lit(False)
+    mine = [c for c in docs.columns if c.lower() not in RESULTS]
+    keyed = docs.select(*mine, text.alias(own + "text")).withColumn(own + "hash", F.xxhash64(own + "text"))
+    hot = _hot(keyed, own + "hash", n)
+    is_hot = F.col(own + "hash").isin(hot) if hot else F.lit(False)
     # The Window's keys hold all keys of the ranges, so it needs no second exchange (a constant salt would be folded away).
-    keys = ["__head", "__hash", *["__salt"] * bool(hot)]
+    keys = [own + "head", own + "hash", *[own + "salt"] * bool(hot)]
     salt = F.when(is_hot, F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(SPLITS * n))).otherwise(F.lit(0).cast("bigint"))
-    spread = keyed.withColumns({"__head": F.substring("__text", 1, HEAD)} | ({"__salt": salt} if hot else {})).repartitionByRange(n, *keys)
-    same = Window.partitionBy(*keys, "__text")
+    spread = keyed.withColumns({own + "head": F.substring(own + "text", 1, HEAD)} | ({own + "salt": salt} if hot else {})).repartitionByRange(n, *keys)
+    same = Window.partitionBy(*keys, own + "text")
     found = spread.withColumns(
         {
-            "__rank": F.row_number().over(same.orderBy(first(id_col))),
-            "__keep": best(id_col).over(same),
-            "__size": F.count(F.lit(1)).over(same),
-            "__sha": F.sha2("__text", 256),
+            own + "rank": F.row_number().over(same.orderBy(first(id_col))),
+            own + "keep": best(id_col).over(same),
+            own + "size": F.count(F.lit(1)).over(same),
+            own + "sha": F.sha2(own + "text", 256),
         }
     )
     if hot:
         # At most SPLITS * n rows (plus hash collisions among them), of fixed width: the digest stands for the text.
         whole = (
             keyed.where(is_hot)
-            .select(F.sha2("__text", 256).alias("__hot"), F.col(id_col).alias("__id"))
-            .groupBy("__hot")
-            .agg(best("__id").alias("__hot_keep"), F.count(F.lit(1)).alias("__hot_size"))
+            .select(F.sha2(own + "text", 256).alias(own + "hot"), F.col(id_col).alias(own + "id"))
+            .groupBy(own + "hot")
+            .agg(best(own + "id").alias(own + "hot_keep"), F.count(F.lit(1)).alias(own + "hot_size"))
         )
-        found = found.join(F.broadcast(whole), found["__sha"] == whole["__hot"], "left")
-        split = F.col("__hot").isNotNull()
-        keep_id, size = F.when(split, F.col("__hot_keep")).otherwise(F.col("__keep")), F.when(split, F.col("__hot_size")).otherwise(F.col("__size"))
+        found = found.join(F.broadcast(whole), found[own + "sha"] == whole[own + "hot"], "left")
+        split = F.col(own + "hot").isNotNull()
+        keep_id, size = F.when(split, F.col(own + "hot_keep")).otherwise(F.col(own + "keep")), F.when(split, F.col(own + "hot_size")).otherwise(F.col(own + "size"))
     else:
-        keep_id, size = F.col("__keep"), F.col("__size")
+        keep_id, size = F.col(own + "keep"), F.col(own + "size")
     return found.select(
         *mine,
         keep_id.alias("keep_id"),
         size.alias("group_size"),
-        ((F.col("__rank") == 1) & F.col(id_col).eqNullSafe(keep_id)).alias("kept"),
-        F.col("__sha").alias("text_sha256"),
+        ((F.col(own + "rank") == 1) & F.col(id_col).eqNullSafe(keep_id)).alias("kept"),
+        F.col(own + "sha").alias("text_sha256"),
     )
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise: Column | None = None) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs."""
-    return groups_of_equal_texts(docs, id_col, text_col, keep, normalise).where("kept").select(*docs.columns)
+    """The rows of docs that stay, with the columns of docs (those named like a result of groups_of_equal_texts as well)."""
+    own = free_prefix(docs)
+    safe = {c: own + c if c.lower() in RESULTS else c for c in docs.columns}
+    found = groups_of_equal_texts(docs.withColumnsRenamed(safe), safe[id_col], safe[text_col], keep, normalise)
+    return found.where("kept").select(*(F.col(name).alias(c) for c, name in safe.items()))
