@@ -107,8 +107,8 @@ def simhash_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id",
     rows = settle(fingerprints(docs, width, id_col, text_col))
     fps = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     linked = components(links(fps))
-    named = linked.join(fps, linked["node"] == fps["fp"]).select("node", "root", "first")
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    named = settle(linked.join(fps, linked["node"] == fps["fp"]).select("node", "root", "first"))
+    least = settle(named.groupBy("root").agg(F.min("first").alias("least")))  # a root may have a third of all nodes: see below
     merged = named.join(least, "root").select("node", "least")
     # A fingerprint may belong to a third of all rows. With both sides written, both are shuffled for the last join alone,
     # and adaptive execution can split its partitions.

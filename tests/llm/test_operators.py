@@ -76,6 +76,10 @@ def test_exact_dedup(docs, keep):
     kept = [t or "" for _, t, _, _, k, _ in found if k]
     assert sorted(kept) == sorted(groups)
     assert exact_dedup(docs).columns == docs.columns and exact_dedup(docs).count() == len(groups)
+    clash = docs.withColumns({"__hash": F.lit("x"), "__text": F.lit("y"), "__salt": F.lit("z")})
+    for r in groups_of_equal_texts(clash, keep=keep).collect():
+        assert (r["__hash"], r["__text"], r["__salt"]) == ("x", "y", "z")
+    assert {r["keep_id"] for r in exact_dedup(docs).collect() if r["doc_id"] is not None} == {"y"}
 
 
 def test_exact_dedup_of_a_hot_group_and_of_nothing(spark, empty):
@@ -155,6 +159,77 @@ def test_quality_learns_grades(spark, empty):
     assert quality.score(empty, quality.train(empty, frame, quality.grade_of_labels())).count() == 0
 
 
+def plain_loss(w, d, cuts, rows, rates, grades):
+    """Mean negative log-likelihood of an ordinal model, one row at a time."""
+    total = 0.0
+    for words, rate, g in zip(rows, rates, grades, strict=True):
+        x = sum(w[b] for b in words) + sum(a * b for a, b in zip(d, rate, strict=True))
+        upto = [0.0, *(1 / (1 + np.exp(x - c)) for c in cuts), 1.0]
+        total -= np.log(upto[g + 1] - upto[g])
+    return total / len(rows)
+
+
+def test_quality_fit_is_the_penalised_maximum():
+    rng = np.random.default_rng(5)
+    truth = {b: t for b, t in zip(range(100, 112), rng.normal(size=12) * 1.5, strict=True)}
+    rows = [sorted(rng.choice(list(truth), 5, replace=False).tolist()) for _ in range(240)]
+    rates = rng.random((240, quality.RATES)) * 0.2
+    latent = np.array([sum(truth[b] for b in r) for r in rows]) + rng.logistic(size=240)
+    grades = np.digitize(latent, [-1.0, 1.0])
+    lasso, lengths = 2e-3, np.full(240, 5)
+    model = quality.fit(np.concatenate(rows).astype(np.int32), lengths, rates, grades, 3, rounds=4000, rate=0.01, lasso=lasso)
+    w = {b: model.weights[b] for b in truth}
+    assert np.count_nonzero(model.weights) == sum(x != 0 for x in w.values())
+    base = plain_loss(w, model.rates, model.thresholds, rows, rates, grades)
+    step = 1e-4
+    for b in truth:  # at the maximum the slope is that of the penalty, or within it where a weight is 0
+        up, down = ({**w, b: w[b] + s} for s in (step, -step))
+        slope = (plain_loss(up, model.rates, model.thresholds, rows, rates, grades) - plain_loss(down, model.rates, model.thresholds, rows, rates, grades)) / (2 * step)
+        assert abs(slope + lasso * np.sign(w[b])) < 1e-3 if w[b] else abs(slope) < lasso + 1e-3
+    for j in range(2):
+        moved = model.thresholds.copy()
+        moved[j] += 0.05
+        assert plain_loss(w, model.rates, moved, rows, rates, grades) > base
+        moved[j] -= 0.1
+        assert plain_loss(w, model.rates, moved, rows, rates, grades) > base
+
+
+def plain_score(text, model):
+    words = (text or "").split()
+    buckets, n = set(), len(words)
+    for word in words:
+        core = "".join(re.findall(r"\w+", word.lower()))
+        buckets |= {xxhash.xxh32_intdigest(x.encode(), k) % quality.BUCKETS for k, x in enumerate((core, core[:4], core[:5]))}
+    cores = ["".join(re.findall(r"\w+", w.lower())) for w in words]
+    if not n:
+        return 0.0
+    keys = [(c, len(c) > 1 and w.isupper(), bool(re.search(r"[^\w\s]{2}", w))) for c, w in zip(cores, words, strict=True)]
+    rates = [np.mean([k[1] for k in keys]), np.mean([k[2] for k in keys]), np.mean([not c for c in cores]), np.mean([a == b for a, b in zip(cores, cores[1:], strict=False)]) if n > 1 else 0.0, max(0.0, 0.5 - len(set(keys)) / n) if n > 30 else 0.0, float(n < 5)]
+    return sum(model.weights[b] for b in buckets) + float(np.dot(rates, model.rates))
+
+
+def test_quality_scores_are_those_of_the_model(spark):
+    rng = np.random.default_rng(8)
+    model = quality.OrdinalModel(rng.normal(size=quality.BUCKETS) * 0.1, rng.normal(size=quality.RATES), np.array([-0.4, 0.3]))
+    rows = awkward()
+    found = quality.score(spark.createDataFrame([(k, r[1]) for k, r in enumerate(rows)], "k int, text string"), model).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        x = plain_score(rows[r["k"]][1], model)
+        tails = [1 / (1 + np.exp(c - x)) for c in model.thresholds]
+        assert abs(r["score"] - x) < 1e-9 and abs(r["expected_grade"] - sum(tails)) < 1e-9 and abs(r["p_tail"] - tails[1]) < 1e-9 and r["keep"] == (tails[1] >= 0.6)
+
+
+def test_quality_bounds_its_sample(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 7 + 1))) for i in range(40)] * 2
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda cols, lengths, rates, grades, n: seen.append((len(cols), len(grades))))
+    for limit, most in ((100, 10**6), (10, 10**6), (100, 30)):
+        quality.train(docs, labels, quality.grade_of_labels(), limit=limit, most=most)
+    assert seen[0][1] == 40 and seen[1][1] == 10 and seen[2][0] <= 30 and 0 < seen[2][1] < 40
+
+
 # Top-k.
 
 
@@ -173,6 +248,20 @@ def test_top_k_is_exact(spark):
         assert found.pop(q, []) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert not found
     assert topk_search.exact_top_k(vectors.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.exact_top_k(spark.createDataFrame([(0, [1e300]), (1, [1e300])], "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
+def test_top_k_skips_blocks_out_of_reach(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, [float(x) for x in rng.normal(size=8) * (0.02 if i >= 60 else 1)]) for i in range(3000)]
+    vectors = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").coalesce(1)
+    found = collections.defaultdict(list)
+    for r in topk_search.exact_top_k(vectors, F.col("vec_id") < 20, k=5).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    good = {i: np.floor(64 * np.array(v)) for i, v in data}
+    for q in range(20):
+        assert found[q] == [(i, -s) for s, i in sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:5]]
 
 
 def test_top_k_with_blocks_of_queries(spark, monkeypatch):
@@ -441,17 +530,57 @@ def test_exponents():
 
 def test_mixture_keeps_its_budget(spark, docs, empty):
     rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 7, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 3)).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 9 + 1).cast("int")).alias("text"))
-    plan = mixing.mix_plan(rows, repetition=2.0)
+    words = F.regexp_count("text", F.lit(r"\w+"))
+    plan = mixing.mix_plan(rows, repetition=2.0, tokens=words)
     for r in plan.groupBy("source").agg(F.first("token_budget").alias("b"), F.sum(F.col("n_tokens") * F.col("copies")).alias("got"), F.min("copies").alias("low"), F.max("copies").alias("high")).collect():
         assert 0 <= r["b"] - r["got"] < 10 and r["low"] >= 1 and r["high"] <= 2
-    assert mixing.mix(rows, repetition=2.0).count() == plan.agg(F.sum("copies")).first()[0]
-    small = mixing.mix_plan(rows, budget=3000)
+    assert mixing.mix(rows, repetition=2.0, tokens=words).count() == plan.agg(F.sum("copies")).first()[0]
+    small = mixing.mix_plan(rows, budget=3000, tokens=words)
     assert 2960 <= small.agg(F.sum(F.col("n_tokens") * F.col("copies"))).first()[0] <= 3000
     mixed = mixing.mix(docs, repetition=2.0)
     assert mixed.columns == docs.columns and mixed.select("text").distinct().count() == docs.select("text").distinct().count()
     assert mixing.mix(empty, repetition=2.0).count() == 0 and mixing.mix_plan(empty, target_entropy=0.9).count() == 0
 
 
+def plain_copies(spark, rows, source, n_tokens, seed=11, **targets):
+    """doc_id -> copies for rows (doc_id, text): whole passes, and one more for the documents at the head of the permutation as far as the budget goes."""
+    place = {r["id"]: r["p"] for r in spark.createDataFrame([(i,) for i, _ in rows], "id bigint").select("id", mixing.permuted("id", seed).alias("p")).collect()}
+    by = collections.defaultdict(list)
+    for i, t in rows:
+        by[source(i)].append((place[i], i, n_tokens(t)))
+    names = sorted(by, key=str)
+    tokens = [sum(n for *_, n in by[s]) for s in names]
+    exponent, budget = mixing.exponent_for(tokens, targets.get("target_entropy"), targets.get("repetition"), targets.get("budget"))
+    out = {}
+    for s, t, w in zip(names, tokens, mixing.weights(tokens, exponent), strict=True):
+        passes, rest = divmod(int(budget * w * (1 + 1e-12)), t) if t else (1, 0)
+        for _, i, n in sorted(by[s]):
+            rest = rest - n if 0 <= rest and n <= rest else -1
+            out[i] = passes + (rest >= 0 and t > 0)
+    return out
+
+
+@pytest.mark.parametrize("few", [100_000, 2])
+@pytest.mark.parametrize("targets", [{"repetition": 2.0}, {"target_entropy": 0.97, "repetition": 4.0}, {"target_entropy": 0.8}, {"budget": 30_000}])
+def test_mixture_equals_a_plain_one(spark, monkeypatch, few, targets):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 8)
+    rng = random.Random(17)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 60)))) for i in range(900)]
+    source = lambda i: None if i % 11 == 0 else "big" if i % 4 else f"s{i % 3}"
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=byte_bpe.load_ranks(PATH), special_tokens={})
+    frame = spark.createDataFrame([(i, t, source(i)) for i, t in rows], "doc_id bigint, text string, source string")
+    found = mixing.mix_plan(frame, **targets).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in found} == {i: len(enc.encode_ordinary(t)) for i, t in rows}
+    want = plain_copies(spark, rows, source, lambda t: len(enc.encode_ordinary(t)), **targets)
+    assert {r["doc_id"]: r["copies"] for r in found} == want
+    if "budget" in targets:
+        clash = frame.withColumns({"__copies": F.lit("x"), "__cut": F.lit("y")})
+        mixed = mixing.mix(clash, **targets)
+        assert mixed.columns == clash.columns and {r["__copies"] for r in mixed.collect()} == {"x"}
+        assert collections.Counter(r["doc_id"] for r in mixed.collect()) == {i: n for i, n in want.items() if n}
+
+
 # Token output.
 
 
