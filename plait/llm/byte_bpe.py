@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from plait.llm.common import arrow_map, let_go
 
 #: Words a query takes, words kept by a worker, bytes from which a pre-token goes to the heap, and seconds until an idle worker lets go.
-WORDS, CACHE, LONG, IDLE = 15_000, 450_000, 256, 1.0
+WORDS, CACHE, LONG, IDLE = 8_000, 450_000, 256, 1.0
 
 #: positions: word, position, the next position, token, the next token. A word keeps its rows of every round r.
 ENCODE = """
@@ -87,7 +87,7 @@ class Codec:
         ]
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "token": pa.array([m for _, m in pairs], pa.int64())})
         vocabulary = pa.table({"t": pa.array(list(self.bytes_of), pa.int32()), "hex": [b.hex() for b in self.bytes_of.values()]})
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "320MB", "temp_directory": tempfile.gettempdir(), "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "temp_directory": tempfile.gettempdir(), "preserve_insertion_order": False})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
