@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plait.storage import discard, settle
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "arrow_map", "discard", "fan_out", "free_prefix", "let_go", "pieces", "settle", "table"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "arrow_map", "bounded_batches", "discard", "fan_out", "free_prefix", "let_go", "pieces", "settle", "table"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,9 +47,18 @@ def let_go() -> None:
         trim(0)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Where the session does not say how many bytes an Arrow batch may have: BATCH_BYTES, for what Spark and its Python workers hold of long texts at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over bounded pieces; the worker gives back what it has freed when a task ends."""
 
+    bounded_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from f(pieces(batches))

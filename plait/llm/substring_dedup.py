@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.llm.common import fan_out
+from plait.llm.common import bounded_batches, fan_out
 from plait.llm.simhash import WORDS
 
 #: An odd base and its inverse modulo 2^64; words hashed at a time; word hashes remembered.
@@ -171,6 +171,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, id_col: str = "doc_id", te
     under `width` words are kept whole. Repeated rows, and rows with null ids, are documents like any other (and
     repeat each other). An empty table gives an empty result. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.count()
     root = math.isqrt(rows)
     n = fan_out(docs.sparkSession)
