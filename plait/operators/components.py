@@ -61,6 +61,14 @@ def assign_paths(graph: HapGraph, ids: DataFrame, jobs: DataFrame, wanted=None)
     return path_components(graph, ids).join(named.select("path_id"), "path_id", "left_semi").join(jobs, "component_id").select("path_id", "job_id")
 
 
+def paths_by_job(graph: HapGraph, ids: DataFrame, jobs: DataFrame) -> DataFrame:
+    """path_id, job_id and new_id: ids in the order of construction jobs, in each job named paths first, then by the old id. Paths without steps are left out."""
+    sense = graph.paths.select("path_id", (F.col("sense") == "HAPLOTYPE").cast("int").alias("k"))
+    placed = path_components(graph, ids).join(jobs.select("component_id", "job_id"), "component_id").join(sense, "path_id")
+    keyed = placed.select("path_id", "job_id", F.struct("job_id", "k", "path_id").alias("key"))
+    return running_total(keyed, F.lit(1), "new_id", "key").select("path_id", "job_id", "new_id")
+
+
 def contig_names(graph: HapGraph, ids: DataFrame, wanted=None) -> DataFrame:
     """component_id and contig: of its first reference path, else of its first generic path, else component_<i> by order of ids."""
     named = graph.paths.where("sense <> 'HAPLOTYPE'")
@@ -138,23 +146,24 @@ def head_nodes(graph: HapGraph, ids: DataFrame) -> DataFrame:
 
 
 def order_of(nodes: Iterable[int], succ: dict) -> list[tuple[int, bool]]:
-    """Both orientations of the nodes in a topological order of the edges among them; none if there is a cycle."""
+    """Both orientations of the nodes in a topological order of the edges among them: by the longest way to them, then by id; none if there is a cycle."""
     inside = {(n, r) for n in nodes for r in (False, True)}
     degree = dict.fromkeys(inside, 0)
     for a in inside:
         for b in succ.get(a, ()):
             if b in inside:
                 degree[b] += 1
-    active = sorted((h for h, d in degree.items() if d == 0), reverse=True)
-    out = []
-    while active:
-        h = active.pop()
-        out.append(h)
-        for b in succ.get(h, ()):
-            if b in inside:
-                degree[b] -= 1
-                if degree[b] == 0:
-                    active.append(b)
+    level, out = sorted(h for h, d in degree.items() if d == 0), []
+    while level:  # handles that only earlier ones lead to, by id
+        out += level
+        freed = []
+        for h in level:
+            for b in succ.get(h, ()):
+                if b in inside:
+                    degree[b] -= 1
+                    if degree[b] == 0:
+                        freed.append(b)
+        level = sorted(freed)
     return out if len(out) == len(inside) else []
 
 

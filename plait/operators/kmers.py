@@ -18,6 +18,9 @@ from plait.operators.graph import HapGraph
 from plait.operators.paths import haplotype_ids
 from plait.operators.windows import haplotype_windows, walk_text, window_sequences
 
+#: k-mers that may be listed in a minimizer scheme: 8 bytes each, sent to every task.
+MOST_FREQUENT = 4_000_000
+
 
 def canonical_kmers(seqs: DataFrame, k: int, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
     """id, kmer, is_rev, offset for every k-mer of A, C, G, T: the smaller strand; palindromes count as reverse. A reverse k-mer is at its last base."""
@@ -34,36 +37,56 @@ for _i, _c in enumerate("ACGT"):
     _CODE[ord(_c)] = _CODE[ord(_c.lower())] = _i
 
 
-def _strands(text: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the k-mers on both strands and which are valid."""
+#: A key in two 64-bit words: a k-mer of up to 63 bases.
+Key = tuple[np.ndarray, np.ndarray]
+
+
+def _strands(text: str, k: int) -> tuple[Key, Key, np.ndarray]:
+    """Keys (high and low word) of the k-mers on both strands and which are valid."""
     code = _CODE[np.frombuffer(text.encode(), np.uint8)]
-    n = len(code) - k + 1
-    if n <= 0:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
-    windows = np.lib.stride_tricks.sliding_window_view(code, k)
-    valid = (windows >= 0).all(axis=1)
-    fwd, rev = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for j in range(k):
-        fwd = fwd << np.uint64(2) | (windows[:, j] & 3).astype(np.uint64)
-        rev = rev << np.uint64(2) | (3 - (windows[:, k - 1 - j] & 3)).astype(np.uint64)
-    return fwd, rev, valid
+    n = max(0, len(code) - k + 1)
+    zero = lambda: (np.zeros(n, np.uint64), np.zeros(n, np.uint64))
+    fwd, rev, bad = zero(), zero(), np.concatenate([[0], np.cumsum(code < 0)])
+
+    def push(key: Key, base: np.ndarray) -> Key:
+        high, low = key
+        return high << np.uint64(2) | low >> np.uint64(62), low << np.uint64(2) | (base & 3).astype(np.uint64)
+
+    for j in range(k if n else 0):
+        fwd, rev = push(fwd, code[j : j + n]), push(rev, 3 - code[k - 1 - j : k - 1 - j + n])
+    return fwd, rev, bad[k : k + n] == bad[:n] if n else np.zeros(0, bool)
+
+
+def _plain_hash(key: Key, bits: int) -> np.ndarray:
+    """Hash of a 64-bit key, or of a 128-bit one: the hashes of both words, combined."""
+    if bits == 64:
+        return dna.wang_hash(key[1])
+    h = dna.wang_hash(key[0])
+    with np.errstate(over="ignore"):
+        return h ^ (dna.wang_hash(key[1]) + np.uint64(0x9E3779B9) + (h << np.uint64(6)) + (h >> np.uint64(2)))
 
 
-def _hash(keys: np.ndarray, frequent: np.ndarray, rounds: int) -> np.ndarray:
-    h = dna.wang_hash(keys)
-    return np.where(np.isin(keys, frequent), dna.downweight(h, rounds), h) if len(frequent) else h
+def _hash(key: Key, frequent: Key | None, rounds: int, bits: int) -> np.ndarray:
+    h = _plain_hash(key, bits)
+    if frequent is None:
+        return h
+    often = np.isin(key[1], frequent[1])
+    if often.any() and frequent[0].any() | key[0].any():
+        both = set(zip(frequent[0].tolist(), frequent[1].tolist(), strict=True))
+        at = np.flatnonzero(often)
+        often[at] = [pair in both for pair in zip(key[0][at].tolist(), key[1][at].tolist(), strict=True)]
+    return np.where(often, dna.downweight(h, rounds), h)
 
 
-def minimizers_of(text: str, k: int, w: int, frequent: np.ndarray | None = None, rounds: int = 0) -> list[tuple[int, bool, int, int, int]]:
+def minimizers_of(text: str, k: int, w: int, frequent: Key | None = None, rounds: int = 0, bits: int = 64) -> list[tuple[int, bool, int, int, int]]:
     """(start, is_rev, hash, first window, last window) of the k-mers that attain the least hash of a full window of w.
 
     The smaller strand by hash counts, a tie forwards; all ties within a window count; windows without a valid k-mer are skipped.
     """
     fwd, rev, valid = _strands(text, k)
-    if len(fwd) < w:
+    if len(valid) < w:
         return []
-    none = np.zeros(0, np.uint64)
-    hf, hr = (_hash(x, none if frequent is None else frequent, rounds) for x in (fwd, rev))
+    hf, hr = (_hash(x, frequent, rounds, bits) for x in (fwd, rev))
     h = np.minimum(hf, hr)
     seen = np.where(valid, h, np.uint64(2**64 - 1))
     views, ok = (np.lib.stride_tricks.sliding_window_view(x, w) for x in (seen, valid))
@@ -71,29 +94,35 @@ def minimizers_of(text: str, k: int, w: int, frequent: np.ndarray | None = None,
     wins = (views == least[:, None]) & ok
     win, j = np.nonzero(wins)
     at = win + j
-    out = []
-    for p in np.unique(at):
-        mine = win[at == p]
-        out.append((int(p), bool(hr[p] < hf[p]), int(h[p]), int(mine.min()), int(mine.max())))
-    return out
+    order = np.argsort(at, kind="stable")  # of a position the windows that it wins, first to last
+    at, win = at[order], win[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    last = np.append(first[1:], len(at)) - 1
+    p = at[first]
+    return list(zip(p.tolist(), (hr[p] < hf[p]).tolist(), h[p].tolist(), win[first].tolist(), win[last].tolist(), strict=True))
 
 
-def syncmers_of(text: str, k: int, s: int) -> list[tuple[int, bool]]:
+def syncmers_of(text: str, k: int, s: int, bits: int = 64) -> list[tuple[int, bool]]:
     """(start, is_rev) of closed syncmers: the least s-mer hash of the k-mer is at its first or last s-mer."""
     fwd, rev, valid = _strands(text, k)
-    if not len(fwd):
+    if not len(valid):
         return []
     sf, sr, _ = _strands(text, s)
-    sh = np.minimum(dna.wang_hash(sf), dna.wang_hash(sr))
+    sh = np.minimum(_plain_hash(sf, bits), _plain_hash(sr, bits))
     views = np.lib.stride_tricks.sliding_window_view(sh, k - s + 1)
     least = views.min(axis=1)
-    hit = valid & ((views[:, 0] == least) | (views[:, -1] == least))
-    return [(int(p), bool(dna.wang_hash(rev[p : p + 1])[0] < dna.wang_hash(fwd[p : p + 1])[0])) for p in np.flatnonzero(hit)]
+    at = np.flatnonzero(valid & ((views[:, 0] == least) | (views[:, -1] == least)))
+    hf, hr = (_plain_hash((high[at], low[at]), bits) for high, low in (fwd, rev))
+    return list(zip(at.tolist(), (hr < hf).tolist(), strict=True))
 
 
-def check_parameters(k: int, w: int | None = None, s: int | None = None, most: int = 31) -> int:
+#: The longest k-mers for keys of 64 and 128 bits.
+MOST_BASES = {64: 31, 128: 63}
+
+
+def check_parameters(k: int, w: int | None = None, s: int | None = None, bits: int = 64) -> int:
     """Bases of a window; parameters out of range are an error."""
-    if not 2 <= k <= most or (w is not None and w < 1) or (s is not None and not 1 <= s < k):
+    if not 2 <= k <= MOST_BASES[bits] or (w is not None and w < 1) or (s is not None and not 1 <= s < k):
         raise ValueError(f"k={k}, w={w}, s={s} out of range")
     return 2 * k - s - 1 if s is not None else k + (w or 1) - 1
 
@@ -122,28 +151,37 @@ def _read(text: str, p: int, k: int, is_rev: bool) -> tuple[str, bool, int]:
     return (kmer.translate(_RC)[::-1], True, p + k - 1) if is_rev else (kmer, False, p)
 
 
-def _keys(kmers: Collection[str]) -> np.ndarray:
-    return np.array([int(x.upper().translate(str.maketrans("ACGT", "0123")), 4) for x in kmers], np.uint64)
+def _keys(kmers: Collection[str]) -> Key:
+    whole = [int(x.upper().translate(str.maketrans("ACGT", "0123")), 4) for x in kmers]
+    return np.array([x >> 64 for x in whole], np.uint64), np.array([x & (1 << 64) - 1 for x in whole], np.uint64)
+
 
+def frequent_keys(kmers: DataFrame, most: int = MOST_FREQUENT) -> list[str]:
+    """A column kmer of canonical k-mers, and their reverse complements, for minimizers(); over `most` of them are an error, as all go to every task."""
+    found = [r["kmer"] for r in kmers.select("kmer").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"over {most} frequent k-mers: raise the threshold")
+    return sorted({x for kmer in found for x in (kmer, kmer.translate(_RC)[::-1])})
 
-def minimizers(seqs: DataFrame, k: int, w: int, frequent: Collection[str] = (), rounds: int = 0, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
-    """id, kmer, is_rev, offset. frequent: k-mers whose hashes are downweighted in `rounds` (1 to 7) rounds; none or 0 rounds: unweighted."""
-    check_parameters(k, w=w)
+
+def minimizers(seqs: DataFrame, k: int, w: int, frequent: Collection[str] = (), rounds: int = 0, id_col: str = "id", seq_col: str = "seq", bits: int = 64) -> DataFrame:
+    """id, kmer, is_rev, offset, by hashes of 64- or 128-bit keys. frequent: k-mers whose hashes are downweighted in `rounds` (1 to 7) rounds; none or 0 rounds: unweighted."""
+    check_parameters(k, w=w, bits=bits)
     if rounds > 7:
         raise ValueError("at most 7 rounds")
     some = _keys(frequent) if frequent and rounds else None
-    return _over(seqs, id_col, seq_col, lambda t: [_read(t, p, k, r) for p, r, *_ in minimizers_of(t, k, w, some, rounds)])
+    return _over(seqs, id_col, seq_col, lambda t: [_read(t, p, k, r) for p, r, *_ in minimizers_of(t, k, w, some, rounds, bits)])
 
 
-def minimizer_regions(seqs: DataFrame, k: int, w: int, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
+def minimizer_regions(seqs: DataFrame, k: int, w: int, id_col: str = "id", seq_col: str = "seq", bits: int = 64) -> DataFrame:
     """Minimizers with start and length of the run of windows that each wins."""
-    check_parameters(k, w=w)
-    return _over(seqs, id_col, seq_col, lambda t: [(*_read(t, p, k, r), a, b - a + k + w - 1) for p, r, _, a, b in minimizers_of(t, k, w)], ", start int, length int")
+    check_parameters(k, w=w, bits=bits)
+    return _over(seqs, id_col, seq_col, lambda t: [(*_read(t, p, k, r), a, b - a + k + w - 1) for p, r, _, a, b in minimizers_of(t, k, w, bits=bits)], ", start int, length int")
 
 
-def syncmers(seqs: DataFrame, k: int, s: int, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
-    check_parameters(k, s=s)
-    return _over(seqs, id_col, seq_col, lambda t: [_read(t, p, k, r) for p, r in syncmers_of(t, k, s)])
+def syncmers(seqs: DataFrame, k: int, s: int, id_col: str = "id", seq_col: str = "seq", bits: int = 64) -> DataFrame:
+    check_parameters(k, s=s, bits=bits)
+    return _over(seqs, id_col, seq_col, lambda t: [_read(t, p, k, r) for p, r in syncmers_of(t, k, s, bits)])
 
 
 # Indexes: hits (kmer, node_id, is_rev, offset [, payload, hap_bits]).
@@ -173,7 +211,13 @@ def minimizer_index(graph: HapGraph, k: int, w: int, payload: DataFrame | None =
     windows = haplotype_windows(graph, check_parameters(k, w=w))
     hits = minimizers(window_sequences(graph, windows).withColumnRenamed("walk", "id"), k, w)
     index = _on_nodes(graph, windows, hits, k).select("kmer", "node_id", "is_rev", "offset").distinct()
-    return index if payload is None else index.join(payload, ["node_id", "is_rev", "offset"], "left")
+    return index if payload is None else with_payload(index, payload)
+
+
+def with_payload(index: DataFrame, payload: DataFrame) -> DataFrame:
+    """index with the payload of each position (node_id, is_rev, offset, payload); a position has one payload, of several the least."""
+    at = ["node_id", "is_rev", "offset"]
+    return index.join(payload.groupBy(*at).agg(F.min("payload").alias("payload")), at, "left")
 
 
 def minimizer_index_with_paths(graph: HapGraph, k: int, w: int) -> DataFrame:

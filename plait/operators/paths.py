@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plait.functions import dna
 from plait.operators.graph import HapGraph, path_order
+from plait.operators.totals import running_total
 
 GENERIC_SAMPLE = "_gbwt_ref"
 
@@ -49,7 +51,21 @@ def matching(paths: DataFrame, senses: Collection[str] | None = None, samples: C
 
 
 def find_path(paths: DataFrame, name: str) -> DataFrame:
-    return described(paths).where(F.col("name") == name)
+    """The path of a name: a generic or reference path by its stored name, else the haplotype path that sample#haplotype#contig#block spells."""
+    known = described(paths)
+    named = (F.col("sense") != "HAPLOTYPE") & (F.col("name") == name)
+    if not (parts := re.fullmatch(r"([^#]+)#([0-9]+)#(.+)#([0-9]+)", name)):
+        return known.where(named)
+    sample, haplotype, contig, block = parts.groups()
+    phase = F.coalesce(F.col("haplotype").cast("string"), F.lit("0"))
+    return known.where(named | ((F.col("sense") == "HAPLOTYPE") & (F.col("sample") == sample) & (phase == str(int(haplotype))) & (F.col("contig") == contig) & (F.col("fragment") == int(block))))
+
+
+def path_handles(paths: DataFrame) -> DataFrame:
+    """path_id and handle: named paths come first, numbered in their order; a haplotype path's handle is its id after all of these."""
+    named = running_total(paths.where("sense <> 'HAPLOTYPE'").select("path_id"), F.lit(1), "handle", "path_id").select("path_id", "handle")
+    first = paths.where("sense <> 'HAPLOTYPE'").count()
+    return named.unionByName(paths.where("sense = 'HAPLOTYPE'").select("path_id", (F.col("path_id") + first).alias("handle")))
 
 
 def step_counts(graph: HapGraph) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plait.operators.graph import HapGraph
+from plait.storage import settle
 
 
 def node_segments(graph: HapGraph) -> DataFrame:
@@ -55,3 +56,21 @@ def translate_back(graph: HapGraph, ranges: DataFrame) -> DataFrame:
     """ranges (node_id, is_rev, start, length) -> name, is_rev, offset in the segment, length."""
     at = segment_offsets(graph)
     return ranges.join(at, "node_id").select("name", "is_rev", (F.when(F.col("is_rev"), F.col("offset_rev")).otherwise(F.col("offset_fwd")) + F.col("start")).alias("offset"), "length")
+
+
+def from_translation(nodes: DataFrame, translation: DataFrame) -> DataFrame:
+    """Segments (name, node_lo, node_hi) of an outside translation (node_id, name, is_rev, offset): where in which segment a node is.
+
+    Every node must be in one segment, forwards; nodes of a run of ids in one segment must follow each other there from its start.
+    """
+    told = nodes.select("node_id", "len").join(translation, "node_id", "left")
+    several = translation.groupBy("node_id").count().where("count > 1").join(nodes, "node_id", "left_semi")
+    if told.where("name is null or is_rev").limit(1).count() or several.limit(1).count():
+        raise ValueError("a node is not forward in exactly one segment")
+    by_id = Window.partitionBy("name").orderBy("node_id")
+    runs = told.withColumn("new", F.coalesce(F.col("node_id") - F.lag("node_id").over(by_id) > 1, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(by_id))
+    before = Window.partitionBy("name", "run").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = settle(runs.withColumn("expected", F.coalesce(F.sum("len").over(before), F.lit(0))))
+    if placed.where("offset <> expected").limit(1).count():
+        raise ValueError("a node is not at its place in its segment")
+    return placed.groupBy("name", "run").agg(F.min("node_id").alias("node_lo"), (F.max("node_id") + 1).alias("node_hi")).select("name", "node_lo", "node_hi")

@@ -1,8 +1,7 @@
 """Subgraph queries: nodes within a context of a path position or node, the path runs among them, CIGARs, GFA text.
 
 Positions come from the bp offsets of steps (a range predicate), runs of steps inside the node set from a difference of
-row numbers. The search itself is a shortest-path walk over the few nodes within the context; it fetches the edges
-of all queued nodes at once.
+row numbers, and the node set from rounds of joins with the edges, which are derived once for a search.
 """
 
 from __future__ import annotations
@@ -10,13 +9,14 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plait.functions import dna
 from plait.functions.alignment import align, to_cigar
-from plait.operators.graph import HapGraph, is_canonical, path_is_canonical
+from plait.operators.graph import HapGraph, path_is_canonical
 from plait.operators.paths import offsets
+from plait.storage import settle
 
 ALL, DISTINCT, REFERENCE_ONLY = "all", "distinct", "reference"
 _RC = str.maketrans("ACGT", "TGCA")
@@ -24,6 +24,8 @@ _RC = str.maketrans("ACGT", "TGCA")
 
 @dataclass
 class Subgraph:
+    """What a query returns as text: as large as the context makes it, not as the graph."""
+
     nodes: dict[int, str]
     edges: list[tuple[int, bool, int, bool]]
     walks: list[tuple[tuple[int, bool], ...]]
@@ -78,41 +80,59 @@ def find_fragment(paths: DataFrame, sample: str, contig: str, haplotype: int | N
     return paths.where(mine).orderBy(F.desc("fragment")).limit(1)
 
 
-class _Edges:
-    """Edges and lengths, fetched for many nodes at a time."""
+def adjacency(graph: HapGraph) -> DataFrame:
+    """from_id, from_rev, to_id, to_rev and len (of the source) of the edges in both directions, written once for all rounds of a search."""
+    lengths = graph.nodes.select(F.col("node_id").alias("from_id"), "len")
+    return settle(graph.edges_bi.join(lengths, "from_id").sortWithinPartitions("from_id"))
 
-    def __init__(self, graph: HapGraph):
-        self.edges, self.nodes = graph.edges_bi, graph.nodes
-        self.succ: dict[int, list[tuple[bool, int, bool]]] = {}
-        self.len: dict[int, int] = {}
 
-    def need(self, ids: set[int]) -> None:
-        missing = sorted(ids - self.len.keys())
-        if missing:
-            for n, length in self.nodes.where(F.col("node_id").isin(missing)).select("node_id", "len").collect():
-                self.len[n] = length
-                self.succ[n] = []
-            for a, ar, b, br in self.edges.where(F.col("from_id").isin(missing)).select("from_id", "from_rev", "to_id", "to_rev").collect():
-                self.succ[a].append((ar, b, br))
+def _leave(side: Column, rev: Column, offset: Column, length: Column) -> Column:
+    """Bases from an offset of a node, as it is read in `rev`, to what follows its `side`."""
+    return F.when(side == rev, length - offset).otherwise(offset + 1)
 
 
-def nodes_within(graph: HapGraph, start: tuple[int, bool, int], context: int) -> set[int]:
-    """Nodes within `context` bases of a position (node, is_rev, offset), in both directions."""
-    cache, found, queue = _Edges(graph), set(), [(0, *start)]
+def _pop(edges: pd.DataFrame, start: tuple[int, bool, int], context: int) -> list[int]:
+    """Nodes by distance. A node is left from where it was met first; it takes no second, later meeting into account."""
+    succ: dict[int, list] = {}
+    for a, ar, b, br, n in edges[["from_id", "from_rev", "to_id", "to_rev", "len"]].itertuples(index=False):
+        succ.setdefault(a, []).append((ar, b, br, n))
+    found, queue = set(), [(0, *start)]
     while queue:
         distance, node, rev, offset = heapq.heappop(queue)
         if node in found:
             continue
-        if node not in cache.len:
-            cache.need({node, *(q[1] for q in queue)})
         found.add(node)
-        for side in (False, True):
-            leave = distance + (cache.len[node] - offset if side == rev else offset + 1)
-            if leave <= context:
-                for from_rev, b, br in cache.succ[node]:
-                    if from_rev == side:
-                        heapq.heappush(queue, (leave, b, br, 0))
-    return found
+        for side, b, br, n in succ.get(node, ()):
+            further = distance + (n - offset if side == rev else offset + 1)
+            if further <= context and b not in found:
+                heapq.heappush(queue, (further, b, br, 0))
+    return sorted(found)
+
+
+def nodes_within(graph: HapGraph, start: tuple[int, bool, int], context: int) -> DataFrame:
+    """node_id of the nodes within `context` bases of a position (node, is_rev, offset), in both directions.
+
+    Rounds of joins find all handles that any way reaches within the context (the least distance of each, until none gets less); the edges
+    among these, which the context bounds, are then taken in order of distance, in one task.
+    """
+    node, rev, offset = start
+    spark, edges = graph.nodes.sparkSession, adjacency(graph)
+    near = spark.createDataFrame([(node, rev, offset, 0)], "node_id bigint, is_rev boolean, offset bigint, d bigint")
+    state = front = settle(near)
+    while True:
+        further = F.col("d") + _leave(F.col("from_rev"), F.col("is_rev"), F.col("offset"), F.col("len"))
+        met = edges.join(front, F.col("from_id") == F.col("node_id")).select(F.col("to_id").alias("node_id"), F.col("to_rev").alias("is_rev"), F.lit(0).cast("bigint").alias("offset"), further.alias("d")).where(F.col("d") <= context)
+        known = state.groupBy("node_id", "is_rev").agg(F.min("d").alias("old"))
+        # A start in the middle of a node is no bound for ways that come back to its end.
+        better = met.groupBy("node_id", "is_rev", "offset").agg(F.min("d").alias("d")).join(known, ["node_id", "is_rev"], "left").where("old is null or d < old").drop("old")
+        front = settle(better)
+        if front.limit(1).count() == 0:
+            break
+        state = settle(state.unionByName(front).groupBy("node_id", "is_rev", "offset").agg(F.min("d").alias("d")))
+    ids = state.select("node_id").distinct()
+    inside = edges.join(ids, F.col("from_id") == F.col("node_id"), "left_semi").join(ids, F.col("to_id") == F.col("node_id"), "left_semi")
+    found = inside.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda e: pd.DataFrame({"node_id": _pop(e, (node, rev, offset), context)}, dtype="int64"), "node_id bigint")
+    return settle(found.unionByName(spark.createDataFrame([(node,)], "node_id bigint")).distinct())
 
 
 def runs(graph: HapGraph, ids: DataFrame) -> DataFrame:
@@ -132,56 +152,73 @@ def canonical_runs(found: DataFrame) -> DataFrame:
     return both.where(path_is_canonical(a["node_id"], a["is_rev"], b["node_id"], b["is_rev"]))
 
 
-def _collect(graph: HapGraph, ids: set[int], output: str, reference: tuple[int, int] | None) -> Subgraph:
-    spark = graph.nodes.sparkSession
-    frame = spark.createDataFrame([(n,) for n in ids], "node_id bigint")
-    nodes = dict(graph.nodes.join(F.broadcast(frame), "node_id", "left_semi").select("node_id", "seq").collect())
-    e = graph.edges_bi.where(F.col("from_id").isin(sorted(ids)) & F.col("to_id").isin(sorted(ids)))
-    edges = [tuple(r) for r in e.where(is_canonical(F.col("from_id"), F.col("from_rev"), F.col("to_id"), F.col("to_rev"))).collect()]
-    found = runs(graph, F.broadcast(frame))
-    as_walk = lambda r: tuple((x["node_id"], x["is_rev"]) for x in r["nodes"])
-    ref_walk, start_step, walks = None, 0, []
-    for r in found.collect():
-        if reference and r["path_id"] == reference[0] and r["first_step"] <= reference[1] < r["first_step"] + len(r["nodes"]):
-            ref_walk, start_step = as_walk(r), r["first_step"]
-    kept = canonical_runs(found).orderBy("nodes", "path_id", "first_step", "ori").collect()
-    seen_reference = False
-    for r in kept:
-        mine = as_walk(r)
-        if reference and r["path_id"] == reference[0] and r["first_step"] == start_step and r["ori"] == 0 and mine == ref_walk:
-            seen_reference = True
-        walks.append(mine)
-    if ref_walk is not None and not seen_reference:
-        walks.append(ref_walk)
-    key = lambda w: [2 * n + r for n, r in w]
-    walks.sort(key=key)
-    weights = None
-    if output == REFERENCE_ONLY:
-        if ref_walk is None:
-            raise ValueError("a node query has no reference path")
-        walks = [ref_walk]
-    elif output == DISTINCT:
-        distinct = sorted(set(walks), key=key)
-        weights, walks = [walks.count(w) for w in distinct], distinct
-    return Subgraph(nodes, edges, walks, weights, walks.index(ref_walk) if ref_walk is not None else None), start_step
+def weights(found: DataFrame) -> DataFrame:
+    """nodes and weight: distinct runs and how often there is each."""
+    return found.groupBy("nodes").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def path_offset_query(graph: HapGraph, sample: str, contig: str, haplotype: int | None, offset: int, context: int, output: str = ALL) -> Subgraph:
+@dataclass
+class Found:
+    """A subgraph as tables: its node ids and, for path queries, where the reference is."""
+
+    ids: DataFrame
+    path: dict | None = None
+    step: int | None = None  # of the reference path, at the position asked for
+
+
+def around_offset(graph: HapGraph, sample: str, contig: str, haplotype: int | None, offset: int, context: int) -> Found:
+    """Nodes within a context of a path's offset."""
     path = find_fragment(graph.paths, sample, contig, haplotype, offset).collect()
     if not path:
         raise ValueError(f"no path fragment of {sample}, {contig}, {haplotype} at {offset}")
-    placed = offsets(restrict_to(graph, path[0]["path_id"]))
-    at = find_position(placed, path[0]["path_id"], offset - (path[0]["fragment"] or 0)).collect()
+    at = find_position(offsets(restrict_to(graph, path[0]["path_id"])), path[0]["path_id"], offset - (path[0]["fragment"] or 0)).collect()
     if not at:
         raise ValueError(f"offset {offset} is beyond the path")
-    ids = nodes_within(graph, (at[0]["node_id"], at[0]["is_rev"], at[0]["inside"]), context)
-    out, start_step = _collect(graph, ids, output, (path[0]["path_id"], at[0]["step"]))
-    out.name = path[0].asDict()
-    out.name["fragment"] = out.name["fragment"] or 0
-    out.reference_start = placed.where(F.col("step") == start_step).first()["bp_offset"]
+    return Found(nodes_within(graph, (at[0]["node_id"], at[0]["is_rev"], at[0]["inside"]), context), path[0].asDict(), at[0]["step"])
+
+
+def _collect(graph: HapGraph, found: Found, output: str) -> Subgraph:
+    """The subgraph as an object, for its text; its paths are counted in Spark if distinct ones are asked for."""
+    ids = found.ids
+    nodes = dict(graph.nodes.join(ids, "node_id", "left_semi").select("node_id", "seq").collect())
+    inside = graph.edges.join(ids, F.col("from_id") == F.col("node_id"), "left_semi").join(ids, F.col("to_id") == F.col("node_id"), "left_semi")
+    edges = [tuple(r) for r in inside.select("from_id", "from_rev", "to_id", "to_rev").collect()]
+    as_walk = lambda r: tuple((x["node_id"], x["is_rev"]) for x in r["nodes"])
+    key = lambda w: [2 * n + r for n, r in w]
+    every = settle(runs(graph, ids))
+    ref_walk, start_step = None, 0
+    if found.path is not None:
+        (mine,) = every.where((F.col("path_id") == found.path["path_id"]) & (F.col("first_step") <= found.step) & (found.step < F.col("first_step") + F.size("nodes"))).collect()
+        ref_walk, start_step = as_walk(mine), mine["first_step"]
+    out = Subgraph(nodes, edges, [], None, None if ref_walk is None else 0)
+    if output == REFERENCE_ONLY:
+        if ref_walk is None:
+            raise ValueError("a node query has no reference path")
+        out.walks = [ref_walk]
+    else:
+        count = {as_walk(r): r["weight"] for r in weights(canonical_runs(every)).collect()}
+        if ref_walk is not None and not _canonical(ref_walk):  # the reference is there as it is read
+            count[ref_walk] = count.get(ref_walk, 0) + 1
+        order = sorted(count, key=key)
+        out.walks = order if output == DISTINCT else [w for w in order for _ in range(count[w])]
+        out.weights = [count[w] for w in order] if output == DISTINCT else None
+        out.reference = out.walks.index(ref_walk) if ref_walk is not None else None
+    if found.path is not None:
+        out.name = found.path | {"fragment": found.path["fragment"] or 0}
+        out.reference_start = offsets(restrict_to(graph, found.path["path_id"])).where(F.col("step") == start_step).first()["bp_offset"]
     return out
 
 
+def _canonical(walk: tuple[tuple[int, bool], ...]) -> bool:
+    """path_is_canonical for a walk on the driver."""
+    (a, ar), (b, br) = walk[0], walk[-1]
+    return not (ar or br) or (ar != br and (b >= a if not ar else b > a or (b == a and not br)))
+
+
+def path_offset_query(graph: HapGraph, sample: str, contig: str, haplotype: int | None, offset: int, context: int, output: str = ALL) -> Subgraph:
+    return _collect(graph, around_offset(graph, sample, contig, haplotype, offset, context), output)
+
+
 def path_interval_query(graph: HapGraph, sample: str, contig: str, haplotype: int | None, start: int, end: int, context: int, output: str = ALL) -> Subgraph:
     """The query at the middle of an interval; the context is not widened. An empty interval is an error."""
     if end <= start:
@@ -197,12 +234,8 @@ def node_query(graph: HapGraph, node_id: int, context: int, output: str = ALL) -
     if not row:
         raise ValueError(f"no node {node_id}")
     half = row[0]["len"] // 2
-    return _collect(graph, nodes_within(graph, (node_id, False, half), context + half), output, None)[0]
+    return _collect(graph, Found(nodes_within(graph, (node_id, False, half), context + half)), output)
 
 
 def restrict_to(graph: HapGraph, path_id: int) -> HapGraph:
     return HapGraph(graph.nodes, graph.paths.where(F.col("path_id") == path_id), graph.steps.where(F.col("path_id") == path_id))
-
-
-def oriented_label(graph: HapGraph) -> DataFrame:
-    return graph.nodes.select("node_id", "seq", dna.reverse_complement("seq").alias("rc"))

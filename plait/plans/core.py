@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plait.functions import dna
 from plait.operators import graph as g
 from plait.operators import kmers, paths, search, segments
 from plait.plans.driver_view import graph, sql, tables
+from plait.sources import gfa, gfa_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -172,8 +173,8 @@ def next_prev_steps(spark, sf):
 
 #: The walk of the first edge of the graph, as both engines find it.
 _FIRST = ", walk AS (SELECT from_id AS a, from_rev AS ar, to_id AS b, to_rev AS br FROM edges ORDER BY from_id, from_rev, to_id, to_rev LIMIT 1)"
-_FOUND = _FIRST + """, found AS (SELECT y.path_id, y.ori, y.step FROM steps_bi x JOIN steps_bi y ON x.path_id = y.path_id AND x.ori = y.ori
-    AND y.step = x.step + 1 JOIN walk ON x.node_id = a AND x.is_rev = ar AND y.node_id = b AND y.is_rev = br)"""
+_FOUND = _FIRST + """, next AS (SELECT *, lead(node_id) OVER w AS n, lead(is_rev) OVER w AS nr FROM steps_bi WINDOW w AS (PARTITION BY path_id, ori ORDER BY step)),
+    found AS (SELECT path_id, ori, step + 1 AS step FROM next JOIN walk ON node_id = a AND is_rev = ar AND n = b AND nr = br)"""
 
 
 def _walk(gr: g.HapGraph) -> search.Walk:
@@ -331,3 +332,59 @@ def translate_back(spark, sf):
 def upper_case_labels(spark, sf):
     (part,) = tables(spark, sf, "part")
     return part.select("p_partkey", F.upper("p_name").alias("name"), F.length("p_name").cast("bigint").alias("n"))
+
+
+@query(sql(_SEGMENTS + """, outer_links AS (SELECT from_id, from_rev, to_id, to_rev FROM edges JOIN seg a ON a.node_id = from_id JOIN seg b ON b.node_id = to_id
+    WHERE (CASE WHEN NOT from_rev THEN from_id = a.node_lo + 3 ELSE from_id = a.node_lo END) AND (CASE WHEN NOT to_rev THEN to_id = b.node_lo ELSE to_id = b.node_lo + 3 END))
+    SELECT * FROM outer_links UNION SELECT lo + i, false, lo + i + 1, false FROM (SELECT DISTINCT ((node_id - 1) // 4) * 4 + 1 AS lo FROM nodes), range(3) r(i)"""))
+def link_edges(spark, sf):
+    gr = _segmented(spark, sf)
+    return gfa.link_edges(segments.links(gr), gr.segments)
+
+
+@query(sql(""" SELECT path_id, k, CASE WHEN k = 0 THEN seq ELSE reverse(translate(seq, 'ACGT', 'TGCA')) END AS line FROM (VALUES (0), (1)) r(k),
+    (SELECT s.path_id, string_agg(h.oseq, '' ORDER BY s.step) AS seq FROM steps s JOIN handles h ON s.node_id = h.node_id AND s.is_rev = h.is_rev GROUP BY s.path_id)"""))
+def sequence_lines(spark, sf):
+    return gfa_out.sequence_lines(graph(spark, sf), both=True)
+
+
+@query(sql(""", n AS (SELECT count(*) AS n FROM paths WHERE sense <> 'HAPLOTYPE')
+    SELECT path_id, CASE WHEN sense <> 'HAPLOTYPE' THEN row_number() OVER (PARTITION BY sense = 'HAPLOTYPE' ORDER BY path_id) - 1 ELSE path_id + n END AS handle FROM paths, n"""))
+def path_handles(spark, sf):
+    return paths.path_handles(graph(spark, sf).paths)
+
+
+@query(sql(""" SELECT path_id, sample, haplotype, contig, fragment FROM paths WHERE (sense = 'GENERIC' AND contig IN ('g100', 'g200', 'g-1'))
+    OR (sense = 'HAPLOTYPE' AND path_id IN (SELECT min(path_id) FROM paths WHERE sense = 'HAPLOTYPE' UNION SELECT max(path_id) FROM paths WHERE sense = 'HAPLOTYPE'))"""))
+def paths_by_name(spark, sf):
+    p = graph(spark, sf).paths
+    ends = p.where("sense = 'HAPLOTYPE'").agg(F.min("path_id").alias("a"), F.max("path_id").alias("b")).first()
+    some = paths.described(p.where(F.col("path_id").isin(ends["a"], ends["b"]))).select("name").collect()
+    found = [paths.find_path(p, name) for name in ("g100", "g200", "g-1", *(r["name"] for r in some))]
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.select("path_id", "sample", "haplotype", "contig", "fragment")
+
+
+@query(sql(_KMERS + """ SELECT kmer, node_id, is_rev, "offset", bit_or(b) AS hap_bits FROM (
+    SELECT DISTINCT kmer, id AS node_id, is_rev, "offset", 1::BIGINT AS b FROM hits WHERE id % 2 = 0 UNION ALL SELECT DISTINCT kmer, id, is_rev, "offset", 4 FROM hits WHERE id % 3 = 0) GROUP BY ALL"""))
+def merged_indexes(spark, sf):
+    hits = _hits(spark, sf).withColumnRenamed("id", "node_id").distinct()
+    some = lambda m, bits: hits.where(F.col("node_id") % m == 0).withColumn("hap_bits", F.lit(bits).cast("bigint"))
+    return kmers.add_hits(some(2, 1), some(3, 4))
+
+
+@query(sql(_KMERS + """ SELECT kmer, id AS node_id, is_rev, "offset", CASE WHEN id % 2 = 0 AND "offset" % 3 = 0 THEN id + "offset" END AS payload FROM (SELECT DISTINCT * FROM hits)"""))
+def index_payloads(spark, sf):
+    hits = _hits(spark, sf).withColumnRenamed("id", "node_id").distinct()
+    payload = hits.where("node_id % 2 = 0 and offset % 3 = 0").select("node_id", "is_rev", "offset", (F.col("node_id") + F.col("offset")).alias("payload"))
+    return kmers.with_payload(hits, payload)
+
+
+@query(sql(_SEGMENTS.replace("WHERE node_id IN (SELECT node_id FROM steps)", "") + " SELECT name, node_lo, max(node_id) + 1 AS node_hi FROM seg GROUP BY name, node_lo"))
+def imported_translation(spark, sf):
+    gr = graph(spark, sf)
+    at = gr.nodes.withColumn("name", F.concat(F.lit("s"), F.expr("(node_id - 1) div 4")))
+    before = F.coalesce(F.sum("len").over(Window.partitionBy("name").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return segments.from_translation(gr.nodes, at.select("node_id", "name", F.lit(False).alias("is_rev"), before.alias("offset")))

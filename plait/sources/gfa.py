@@ -7,13 +7,17 @@ partition totals first, so no step sorts the file in one task.
 
 from __future__ import annotations
 
+import re
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plait.operators.components import construction_jobs
 from plait.operators.graph import HapGraph
+from plait.operators.stars import components
 from plait.operators.totals import running_total
 from plait.operators.paths import GENERIC_SAMPLE, add_fragments, compose_reference_samples, parse_reference_samples, sense_of
 from plait.storage import settle
@@ -43,6 +47,51 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return settle(raw.where(kind.isin(*"HSLPWZQ")).select("ord", kind.alias("kind"), F.split("value", "\t", -1).alias("f")))
 
 
+#: What is wrong with a line, by kind: conditions over the fields f, and what to say.
+_FAULTS = {
+    "H": [("exists(slice(f, 2, size(f)), x -> not rlike(x, '^[^:]{2}:[^:]:.*$'))", "malformed header field")],
+    "S": [("coalesce(f[1], '') = ''", "no segment name"), ("coalesce(f[2], '') = ''", "no sequence")],
+    "L": [
+        ("coalesce(f[1], '') = '' or coalesce(f[3], '') = ''", "no segment name"),
+        ("coalesce(f[2], '') not in ('+', '-') or coalesce(f[4], '') not in ('+', '-')", "no orientation"),
+    ],
+    "P": [("coalesce(f[1], '') = ''", "no path name"), ("not rlike(coalesce(f[2], ''), '^([^,]+[+-])(,[^,]+[+-])*$')", "no list of oriented segments")],
+    "WZ": [
+        ("exists(array(f[1], f[3]), x -> coalesce(x, '') = '')", "no sample or contig"),
+        ("not rlike(coalesce(f[2], ''), '^[0-9]+$') or not rlike(coalesce(f[4], ''), '^([0-9]+|[*])$')", "no haplotype or start"),
+        ("not rlike(coalesce(f[6], ''), '^([<>][^<>]+)+$')", "no walk"),
+    ],
+    "Q": [("coalesce(f[1], '') = ''", "no rule name"), ("not rlike(coalesce(f[2], ''), '^([<>][^<>]+)+$')", "no expansion")],
+}
+
+
+def _line_number(spark: SparkSession, path: str, fields: list[str]) -> int:
+    """Where a line is first found in a file. Only read if there is something to report."""
+    raw = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("ord"))
+    return running_total(raw, F.lit(1), "before").where(F.col("value") == "\t".join(fields)).agg(F.min("before")).first()[0] + 1
+
+
+def check_lines(spark: SparkSession, path: str, typed: DataFrame) -> None:
+    """A malformed line is an error that names its number in the file."""
+    fault = F.lit(None).cast("string")
+    for kinds, faults in _FAULTS.items():
+        for condition, what in reversed(faults):
+            # get() gives null beyond the end, where [] may be an error
+            test = re.sub(r"f\[(\d)\]", r"get(f, \1)", condition)
+            fault = F.when(F.col("kind").isin(*kinds) & F.expr(test), what).otherwise(fault)
+    bad = typed.withColumn("fault", fault).where("fault is not null").orderBy("ord").limit(1).collect()
+    if bad:
+        raise GfaError(f"line {_line_number(spark, path, bad[0]['f'])}: {bad[0]['fault']}")
+
+
+def check_links(spark: SparkSession, path: str, typed: DataFrame, names: DataFrame) -> None:
+    """A link to a segment that is not there is an error."""
+    ends = typed.where("kind = 'L'").select("ord", "f", F.explode(F.array(F.get(F.col("f"), 1), F.get(F.col("f"), 3))).alias("name"))
+    bad = ends.join(names, "name", "left_anti").orderBy("ord").limit(1).collect()
+    if bad:
+        raise GfaError(f"line {_line_number(spark, path, bad[0]['f'])}: no segment {bad[0]['name']}")
+
+
 def of_kind(*kinds: str) -> Column:
     """The fields of lines of these kinds, null for others: Spark may test an expression before it filters the lines."""
     return F.when(F.col("kind").isin(*kinds), F.col("f"))
@@ -190,12 +239,20 @@ def _named(p: DataFrame, formats: Sequence[tuple[str, str, str]]) -> DataFrame:
     return p.select("ord", part("S", none).alias("sample"), part("H", none).try_cast("bigint").alias("haplotype"), part("C", F.lit("")).alias("contig"), part("F", none).try_cast("bigint").alias("fragment"))
 
 
-def from_gfa(spark: SparkSession, path: str, max_node_length: int = MAX_NODE_LENGTH, path_formats: Sequence[tuple[str, str, str]] = DEFAULT_FORMATS) -> HapGraph:
-    """The graph of a GFA file. Path ids follow the file: P-lines, then walks. Nodes that no path visits are dropped but keep their ids."""
+def from_gfa(spark: SparkSession, path: str, max_node_length: int = MAX_NODE_LENGTH, path_formats: Sequence[tuple[str, str, str]] = DEFAULT_FORMATS, jobs: int = 0) -> HapGraph:
+    """The graph of a GFA file. Nodes that no path visits are dropped but keep their ids.
+
+    Path ids follow the file: P-lines, then walks. With `jobs` they follow construction jobs of a jobs-th of the nodes or so: components of
+    the file's links by their least node, packed together in that order; in a job P-lines first, then walks, as in the file.
+    """
     typed = lines(spark, path)
-    check_file(typed)
+    check_lines(spark, path, typed)
+    for warning in check_file(typed):
+        warnings.warn(warning, stacklevel=2)
     s = segment_lines(typed)
     nodes, ranges, translated = make_nodes(s, max_node_length)
+    ranges = settle(ranges)
+    check_links(spark, path, typed, s.select("name"))
     p, w, rules = path_lines(typed), walk_lines(typed), rule_lines(typed)
     each = p.select("ord", F.inline("symbols")).unionByName(w.select("ord", F.inline("symbols"))).select("ord", F.array(F.col("pos").cast("int")).alias("pos"), "symbol", "is_rev")
     if rules.limit(1).count():
@@ -209,8 +266,12 @@ def from_gfa(spark: SparkSession, path: str, max_node_length: int = MAX_NODE_LEN
     meta = _named(p, path_formats).withColumn("kind", F.lit(0)).unionByName(
         w.select("ord", F.when(F.col("sample") == "*", GENERIC_SAMPLE).otherwise(F.col("sample")).alias("sample"), F.when(F.col("sample") != "*", F.col("haplotype")).alias("haplotype"), "contig", F.col("start").alias("fragment"), F.lit(1).alias("kind"))
     )
-    order = F.struct("kind", "ord").alias("key")
-    numbered = settle(running_total(meta.withColumn("key", order), F.lit(1), "path_id", "key"))
+    if jobs:
+        owner = _job_of_lines(rows, nodes, link_edges(link_lines(typed), ranges), jobs)
+        keyed = meta.join(owner, "ord", "left").withColumn("key", F.struct("job_id", "kind", "ord")).drop("job_id")
+    else:
+        keyed = meta.withColumn("key", F.struct("kind", "ord"))
+    numbered = settle(running_total(keyed, F.lit(1), "path_id", "key"))
     tags = {r["tag"]: r for r in headers(typed).collect()}
     if "RS" in tags and tags["RS"]["type"] != "Z":
         raise GfaError("the RS tag is no string")
@@ -225,6 +286,15 @@ def from_gfa(spark: SparkSession, path: str, max_node_length: int = MAX_NODE_LEN
     return HapGraph(settle(visited), settle(paths.select("path_id", "sample", "contig", "haplotype", "fragment", "sense")), kept, settle(ranges.select("name", "node_lo", "node_hi")) if translated else None, named)
 
 
+def _job_of_lines(visits: DataFrame, nodes: DataFrame, edges: DataFrame, jobs: int) -> DataFrame:
+    """ord and job_id of the lines with paths: the job of the component of the first node."""
+    linked = components(edges, "from_id", "to_id").select(F.col("node").alias("node_id"), "root")
+    ids = settle(nodes.select("node_id").join(linked, "node_id", "left").select("node_id", F.coalesce("root", "node_id").alias("component_id")))
+    packed = construction_jobs(ids, nodes.count() // jobs)
+    first = visits.groupBy("ord").agg(F.min_by("node_id", F.struct("pos", "i")).alias("node_id"))
+    return first.join(ids, "node_id").join(packed, "component_id").select("ord", "job_id")
+
+
 def link_edges(links: DataFrame, ranges: DataFrame) -> DataFrame:
     """L-lines and the joints inside chopped segments as oriented edges of nodes (for components before paths are known)."""
     a = ranges.select(F.col("name").alias("from_name"), F.col("node_lo").alias("a_lo"), F.col("node_hi").alias("a_hi"))

@@ -42,7 +42,7 @@ def walks(graph: HapGraph) -> DataFrame:
 
 
 def path_text(graph: HapGraph, mode: str = "default") -> DataFrame:
-    """P-lines and W-lines of a mode: default (generic paths as P, others as W), pan-sn (all as P), ref-only (references as W)."""
+    """P-lines and W-lines of a mode: default (generic paths as P, others as W), pan-sn (all as P), ref-only (generic paths as P, references as W)."""
     if mode not in MODES:
         raise ValueError(f"unknown path mode {mode!r}")
     rows = graph.paths.join(walks(graph), "path_id")
@@ -50,13 +50,12 @@ def path_text(graph: HapGraph, mode: str = "default") -> DataFrame:
     suffix = F.when(fragment != 0, F.concat(F.lit("["), fragment, F.lit("]"))).otherwise("")
     as_p = lambda name: F.concat_ws("\t", F.lit("P"), F.concat(name, suffix), "p_walk", F.lit("*"))
     pan_sn = F.concat_ws("#", "sample", F.coalesce(F.col("haplotype").cast("string"), F.lit(NO_PHASE)), "contig")
-    as_w = F.concat_ws("\t", F.lit("W"), "sample", F.coalesce("haplotype", F.lit(0)), "contig", fragment, fragment + F.col("bp"), "w_walk")
+    as_w = F.concat_ws("\t", F.lit("W"), "sample", F.coalesce(F.col("haplotype").cast("string"), F.lit(NO_PHASE)), "contig", fragment, fragment + F.col("bp"), "w_walk")
     generic = F.col("sense") == "GENERIC"
     if mode == "pan-sn":
         rows, line, part = rows, as_p(pan_sn), F.lit(3)
-    elif mode == "ref-only":
-        rows, line, part = rows.where("sense = 'REFERENCE'"), as_w, F.lit(4)
     else:
+        rows = rows.where("sense <> 'HAPLOTYPE'") if mode == "ref-only" else rows
         line, part = F.when(generic, as_p(F.col("contig"))).otherwise(as_w), F.when(generic, 3).otherwise(4)
     return rows.select(part.alias("part"), F.col("path_id").alias("k1"), F.lit(0).cast("bigint").alias("k2"), line.alias("line"))
 

@@ -11,8 +11,12 @@ from plait.functions.alignment import align, path_lcs, to_cigar
 from plait.operators import components as C
 from plait.operators import cover, kmers, lineage, paths, search, segments, windows
 from plait.operators import graph as g
+from plait.operators import paths as P
+from plait.operators import stars
 from plait.operators import subgraph as U
+from plait.operators.graph import HapGraph
 from plait.sources import gfa, gfa_out, store
+from plait.streaming import incremental
 
 LABELS = {1: "G", 2: "A", 3: "T", 4: "GGG", 5: "T", 6: "A", 7: "C", 8: "A", 9: "A"}
 SHORT, ALT = [1, 4, 5, 6, 7, 9], [1, 2, 4, 5, 6, 8, 9]
@@ -313,3 +317,187 @@ def test_senses_and_references(base):
     assert n == 1 and changed.tags["reference_samples"] == "s1"
     assert rows(changed.paths.where("sense = 'REFERENCE'").select("sample")) == [("s1",)]
     assert paths.matching(base.paths, samples=set()).count() == 0 and paths.matching(base.paths).count() == 3
+
+
+def test_line_numbers_of_errors(spark, tmp_path):
+    good = ["H\tVN:Z:1.1", "# a comment", "S\ta\tA", "S\tb\tC", "L\ta\t+\tb\t-\t0M", "P\tp\ta+,b-\t*"]
+    assert rows(gfa.from_gfa(spark, write(tmp_path / "good.gfa", good)).edges) == [(1, False, 2, True)]
+    for at, line, what in [(4, "L\ta\t+\tb\tx\t0M", "no orientation"), (4, "L\ta\t+\tzz\t-\t0M", "no segment zz"), (4, "L\ta\t+", "no segment name"), (5, "P\tp\ta+,b\t*", "no list"), (5, "W\tx\t1\tc\tq\t2\t>a", "no haplotype or start"), (0, "H\tVN", "malformed header")]:
+        bad = [line if i == at else x for i, x in enumerate(good)] + (["P\tq\ta+\t*"] if line[0] == "W" else [])
+        with pytest.raises(gfa.GfaError, match=f"line {at + 1}: {what}"):
+            gfa.from_gfa(spark, write(tmp_path / f"bad{at}{line[-2:].strip()}.gfa", bad))
+    with pytest.warns(UserWarning, match="unknown version 9"):
+        gfa.from_gfa(spark, write(tmp_path / "v.gfa", ["H\tVN:Z:9", *good[2:]]))
+
+
+def test_paths_in_job_order(spark, tmp_path):
+    segments = [f"S\t{i}\tA" for i in (11, 12, 13, 21, 22, 31)]
+    links = ["L\t11\t+\t12\t+\t0M", "L\t12\t+\t13\t+\t0M", "L\t21\t+\t22\t+\t0M"]
+    walks = ["W\tx\t1\tc\t0\t1\t>31", "W\tx\t1\tb\t0\t2\t>21>22", "W\tx\t1\ta\t0\t2\t>11>12", "P\tp\t22+\t*", "W\ty\t1\ta\t0\t2\t>12>13"]
+    path = write(tmp_path / "jobs.gfa", [*segments, *links, *walks])
+    contigs = lambda gr: [r["contig"] + r["sample"][:1] for r in gr.paths.orderBy("path_id").collect()]
+    assert contigs(gfa.from_gfa(spark, path)) == ["p_", "cx", "bx", "ax", "ay"]
+    assert contigs(gfa.from_gfa(spark, path, jobs=6)) == ["ax", "ay", "p_", "bx", "cx"]  # a job each
+    assert contigs(gfa.from_gfa(spark, path, jobs=2)) == ["ax", "ay", "p_", "cx", "bx"]  # {11..13}, {21..22, 31}
+
+
+def test_path_modes_and_missing_haplotypes(spark):
+    gr = build(spark, {1: "A", 2: "C"}, [[1, 2], [1, -2], [2]], {0: "REFERENCE", 1: "GENERIC"})
+    gr.paths = gr.paths.withColumn("haplotype", F.when(F.col("path_id") == 1, None).otherwise(F.when(F.col("path_id") == 0, F.lit(None)).otherwise(F.col("haplotype"))).cast("bigint"))
+    text = lambda mode: sorted(r["line"].split("\t")[0] for r in gfa_out.path_text(gr, mode).collect())
+    assert text("default") == ["P", "W", "W"] and text("ref-only") == ["P", "W"] and text("pan-sn") == ["P", "P", "P"]
+    (walk,) = (r["line"] for r in gfa_out.path_text(gr, "ref-only").collect() if r["line"][0] == "W")
+    assert walk.split("\t")[2] == gfa_out.NO_PHASE
+
+
+def test_find_path_by_composed_name(spark):
+    fields = "path_id bigint, sample string, contig string, haplotype bigint, fragment bigint, sense string"
+    p = spark.createDataFrame([(0, "ref", "chr1", 0, 0, "REFERENCE"), (1, "s", "chr1", 1, 7, "HAPLOTYPE"), (2, "s", "a#b", 2, 0, "HAPLOTYPE"), (3, "_gbwt_ref", "x#1#y#2", None, 0, "GENERIC")], fields)
+    found = lambda name: [r["path_id"] for r in P.find_path(p, name).collect()]
+    assert found("ref#0#chr1") == [0] and found("s#1#chr1#7") == [1] and found("s#2#a#b#0") == [2] and found("x#1#y#2") == [3]
+    assert found("s#1#chr1") == found("s#1#chr1#8") == found("ref#0#chr1#0") == found("nothing") == []
+    assert {r["path_id"]: r["handle"] for r in P.path_handles(p).collect()} == {0: 0, 3: 1, 1: 3, 2: 4}
+
+
+def wang(x):
+    m = 2**64
+    x = (~x + (x << 21)) % m
+    x ^= x >> 24
+    x = (x * 265) % m
+    x ^= x >> 14
+    x = (x * 21) % m
+    x ^= x >> 28
+    return (x + (x << 31)) % m
+
+
+@pytest.mark.parametrize(("k", "w", "s", "bits"), [(5, 3, 3, 64), (31, 4, 20, 64), (5, 3, 3, 128), (39, 5, 24, 128), (63, 2, 35, 128)])
+def test_schemes_against_plain_ones(k, w, s, bits):
+    rng = random.Random(k)
+    text = "".join(rng.choice("ACGT") for _ in range(200)) + "N" + "".join(rng.choice("ACGTacgt") for _ in range(90)) + "ACACACAC" * 20
+    comp = str.maketrans("ACGT", "TGCA")
+
+    def hashed(x):
+        key = int(x.translate(str.maketrans("ACGT", "0123")), 4)
+        if bits == 64:
+            return wang(key)
+        h = wang(key >> 64)
+        return h ^ (wang(key % 2**64) + 0x9E3779B9 + (h << 6) + (h >> 2)) % 2**64
+
+    def at(i, n):
+        x = text[i : i + n].upper()
+        return None if "N" in x or len(x) < n else (hashed(x), hashed(x.translate(comp)[::-1]))
+
+    want = {}
+    for a in range(len(text) - k - w + 2):
+        some = {i: h for i in range(a, a + w) if (h := at(i, k))}
+        for i, h in some.items():
+            if min(h) == min(map(min, some.values())):
+                want.setdefault(i, [h[1] < h[0], a, a])[2] = a
+    assert [(p, r, a, b) for p, r, _, a, b in kmers.minimizers_of(text, k, w, bits=bits)] == [(p, *v) for p, v in sorted(want.items())]
+    closed = []
+    for i in range(len(text) - k + 1):
+        if h := at(i, k):
+            inner = [min(at(i + j, s)) for j in range(k - s + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                closed.append((i, h[1] < h[0]))
+    assert kmers.syncmers_of(text, k, s, bits) == closed
+
+
+def test_index_tables(spark, tmp_path):
+    hits = spark.createDataFrame([("ACG", 1, False, 0), ("CCC", 2, True, 3)], "kmer string, node_id bigint, is_rev boolean, offset int")
+    store.save_index(hits, "hits_of_a_test", {"k": "3", "pggname": "it's \\ x"}, buckets=2)
+    try:
+        again, tags = store.load_index(spark, "hits_of_a_test", {"k": 3})
+        assert kmers.same_index(hits, again) and tags == {"k": "3", "pggname": "it's \\ x"}
+        with pytest.raises(ValueError):
+            store.load_index(spark, "hits_of_a_test", {"k": 4})
+        assert not kmers.same_index(hits, again.limit(1))
+    finally:
+        spark.sql("DROP TABLE hits_of_a_test")
+
+
+def test_two_stores(spark, tmp_path, base):
+    store.save(base, str(tmp_path / "whole"))
+    bare = HapGraph(base.nodes.limit(0), base.paths, base.steps)
+    store.save(bare, str(tmp_path / "bare"))
+    assert rows(store.load_two(spark, str(tmp_path / "bare"), str(tmp_path / "whole")).edges) == rows(base.edges)
+    with pytest.raises(ValueError):
+        store.load_two(spark, str(tmp_path / "whole"), str(tmp_path / "bare"))
+
+
+def test_imported_translations(spark):
+    nodes = spark.createDataFrame([(i, 2) for i in (1, 2, 3, 5, 6)], "node_id bigint, len bigint")
+    fields = "node_id bigint, name string, is_rev boolean, offset bigint"
+    told = [(1, "a", False, 0), (2, "a", False, 2), (3, "b", False, 0), (5, "c", False, 0), (6, "c", False, 2)]
+    assert rows(segments.from_translation(nodes, spark.createDataFrame(told, fields))) == [("a", 1, 3), ("b", 3, 4), ("c", 5, 7)]
+    for bad in ([*told[:4], (6, "c", False, 1)], [*told[:4], (6, "c", True, 2)], told[:4], [*told, told[0]]):
+        with pytest.raises(ValueError):
+            segments.from_translation(nodes, spark.createDataFrame(bad, fields))
+
+
+def test_named_paths_before_a_cover(spark):
+    labels = {i: "ACGT"[i % 4] for i in range(1, 8)}
+    gr = build(spark, labels, [[1, 2, 4], [1, 3, 4], [5, 6, 7]], {0: "REFERENCE"})
+    ids = C.component_ids(gr)
+    both = cover.named_and_cover(gr, ids, cover.path_cover(gr, ids, n=2, k=2))
+    got = {r["path_id"]: (r["sample"], r["contig"]) for r in both.paths.collect()}
+    assert got == {0: ("s0", "c"), 3: ("path_cover_0", "c"), 4: ("path_cover_1", "c"), 5: ("path_cover_0", "component_1"), 6: ("path_cover_1", "component_1")}
+    assert {r["path_id"] for r in both.steps.collect()} == set(got)
+
+
+def test_search_meets_nodes_in_order(spark):
+    rng = random.Random(12)
+    labels = {i: "A" * rng.randint(1, 6) for i in range(1, 31)}
+    gr = build(spark, labels, [[rng.choice([1, -1]) * rng.randint(1, 30) for _ in range(12)] for _ in range(6)])
+    succ = {}
+    for a, ar, b, br in rows(gr.edges_bi):
+        succ.setdefault((a, ar), []).append((b, br))
+    for context in (0, 3, 9, 25):
+        found, queue = [], [(0, 5, False, len(labels[5]) // 2)]
+        while queue:
+            d, n, r, o = queue.pop(queue.index(min(queue)))
+            if n not in found:
+                found.append(n)
+                for side in (False, True):
+                    e = d + (len(labels[n]) - o if side == r else o + 1)
+                    queue += [(e, b, br, 0) for b, br in succ.get((n, side), []) if e <= context]
+        got = U.nodes_within(gr, (5, False, len(labels[5]) // 2), context)
+        assert sorted(r[0] for r in got.collect()) == sorted(found)
+
+
+def test_counts_over_a_stream(spark, tmp_path, base):
+    base.steps.repartition(3).write.parquet(str(tmp_path / "steps"))
+    stream = spark.readStream.schema(base.steps.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "steps"))
+    for name, f in (("visits", incremental.visit_counts), ("totals", incremental.path_totals)):
+        running = f(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
+        assert running.awaitTermination(120)
+        assert rows(spark.table(name)) == rows(f(base.steps))
+
+
+@pytest.mark.parametrize("large", [0, 10**6])
+def test_components_of_one_giant_star_and_chains(spark, monkeypatch, large):
+    monkeypatch.setattr(stars, "LARGE", large)
+    links = [(1000, i) for i in range(200)] + [(i, i + 1) for i in range(2000, 2070)] + [(5, 5), (None, 1), (7, None)]
+    found = dict(tuple(r) for r in stars.components(spark.createDataFrame(links, "a bigint, b bigint")).collect())
+    assert found == {**dict.fromkeys([*range(200), 1000], 0), **dict.fromkeys(range(2000, 2071), 2000)}
+
+
+def test_components_split_a_hot_root(spark, monkeypatch):
+    """With written tables adaptive execution splits the key that all links of a component have."""
+    monkeypatch.setattr(stars, "LARGE", 0)
+    join = stars.settle
+    tight = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in tight}
+    for k, v in tight.items():
+        spark.conf.set(k, v)
+    try:
+        links = spark.range(60_000).select(F.lit(0).cast("bigint").alias("a"), (F.col("id") + 1).alias("b"))
+        assert stars.components(links).groupBy("root").count().collect() == [(0, 60_001)]
+        arcs = join(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        least = join(arcs.groupBy("u").agg(F.min("v").alias("m")))
+        joined = arcs.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
