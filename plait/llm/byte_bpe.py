@@ -6,8 +6,8 @@ a token position of a word: its token and the token after it. Each round joins t
 least rank, contracts it, and hands on the words that changed; a word without a pair is done. Ordered
 aggregations then string the ids together and, through the vocabulary, the bytes they stand for: the decoder.
 
-Words repeat, so a worker keeps the ids of up to CACHE words (then forgets them all): its memory does not grow with its
-input. Every word is decoded as it is learnt; one that decodes to its own bytes stands for them and is not kept twice.
+Words repeat, so a worker keeps the ids of up to CACHE words that it has met in a second batch (then forgets them all): its
+memory does not grow with its input, and words that come once take none. Every word is decoded as it is learnt; one that decodes to its own bytes stands for them and is not kept twice.
 Pre-tokens over LONG bytes, which would take a round per merge over all their positions, are contracted by a heap in
 the same order. There is no shuffle; a lost task is simply run again. A worker that has had no such task for IDLE
 seconds closes its database and gives all of its memory back.
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from plait.llm.common import arrow_map, let_go
 
 #: Words a query takes, words kept by a worker, bytes from which a pre-token goes to the heap, and seconds until an idle worker lets go.
-WORDS, CACHE, LONG, IDLE = 8_000, 450_000, 256, 1.0
+WORDS, CACHE, LONG, IDLE = 8_000, 300_000, 256, 1.0
+#: Slots that tell whether a word has been met, by its hash; cleared after as many words as an eighth of them. A wrong answer costs memory only.
+SLOTS = 1 << 22
 
 #: positions: word, position, the next position, token, the next token. A word keeps its rows of every round r.
 ENCODE = """
@@ -94,6 +96,7 @@ class Codec:
             self.db.unregister("given")
         self.known: dict[str, str] = {}  # the ids of a word, as text
         self.odd: dict[str, bytes] = {}  # what a word decodes to, if that is not the word
+        self.met, self.marks = bytearray(SLOTS), 0
 
     def _positions(self, words: list[bytes]) -> pa.Table:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -112,16 +115,17 @@ class Codec:
             }
         )
 
-    def _by_query(self, words: list[str], raw: list[bytes]) -> Iterator[tuple[str, str, bytes]]:
+    def _by_query(self, raw: list[bytes]) -> Iterator[tuple[int, str, bytes]]:
+        """Of each word its place, its ids as text, and the bytes they decode to."""
         self.db.register("positions", self._positions(raw))
         self.db.execute(ENCODE)
         self.db.unregister("positions")
         found = self.db.sql(IDS).to_arrow_table()
         for w, ids, text in zip(found["w"].to_pylist(), found["ids"].to_pylist(), found["hex"].to_pylist(), strict=True):
-            yield words[w], ids, bytes.fromhex(text)
+            yield w, ids, bytes.fromhex(text)
 
-    def _by_heap(self, word: bytes) -> list[int]:
-        """The same contractions in the same order: the least rank first, of equal ranks the leftmost."""
+    def _by_heap(self, word: bytes) -> tuple[str, bytes]:
+        """Ids as text and what they decode to: the same contractions in the same order: the least rank first, of equal ranks the leftmost."""
         parts = [word[i : i + 1] for i in range(len(word))]
         before, after = list(range(-1, len(word) - 1)), [*range(1, len(word)), -1]
         heap: list[tuple[int, int, bytes]] = []
@@ -142,40 +146,50 @@ class Codec:
                 before[after[i]] = i
             offer(before[i])
             offer(i)
-        return [self.ranks[p] for p in parts if p]
+        ids = [self.ranks[p] for p in parts if p]
+        return " ".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
 
     def learn(self, texts: Iterable[list[str]]) -> dict[str, tuple[str, int, bytes]]:
         """(ids as text, their number, the bytes they decode to) of the words of these texts."""
-        wanted = {w for words in texts for w in words}
-        known = self.meet(wanted)
-        return {w: (known[w], known[w].count(" ") + 1, self.decoded([w])) for w in wanted}
-
-    def meet(self, wanted: Iterable[str]) -> dict[str, str]:
-        """The ids of at least these words (each given once)."""
-        todo = [w for w in wanted if w not in self.known]
-        if len(self.known) + len(todo) > CACHE:
-            self.known, self.odd, todo = {}, {}, list(wanted)
+        wanted = list({w for words in texts for w in words})
+        return {w: (ids, ids.count(" ") + 1, self.decoded([w])) for w, ids in zip(wanted, self.meet(wanted), strict=True)}
+
+    def meet(self, wanted: list[str]) -> list[str]:
+        """The ids of each of these words (given once each), as text."""
+        if len(self.known) + len(self.odd) > CACHE:
+            self.known, self.odd = {}, {}
+        out = list(map(self.known.get, wanted))
         short = []
-        for w in todo:
-            raw = w.encode()
-            if (rank := self.ranks.get(raw)) is not None:
-                self._keep(w, str(rank), self.bytes_of[rank])
-            elif len(raw) > LONG:
-                ids = self._by_heap(raw)
-                self._keep(w, " ".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)))
-            else:
-                short.append((w, raw))
-        short.sort(key=lambda x: len(x[1]))  # a query takes as many rounds as its longest word
-        for i in range(0, len(short), WORDS):
-            part = short[i : i + WORDS]
-            for found in self._by_query([w for w, _ in part], [raw for _, raw in part]):
-                self._keep(*found)
-        return self.known
-
-    def _keep(self, word: str, ids: str, decoded: bytes) -> None:
-        self.known[word] = ids
+        for i, ids in enumerate(out):
+            if ids is None:
+                raw = wanted[i].encode()
+                if (rank := self.ranks.get(raw)) is not None:
+                    out[i] = str(rank)
+                elif len(raw) > LONG:
+                    out[i] = self._learnt(wanted[i], *self._by_heap(raw))
+                else:
+                    short.append((len(raw), i, raw))
+        short.sort()  # a query takes as many rounds as its longest word
+        for a in range(0, len(short), WORDS):
+            part = short[a : a + WORDS]
+            for k, ids, decoded in self._by_query([raw for *_, raw in part]):
+                i = part[k][1]
+                out[i] = self._learnt(wanted[i], ids, decoded)
+        return out
+
+    def _learnt(self, word: str, ids: str, decoded: bytes) -> str:
+        """Kept from the second time on."""
+        slot = hash(word) % SLOTS
+        if self.met[slot]:
+            self.known[word] = ids
+        else:
+            self.marks += 1
+            if self.marks > SLOTS // 8:
+                self.met, self.marks = bytearray(SLOTS), 0
+            self.met[slot] = 1
         if decoded != word.encode():
             self.odd[word] = decoded
+        return ids
 
     def decoded(self, words: Iterable[str]) -> bytes:
         """What the ids of these known words decode to."""
@@ -241,8 +255,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, at: int
         for batch in batches:
             index = _Index()  # a text is kept as the numbers of its words
             texts = [np.fromiter(map(index.__getitem__, cut.findall(t.as_py() or "")), np.int32) for t in batch.column(at)]
-            words, known = list(index), bpe.meet(index)
-            ids_of = [known[w] for w in words]
+            words = list(index)
+            ids_of = bpe.meet(words)
             n, ids, raw = [], [], []
             for text in texts:
                 text = text.tolist()
