@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from plait.functions import dna
 from plait.operators.graph import HapGraph
 from plait.operators.paths import haplotype_ids
-from plait.operators.windows import haplotype_windows, walk_text, window_sequences
+from plait.operators.windows import haplotype_windows, visits_of, walk_text, window_sequences
+from plait.storage import settle
 
 #: k-mers that may be listed in a minimizer scheme: 8 bytes each, sent to every task.
 MOST_FREQUENT = 4_000_000
@@ -208,7 +209,7 @@ def _on_nodes(graph: HapGraph, windows: DataFrame, hits: DataFrame, k: int) -> D
 
 def minimizer_index(graph: HapGraph, k: int, w: int, payload: DataFrame | None = None) -> DataFrame:
     """Distinct minimizer hits of all haplotype windows; payload (node_id, is_rev, offset, payload) is joined after the dedup."""
-    windows = haplotype_windows(graph, check_parameters(k, w=w))
+    windows = settle(haplotype_windows(graph, check_parameters(k, w=w)))
     hits = minimizers(window_sequences(graph, windows).withColumnRenamed("walk", "id"), k, w)
     index = _on_nodes(graph, windows, hits, k).select("kmer", "node_id", "is_rev", "offset").distinct()
     return index if payload is None else with_payload(index, payload)
@@ -222,12 +223,11 @@ def with_payload(index: DataFrame, payload: DataFrame) -> DataFrame:
 
 def minimizer_index_with_paths(graph: HapGraph, k: int, w: int) -> DataFrame:
     """Hits with hap_bits: bit i is set if haplotype i contains the walk that the k-mer covers there."""
-    windows = haplotype_windows(graph, check_parameters(k, w=w))
+    windows = settle(haplotype_windows(graph, check_parameters(k, w=w)))
     hits = minimizers(window_sequences(graph, windows).withColumnRenamed("walk", "id"), k, w)
-    placed = _on_nodes(graph, windows, hits, k).distinct()
-    walks = placed.select("nodes").distinct()  # one lookup for each distinct walk
-    numbered = walks.select(walk_text(F.col("nodes")).alias("walk"), F.size("nodes").alias("n"), F.posexplode("nodes").alias("i", "x")).select("walk", "n", "i", F.col("x.node_id").alias("node_id"), F.col("x.is_rev").alias("is_rev"))
-    votes = graph.steps_bi.join(numbered, ["node_id", "is_rev"]).groupBy("walk", "n", "path_id", "ori", (F.col("step") - F.col("i")).alias("start")).agg(F.count(F.lit(1)).alias("hits")).where("hits = n")
+    placed = settle(_on_nodes(graph, windows, hits, k).distinct())
+    walks = placed.select(walk_text(F.col("nodes")).alias("walk"), "nodes").distinct()  # one lookup for each distinct walk
+    votes = visits_of(graph, walks)
     ids = haplotype_ids(graph.paths).select("path_id", "hap_id")
     bits = votes.select("walk", "path_id").distinct().join(ids, "path_id").groupBy("walk").agg(F.bit_or(F.expr("shiftleft(1L, hap_id)")).alias("hap_bits"))
     return placed.withColumn("walk", walk_text(F.col("nodes"))).join(bits, "walk").groupBy("kmer", "node_id", "is_rev", "offset").agg(F.bit_or("hap_bits").alias("hap_bits"))
@@ -235,7 +235,7 @@ def minimizer_index_with_paths(graph: HapGraph, k: int, w: int) -> DataFrame:
 
 def kmer_index(graph: HapGraph, k: int, include: Column | None = None) -> DataFrame:
     """Distinct canonical k-mer hits of the haplotype windows of k bases; include: a condition on kmer."""
-    windows = haplotype_windows(graph, k)
+    windows = settle(haplotype_windows(graph, k))
     hits = canonical_kmers(window_sequences(graph, windows).withColumnRenamed("walk", "id"), k)
     hits = hits if include is None else hits.where(include)
     return _on_nodes(graph, windows, hits, k).select("kmer", "node_id", "is_rev", "offset").distinct()
