@@ -1,11 +1,13 @@
 """Sharding indivisible groups by Karmarkar-Karp differencing.
 
-Rows of equal text form a group that no shard boundary may cut. Spark sums the groups and deals them to tasks. Differencing
-composes: a partial partition (a sum for each shard) is all that the rest needs to know of the groups in it. So each
-task differences its groups, the largest first, in chunks of CHUNK, then the chunks' partitions, until one is left;
-the driver differences these, one for each task. Every group, large or small, is placed by the method: again and again
-the two partial partitions of the largest spread are combined in opposite order. Documents get their shard by a
-join on the group, of two written tables, so that adaptive execution can split a hot text.
+Rows of equal text form a group that no shard boundary may cut. Spark sums the groups. Those that hold a HEAVY-th of all
+bytes or more (HEAVY at most, by counting) are differenced on the driver: again and again the two partial partitions of the
+largest spread are combined in opposite order, until one is left. All others are dealt to tasks, and each task differences
+its own, the largest first, CHUNK at a time, together with a partial partition: at first its share of the heavy
+groups' sums, then what the chunk before it left. So every group is placed by the method, and groups of all tasks
+make up for what a hot text does to one shard. A partial partition has a sum for each shard, and combining keeps its
+shards apart; so the tasks' results need no further step to fit together. Documents get their shard by a join on the
+group, of two written tables, so that adaptive execution can split a hot text.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from plait.llm.common import arrow_map, fan_out, settle
 
-#: Groups or partial partitions of one heap, and groups that a task gets, about (some 30 bytes of memory each).
-CHUNK, TASK_GROUPS = 4096, 1_000_000
+#: The share of all bytes from which a group is heavy, groups of one heap, and groups that a task gets, about (some 30 bytes of memory each).
+HEAVY, CHUNK, TASK_GROUPS = 4096, 4096, 1_000_000
 
 
 def combined(parts: Sequence[Sequence[int]]) -> tuple[list[int], list[list[int]]]:
@@ -51,56 +53,47 @@ def combined(parts: Sequence[Sequence[int]]) -> tuple[list[int], list[list[int]]
     return heap[0][2], final[: len(parts)]
 
 
-def place_parts(parts: list[Sequence[int]], owner: np.ndarray, shard: np.ndarray) -> tuple[Sequence[int], np.ndarray]:
-    """Any number of partial partitions as one, CHUNK at a time; shard: of each item its shard in the partition `owner`, followed to the end."""
-    while len(parts) > 1:
-        made = [combined(parts[i : i + CHUNK]) for i in range(0, len(parts), CHUNK)]
-        shard = np.array([places for _, chunk in made for places in chunk])[owner, shard]
-        parts, owner = [sums for sums, _ in made], owner // CHUNK
-    return parts[0], shard
-
-
-def place_groups(sizes: np.ndarray, shards: int) -> tuple[Sequence[int], np.ndarray]:
-    """The sums from large to small, and the shard of each group."""
+def place_groups(sizes: np.ndarray, given: Sequence[int]) -> tuple[list[int], np.ndarray]:
+    """The sums of the shards with these groups, and the shard of each group. given: the sums before."""
     order = np.argsort(-sizes, kind="stable")
-    parts, first = [], []
+    names = sorted(range(len(given)), key=lambda j: -given[j])  # the shard at each place of the partial partition
+    sums, placed = [given[j] for j in names], np.empty(len(sizes), np.int64)
     for i in range(0, len(order), CHUNK):
-        sums, places = combined([[n] + [0] * (shards - 1) for n in sizes[order[i : i + CHUNK]].tolist()])
-        parts.append(sums)
-        first += [where[0] for where in places]
-    sums, placed = place_parts(parts, np.arange(len(order)) // CHUNK, np.array(first, np.int64))
-    out = np.empty(len(order), np.int64)
-    out[order] = placed
-    return sums, out
+        mine = order[i : i + CHUNK]
+        sums, places = combined([sums, *([n] + [0] * (len(given) - 1) for n in sizes[mine].tolist())])
+        moved = [0] * len(given)
+        for name, place in zip(names, places[0], strict=True):
+            moved[place] = name
+        names = moved
+        placed[mine] = [names[where[0]] for where in places[1:]]
+    return [n for _, n in sorted(zip(names, sums, strict=True))], placed
 
 
 def differencing(sizes: Sequence[int], shards: int) -> list[int]:
     """The shard of each item."""
-    return place_groups(np.array(sizes, np.int64), shards)[1].tolist() if len(sizes) else []
+    return place_groups(np.array(sizes, np.int64), [0] * shards)[1].tolist()
 
 
 def shards_of_groups(groups: DataFrame, shards: int) -> DataFrame:
     """__key and shard for groups (__key, __sum)."""
     groups = settle(groups)
-    tasks = max(fan_out(groups.sparkSession), -(-groups.count() // TASK_GROUPS))
+    spark, (total, n) = groups.sparkSession, groups.agg(F.coalesce(F.sum("__sum"), F.lit(0)), F.count(F.lit(1))).first()
+    is_heavy = F.col("__sum") * HEAVY >= total
+    heavy = sorted((tuple(r) for r in groups.where(is_heavy).select("__key", "__sum").collect()), key=lambda r: (-r[1], r[0]))
+    sums, where = place_groups(np.array([size for _, size in heavy], np.int64), [0] * shards)
+    light = total - sum(sums)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
-        if not got:
-            return
-        keys, sizes, task = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(3))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sizes), pa.array(task), pa.array(place_groups(sizes, shards)[1].astype(np.int32))], ["__key", "__sum", "__task", "__own"])
-
-    dealt = groups.repartition(tasks, "__key").select("__key", "__sum", F.spark_partition_id().alias("__task"))
-    placed = settle(arrow_map(dealt, run, "__key bigint, __sum bigint, __task int, __own int"))
-    sums: dict[int, list[int]] = {}
-    for r in placed.groupBy("__task", "__own").agg(F.sum("__sum").alias("t")).collect():  # shards rows for each task, of up to TASK_GROUPS groups
-        sums.setdefault(r["__task"], [0] * shards)[r["__own"]] = r["t"]
-    known = sorted(sums)
-    items = [(t, own) for t in known for own in range(shards)]
-    where = place_parts([sums[t] for t in known], np.repeat(np.arange(len(known)), shards), np.tile(np.arange(shards), len(known)))[1].tolist() if known else []
-    final = groups.sparkSession.createDataFrame([(*item, int(s)) for item, s in zip(items, where, strict=True)], "__task int, __own int, shard int")
-    return placed.join(F.broadcast(final), ["__task", "__own"]).select("__key", "shard")
+        if got:
+            keys, sizes = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(2))
+            mine = int(sizes.sum())
+            placed = place_groups(sizes, [x * mine // light for x in sums])[1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(placed.astype(np.int32))], ["__key", "shard"])
+
+    dealt = groups.where(~is_heavy).repartition(max(fan_out(spark), -(-n // TASK_GROUPS)), "__key").select("__key", "__sum")
+    known = spark.createDataFrame([(key, int(s)) for (key, _), s in zip(heavy, where, strict=True)], "__key bigint, shard int")
+    return arrow_map(dealt, run, "__key bigint, shard int").unionByName(known)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

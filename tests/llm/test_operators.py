@@ -515,6 +515,42 @@ def test_differencing_balances(spark):
     assert len(totals) == 16 and max(totals) - min(totals) <= 4
 
 
+def plain_differencing(sizes, shards):
+    """Sums of the shards: the two partial partitions of the largest spread combined in opposite order, until one is left."""
+    parts = [(sorted([s] + [0] * (shards - 1), reverse=True), i) for i, s in enumerate(sizes)]
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (p[0][-1] - p[0][0], p[1]))
+        (a, _), (b, _) = parts.pop(0), parts.pop(0)
+        parts.append((sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True), made))
+        made += 1
+    return parts[0][0]
+
+
+@pytest.mark.parametrize("chunk", [4096, 16])
+def test_differencing_equals_a_plain_one(monkeypatch, chunk):
+    monkeypatch.setattr(sharding, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    for n, shards in ((1, 4), (7, 3), (100, 16), (300, 5)):
+        sizes = [rng.choice([1, 2, 50, rng.randint(1, 10**6)]) for _ in range(n)]
+        sums, shard = sharding.place_groups(np.array(sizes), [0] * shards)
+        assert sums == [sum(s for s, k in zip(sizes, shard, strict=True) if k == b) for b in range(shards)]
+        if n <= chunk:
+            assert sorted(sums, reverse=True) == plain_differencing([0, *sizes], shards)
+    given = [5000, 0, 300, 20]
+    sums, shard = sharding.place_groups(np.array([rng.randint(1, 99) for _ in range(900)]), given)
+    assert max(sums) - min(sums) <= 4 and sums[0] > 5000  # what was there before is made up for
+
+
+def test_sharding_of_hot_texts(spark):
+    """Texts over an even share, and just under it: the others make up for them."""
+    rng = random.Random(3)
+    texts = ["h" * 60_000, "i" * 5000, *("j" * 900 for _ in range(5)), *(rng.choice("abc") * rng.randint(1, 60) + str(i) for i in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sums = sorted(r["t"] for r in sharding.shard_documents(docs, shards=8).groupBy("shard").agg(F.sum("size").alias("t")).collect())
+    assert sums[-1] == 60_001 and sums[-2] - sums[0] <= 40
+
+
 # Mixing.
 
 
