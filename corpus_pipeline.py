@@ -2,7 +2,8 @@
 
 1. quality: an ordinal classifier fitted to the labels; poor and toxic documents go.
 2. exact_dedup: of equal texts the smallest doc_id stays.
-3. near_dedup: all pairs at a similarity of 0.8 of their 5-word shingles, by a prefix filter; of linked texts the smallest id stays.
+3. near_dedup: SimHashes of 3-word shingles within two bits, by deletion-variant signatures, and all pairs at a similarity of 0.8 of
+   their 5-word shingles, by a prefix filter; of texts linked either way the smallest id stays.
 4. mixing: temperature mixing by BPE tokens, with each source passed over at least once and at most twice.
 5. byte_bpe: token ids of every document, and what they decode to.
 
@@ -37,7 +38,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup(docs)
+    return near_dedup(docs, narrow=3)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

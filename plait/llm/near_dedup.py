@@ -9,6 +9,9 @@ Runs of equal keys are the candidates, in two steps. First every text of a run m
 (the base of a group of copies), and the components of what is verified are taken. Then all pairs of a run that are
 in different components are verified, in tiles of bounded size. So every pair that shares a key is linked, tried, or
 linked by way of others; nothing falls before all links are known. Of linked texts the smallest id stays.
+
+SimHashes, where asked for, link by their deletion-variant signatures as in op6, as well: texts that one of the two ways
+links are linked.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 
 from plait.llm.common import arrow_map, fan_out, free_prefix, settle
 from plait.llm.components import components
-from plait.llm.simhash import shingle_hashes
+from plait.llm.simhash import links as fingerprint_links
+from plait.llm.simhash import majority, shingle_hashes
 from plait.llm.substring_dedup import pack, unpack
 
 SAMPLE, COMMON, TILE, SLACK, BITS = 8192, 1 << 16, 1024, 1e-6, 1024
@@ -131,10 +135,10 @@ def _unpack(packed: bytes) -> np.ndarray:
     return unpack(packed + bytes(len(packed) // 5 * 3))
 
 
-def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+def shingle_sets(rows: DataFrame, width: int, narrow: int | None = None) -> DataFrame:
     """rows (rid, text) -> rid, n, sketch (BITS parities of shingles) and the shingles as 40-bit hashes, sorted, as byte planes of their differences (four bytes a shingle once
     compressed; two different shingles of a pair of texts of a thousand words are taken for one with a chance of 1e-6), and same, a digest
-    of the set. Texts without words are left out."""
+    of the set, and fp, the SimHash of the shingles of `narrow` words (null without). Texts without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,9 +148,19 @@ def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
             same = [xxhash.xxh3_128_digest(s.tobytes()) for s in made if len(s)]
             sketch = [np.packbits(np.bincount((s % np.uint64(BITS)).view(np.int64), minlength=BITS) & 1).tobytes() for s in made if len(s)]
             n = pa.array([len(s) for s in made if len(s)], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(full), n, pa.array(packed, pa.binary()), pa.array(same, pa.binary()), pa.array(sketch, pa.binary())], ["rid", "n", "set", "same", "sketch"])
+            fp = pa.array([majority(shingle_hashes(t, narrow)) if narrow else None for t in batch.column(1).filter(full).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(full), n, pa.array(packed, pa.binary()), pa.array(same, pa.binary()), pa.array(sketch, pa.binary()), fp], ["rid", "n", "set", "same", "sketch", "fp"])
+
+    return arrow_map(rows, run, "rid bigint, n int, set binary, same binary, sketch binary, fp bigint")
+
 
-    return arrow_map(rows, run, "rid bigint, n int, set binary, same binary, sketch binary")
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) for rows (rid, fp): every row with the least of its fingerprint, and these wherever deletion variants link two fingerprints."""
+    fps = settle(rows.groupBy("fp").agg(F.min("rid").alias("first")))
+    equal = settle(rows.join(fps.hint("merge"), "fp").where("rid <> first").select(F.col("first").alias("a"), F.col("rid").alias("b")).distinct())
+    x, y = (fps.select(F.col("fp").alias(of), F.col("first").alias(f"{of}_rid")) for of in ("a", "b"))
+    near = fingerprint_links(fps).join(x, "a").join(y, "b").select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b"))
+    return equal.unionAll(settle(near))
 
 
 def possible(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -179,7 +193,7 @@ def similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return arrow_map(pairs, run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", narrow: int | None = None) -> DataFrame:
     """rid, doc_id and keep_id of the texts that go: keep_id is the id of a text that stays and is linked to them, if by way of others.
 
     rid is xxhash64(doc_id, text): rows that repeat both id and text are one text. Of linked texts the smallest id stays.
@@ -187,10 +201,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be over 0 and at most 1")
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    made = settle(shingle_sets(rows.select("rid", "text"), width).withColumn("row", F.monotonically_increasing_id()))
+    made = settle(shingle_sets(rows.select("rid", "text"), width, narrow).withColumn("row", F.monotonically_increasing_id()))
     first = made.groupBy("same").agg(F.min(F.struct("rid", "row")).alias("first"))
     again = settle(made.select("rid", "row", "same").join(first, "same").where("row <> first.row").select("rid", "row", "first"))
     links = again.where("rid <> first.rid").select(F.col("first.rid").alias("a"), F.col("rid").alias("b")).distinct()
+    if narrow:
+        links = links.unionAll(fingerprint_pairs(made.select("rid", "fp")))
     sets = settle(made.join(again.select("row"), "row", "left_anti").select("rid", "n", "set", "sketch"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -206,7 +222,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     tried = settle(hub_pairs(members, similarity))
     near = verified(tried)
     links = links.unionAll(near)
-    rest = settle(other_pairs(members, components(near), similarity).join(tried, ["a", "b"], "left_anti"))
+    rest = settle(other_pairs(members, components(links), similarity).join(tried, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         links = links.unionAll(verified(rest))
     ids = rows.select("rid", "id").dropDuplicates(["rid"])
@@ -215,13 +231,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     return named.join(keeps, "root").where("rid <> keep.rid").select("rid", F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"))
 
 
-def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", narrow: int | None = None) -> DataFrame:
     """The rows of docs that stay, with the columns of docs.
 
     Texts (ASCII lower case, words between white space) link at a Jaccard similarity of `similarity` or more of their
-    sets of `width`-word shingles. Null texts and texts without words link with nothing and stay. A null id loses to
+    sets of `width`-word shingles, and with `narrow` also where the SimHashes of their `narrow`-word shingles, repeats
+    included, differ in two bits or fewer (see simhash). Null texts and texts without words link with nothing and stay. A null id loses to
     any other. Rows that repeat id and text stay or go together. An empty table gives an empty result.
     """
     r, rid = (free_prefix(docs) + x for x in ("r", "rid"))
-    gone = near_duplicates(docs, width, similarity, id_col, text_col).select(F.col("rid").alias(rid)).distinct()
+    gone = near_duplicates(docs, width, similarity, id_col, text_col, narrow).select(F.col("rid").alias(rid)).distinct()
     return docs.withColumn(r, F.xxhash64(F.col(id_col), F.col(text_col))).join(gone, F.col(r) == F.col(rid), "left_anti").select(*docs.columns)

@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql.functions import lit as spark_lit
 
 import corpus_pipeline
-from plait.llm import byte_bpe
+from plait.llm import byte_bpe, simhash
 from test_operators import plain_copies
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -107,3 +107,14 @@ def test_stages_on_awkward_rows(spark, tmp_path):
         if name == "mixing":
             counts = collections.Counter(r["doc_id"] for r in rows)
             assert set(counts) == {r[0] for r in awkward()} and all(n >= (3 if i == 4 else 1) for i, n in counts.items())
+
+
+def test_near_stage_links_by_simhash(spark):
+    """Texts of one repeated passage have one SimHash, but share few of their different shingles."""
+    words = lambda at, n: " ".join(f"w{at}x{k}" for k in range(n))
+    rows = [(at, "spam ham eggs " * 200 + words(at, 20)) for at in (7, 3, 5)] + [(9, words(9, 600)), (10, words(10, 600)), (1, "")]
+    docs = spark.createDataFrame([(i, t, "en", "few", len(t)) for i, t in rows], SCHEMA)
+    assert brute_near(rows) == rows
+    linked = {(r["doc_id"], r["component_id"]) for r in simhash.simhash_components(docs).collect()}
+    assert {(7, 3), (3, 3), (5, 3), (9, 9), (10, 10)} < linked
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()) == [1, 3, 9, 10]
