@@ -1,6 +1,6 @@
 """Near-dedup of texts by an exact prefix filter on their word shingles, with every link verified.
 
-In one order of all shingles (those common in a sample last), two sets of a Jaccard similarity of s or more have a
+In one order of all shingles (those most texts have last), two sets of a Jaccard similarity of s or more have a
 shingle in common among the first n - ceil(s * n) + 1 of each: with fewer, what is left could not make up the
 similarity. These are the keys of a text. No pair is missed; a pair is dropped only where its counts, or the places
 of a common key, leave too few shingles, and verified by the exact similarity of the sets. Equal sets are one node.
@@ -17,6 +17,7 @@ links are linked.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,28 +25,49 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plait.llm.common import arrow_map, fan_out, free_prefix, settle
+from plait.llm.common import arrow_map, discard, fan_out, free_prefix, settle
 from plait.llm.components import components
 from plait.llm.simhash import links as fingerprint_links
 from plait.llm.simhash import majority, shingle_hashes
 from plait.llm.substring_dedup import pack, unpack
 
-SAMPLE, COMMON, TILE, SLACK, BITS = 8192, 1 << 16, 1024, 1e-6, 1024
+#: Shingles whose counts order the keys, shingles counted at a time, texts of a tile, slack of floats, and bits of a sketch.
+COMMON, RANGE, TILE, SLACK, BITS = 1 << 18, 1 << 22, 1024, 1e-6, 1024
 
 
 def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that are found often in a sample of texts, and how often. They decide the order of keys only, so which are
-    found changes the work and not the result."""
+    """The shingles that most texts have, sorted, and in how many: of those in over two, as many of the most frequent as make COMMON at
+    most. All shingles are counted, range by range. They decide the order of keys only, so how many are kept changes the work and not the result."""
+    ranges = max(fan_out(sets.sparkSession), (sets.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0) // RANGE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_unpack(packed).view(np.int64))], ["key"])
-
-    share = max(1, sets.count() // SAMPLE)
-    found = arrow_map(sets.where(F.pmod(F.xxhash64("rid"), F.lit(share)) == 0).select("set"), run, "key bigint").groupBy("key").count().where("count > 2")
-    top = sorted((r["key"], r["count"]) for r in found.orderBy(F.desc("count")).limit(COMMON).collect())
-    return np.array([k for k, _ in top], np.uint64), np.array([c for _, c in top], np.int64)
+            keys, counts = np.unique(np.concatenate([_unpack(packed) for packed in batch.column(0).to_pylist()]), return_counts=True)
+            which = (keys * np.uint64(ranges)) >> np.uint64(40)
+            at = np.concatenate([np.flatnonzero(np.diff(which, prepend=np.uint64(ranges))), [len(keys)]]).tolist()
+            packed = [_pack(keys[i:j]) for i, j in pairwise(at)]
+            many = [counts[i:j].astype(np.uint16).tobytes() for i, j in pairwise(at)]  # a batch has fewer rows
+            yield pa.RecordBatch.from_arrays([pa.array(which[at[:-1]].astype(np.int32)), pa.array(packed, pa.binary()), pa.array(many, pa.binary())], ["range", "keys", "counts"])
+
+    def add(pieces: pa.Table) -> pa.Table:
+        keys = np.concatenate([_unpack(packed) for packed in pieces["keys"].to_pylist()])
+        counts = np.frombuffer(b"".join(pieces["counts"].to_pylist()), np.uint16)
+        order = np.argsort(keys)
+        first = np.flatnonzero(np.diff(keys[order], prepend=np.uint64(1 << 40)))
+        keys, counts = keys[order][first], np.add.reduceat(counts[order].astype(np.int64), first)
+        return pa.table({"key": keys[counts > 2].view(np.int64), "count": counts[counts > 2]})
+
+    sent = arrow_map(sets.select("set"), send, "range int, keys binary, counts binary")
+    found = settle(sent.groupBy("range").applyInArrow(add, "key bigint, count bigint"))
+    least, left = 3, COMMON
+    for r in found.groupBy("count").agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("count")).toLocalIterator():
+        left -= r["keys"]
+        if left < 0:
+            least = r["count"] + 1
+            break
+    top = found.where(F.col("count") >= least).toArrow().sort_by("key")
+    discard(found)
+    return top["key"].to_numpy().astype(np.uint64), top["count"].to_numpy()
 
 
 def prefixes(sets: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:

@@ -454,6 +454,21 @@ def test_near_dedup_at_other_similarities(spark):
         near_dedup.near_dedup(frame, similarity=0.0)
 
 
+def test_common_shingles_are_counted_in_all_texts(spark, empty, monkeypatch):
+    """Runs of a key that is taken for rare grow with the table, and their pairs with the square: no key that many texts have is missed."""
+    text = F.expr("concat_ws(' ', if(id < 6, 'a b c d e', null), concat('p', id % 5000), 'q', 'r', 's', concat('t', id % 5000))")
+    sets = near_dedup.shingle_sets(spark.range(20_000).select(F.col("id").alias("rid"), text.alias("text")), 5)
+    keys, counts = near_dedup.common_shingles(sets)
+    words = ["a", "b", "c", "d", "e"]
+    hashed = lambda w: int(near_dedup.shingle_hashes(" ".join(w), 5)[0] >> np.uint64(24))
+    want = {hashed(words): 6} | {hashed([f"p{i}", "q", "r", "s", f"t{i}"]): 4 for i in range(5000)}
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want and keys.tolist() == sorted(want)
+    monkeypatch.setattr(near_dedup, "COMMON", 4999)  # those of four texts do not all go in
+    monkeypatch.setattr(near_dedup, "RANGE", 1000)
+    assert [x.tolist() for x in near_dedup.common_shingles(sets)] == [[hashed(words)], [6]]
+    assert [len(x) for x in near_dedup.common_shingles(near_dedup.shingle_sets(empty.select(F.col("doc_id").alias("rid"), "text"), 5))] == [0, 0]
+
+
 # Substring dedup.
 
 
