@@ -6,8 +6,9 @@ a token position of a word: its token and the token after it. Each round joins t
 least rank, contracts it, and hands on the words that changed; a word without a pair is done. Ordered
 aggregations then string the ids together and, through the vocabulary, the bytes they stand for: the decoder.
 
-Words repeat, so a worker keeps the ids of up to CACHE words that it has met in a second batch (then forgets them all): its
-memory does not grow with its input, and words that come once take none. Every word is decoded as it is learnt; one that decodes to its own bytes stands for them and is not kept twice.
+Words repeat, so a worker keeps the ids of up to CACHE words that it has met in a second batch (then forgets the half that it
+has not met for longest), or with a larger `cache` of that many words, from the first time on: its
+memory does not grow with its input, and with CACHE words that come once take none. Every word is decoded as it is learnt; one that decodes to its own bytes stands for them and is not kept twice.
 Pre-tokens over LONG bytes, which would take a round per merge over all their positions, are contracted by a heap in
 the same order. There is no shuffle; a lost task is simply run again. A worker that has had no such task for IDLE
 seconds closes its database and gives all of its memory back.
@@ -35,6 +36,8 @@ from plait.llm.common import arrow_map, let_go
 
 #: Words a query takes, words kept by a worker, bytes from which a pre-token goes to the heap, and seconds until an idle worker lets go.
 WORDS, CACHE, LONG, IDLE = 8_000, 300_000, 256, 1.0
+#: Words kept where encoding is all that an executor does.
+WIDE = 900_000
 #: Slots that tell whether a word has been met, by its hash; cleared after as many words as an eighth of them. A wrong answer costs memory only.
 SLOTS = 1 << 22
 
@@ -77,7 +80,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes words by the ranks in a file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         self.ranks = load_ranks(path)
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
@@ -95,6 +99,7 @@ class Codec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         self.known: dict[str, str] = {}  # the ids of a word, as text
+        self.before: dict[str, str] = {}  # those not asked for since known was begun
         self.odd: dict[str, bytes] = {}  # what a word decodes to, if that is not the word
         self.met, self.marks = bytearray(SLOTS), 0
 
@@ -156,12 +161,15 @@ class Codec:
 
     def meet(self, wanted: list[str]) -> list[str]:
         """The ids of each of these words (given once each), as text."""
-        if len(self.known) + len(self.odd) > CACHE:
-            self.known, self.odd = {}, {}
+        if len(self.known) + len(self.odd) > self.cache // 2:
+            self.known, self.before, self.odd = {}, self.known, {w: b for w, b in self.odd.items() if w in self.known}
         out = list(map(self.known.get, wanted))
         short = []
         for i, ids in enumerate(out):
             if ids is None:
+                if (ids := self.before.pop(wanted[i], None)) is not None:
+                    out[i] = self.known[wanted[i]] = ids
+                    continue
                 raw = wanted[i].encode()
                 if (rank := self.ranks.get(raw)) is not None:
                     out[i] = str(rank)
@@ -178,9 +186,9 @@ class Codec:
         return out
 
     def _learnt(self, word: str, ids: str, decoded: bytes) -> str:
-        """Kept from the second time on."""
+        """Kept from the second time on, or at once where there is room for more than CACHE."""
         slot = hash(word) % SLOTS
-        if self.met[slot]:
+        if self.cache > CACHE or self.met[slot]:
             self.known[word] = ids
         else:
             self.marks += 1
@@ -232,13 +240,14 @@ def _close_idle() -> None:
 
 
 @contextmanager
-def codec(path: str) -> Iterator[Codec]:
+def codec(path: str, cache: int = CACHE) -> Iterator[Codec]:
     """The worker's codec for a file, for one task. Tasks that follow closely find it, and the words it knows, again."""
     with _LOCK:
         while _TIMERS:
             _TIMERS.pop().cancel()
         mine = _IDLE.pop(path, None)
     mine = mine or Codec(path)
+    mine.cache = cache
     try:
         yield mine
     finally:
@@ -249,9 +258,9 @@ def codec(path: str) -> Iterator[Codec]:
             _TIMERS[-1].start()
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, at: int, digests: bool):
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, at: int, digests: bool, cache: int = CACHE):
     cut = regex.compile(pattern)
-    with codec(path) as bpe:
+    with codec(path, cache) as bpe:
         for batch in batches:
             index = _Index()  # a text is kept as the numbers of its words
             texts = [np.fromiter(map(index.__getitem__, cut.findall(t.as_py() or "")), np.int32) for t in batch.column(at)]
@@ -273,7 +282,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, at: int
             yield pa.RecordBatch.from_arrays([*batch.columns, n, *made], [*batch.schema.names, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("token_ids", "decoded"))])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", digests: bool = False, cache: int = CACHE) -> DataFrame:
     """docs with n_tokens and token_ids (array of int) and decoded (binary: the ids decoded again, the text's UTF-8).
 
     digests: ids_sha256 and decoded_sha256 instead of the two; the first is over the decimal ids joined by one space.
@@ -285,7 +294,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", dig
     kinds = "n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>, decoded binary")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mine.schema.fields) + ", " + kinds
     at = mine.columns.index(text_col)
-    return arrow_map(mine, lambda it: _encoded(it, path, pattern, at, digests), schema)
+    return arrow_map(mine, lambda it: _encoded(it, path, pattern, at, digests, cache), schema)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
@@ -307,4 +316,4 @@ def decode(rows: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    return encode(docs.select("doc_id", F.col(text_col)), path, pattern, text_col, digests=True).drop(text_col)
+    return encode(docs.select("doc_id", F.col(text_col)), path, pattern, text_col, digests=True, cache=WIDE).drop(text_col)

@@ -130,6 +130,22 @@ def test_bpe_of_hard_words():
 # Quality.
 
 
+def test_bpe_words_in_use_stay_known(monkeypatch):
+    """A full cache forgets words that have not come up for long, and none that every batch has."""
+    codec, asked = byte_bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken")), []
+    query = codec._by_query
+    monkeypatch.setattr(codec, "_by_query", lambda raw: asked.extend(raw) or query(raw))
+    monkeypatch.setattr(byte_bpe, "CACHE", 60)
+    codec.cache = 60
+    often = [f" zqoften{i}xv" for i in range(10)]
+    for k in range(12):
+        rare = [f" zqrare{k // 2}x{i}xv" for i in range(25)]
+        ids = codec.meet(often + rare)
+        assert [codec.decode([list(map(int, x.split()))])[0].decode() for x in ids] == often + rare
+        assert len(codec.known) + len(codec.before) <= 60 + 35
+    assert max(collections.Counter(asked)[w.encode()] for w in often) == 2  # learnt, and kept from the second time on
+
+
 def test_quality_learns_grades(spark, empty):
     rng = random.Random(3)
     rows, labels = [], []
