@@ -433,8 +433,7 @@ def subgraph_haplotypes(spark, sf):
 @query()
 def subgraph_gfa(spark, sf):
     gr, p, at = _busiest(spark, sf)
-    sub = U.path_offset_query(gr, p["sample"], p["contig"], p["haplotype"], at, CONTEXT, U.DISTINCT)
-    return spark.createDataFrame(list(enumerate(sub.to_gfa())), "i bigint, line string")
+    return U.gfa_lines(gr, U.around_offset(gr, p["sample"], p["contig"], p["haplotype"], at, CONTEXT), U.DISTINCT)
 
 
 def _path_pairs(spark: SparkSession, sf: str) -> DataFrame:

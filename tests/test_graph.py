@@ -478,6 +478,17 @@ def test_search_takes_no_edges_to_one_task(spark, monkeypatch):
     assert rows(U.nodes_within(gr, (1, False, 0), 40)) == [(n,) for n in range(1, 13)]
 
 
+def test_subgraph_lines_are_made_in_spark(spark, monkeypatch):
+    labels = {1: "G", 2: "A", 3: "T", 4: "TC", 5: "A", 6: "C", 7: "A"}
+    gr = build(spark, labels, [[1, 3, 4, 5, 7], [1, 2, 4, 5, 7], [-7, -5, -4, -3, -1], [1, 3, 4, 6, 7], [-5, -4, -2]], {0: "REFERENCE"})
+    asked = [(sample, at, 1) for sample, at in (("s0", 2), ("s2", 2))]
+    wanted = {(x, out): U.path_offset_query(gr, x[0], "c", 1, *x[1:], out).to_gfa() for x in asked for out in (U.ALL, U.DISTINCT, U.REFERENCE_ONLY)}
+    found = {x: U.around_offset(gr, x[0], "c", 1, *x[1:]) for x in asked}
+    monkeypatch.setattr(U, "Subgraph", None)  # the object that holds all of it
+    for (x, out), lines in wanted.items():
+        assert rows(U.gfa_lines(gr, found[x], out)) == list(enumerate(lines))
+
+
 def test_counts_over_a_stream(spark, tmp_path, base):
     base.steps.repartition(3).write.parquet(str(tmp_path / "steps"))
     stream = spark.readStream.schema(base.steps.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "steps"))
