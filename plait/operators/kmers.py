@@ -6,10 +6,11 @@ are one vectorised pass over Arrow batches. Keys stay strings: their order and e
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,24 +39,48 @@ for _i, _c in enumerate("ACGT"):
     _CODE[ord(_c)] = _CODE[ord(_c.lower())] = _i
 
 
+_BASES = np.frombuffer(b"ACGT", np.uint8)
+
 #: A key in two 64-bit words: a k-mer of up to 63 bases.
 Key = tuple[np.ndarray, np.ndarray]
 
 
-def _strands(text: str, k: int) -> tuple[Key, Key, np.ndarray]:
-    """Keys (high and low word) of the k-mers on both strands and which are valid."""
-    code = _CODE[np.frombuffer(text.encode(), np.uint8)]
-    n = max(0, len(code) - k + 1)
-    zero = lambda: (np.zeros(n, np.uint64), np.zeros(n, np.uint64))
-    fwd, rev, bad = zero(), zero(), np.concatenate([[0], np.cumsum(code < 0)])
+class _Texts:
+    """Texts as one array of base codes, each followed by a separator that no k-mer or window goes over."""
+
+    def __init__(self, texts: Sequence[str]):
+        self.size = np.fromiter(map(len, texts), np.int64, len(texts))
+        joined = ("\n".join(texts) + "\n").encode("ascii", "replace")  # what is no base stays one letter
+        self.code = _CODE[np.frombuffer(joined, np.uint8)]
+        self.start = np.cumsum(self.size + 1) - self.size - 1
+        self.text = np.repeat(np.arange(len(texts)), self.size + 1)
+        self.left = np.repeat(self.start + self.size, self.size + 1) - np.arange(len(self.code))  # bases from here to the end of the text
+
+    def strands(self, k: int) -> tuple[Key, Key, np.ndarray]:
+        """Keys (high and low word) of the k-mers on both strands at each place, and which are valid."""
+        code, n = self.code, max(0, len(self.code) - k + 1)
+        zero = lambda: (np.zeros(n, np.uint64), np.zeros(n, np.uint64))
+        fwd, rev, bad = zero(), zero(), np.concatenate([[0], np.cumsum(code < 0)])
+
+        def push(key: Key, base: np.ndarray) -> Key:
+            high, low = key
+            if k > 32:
+                high = high << np.uint64(2) | low >> np.uint64(62)
+            return high, low << np.uint64(2) | (base & 3).astype(np.uint64)
+
+        for j in range(k if n else 0):
+            fwd, rev = push(fwd, code[j : j + n]), push(rev, 3 - code[k - 1 - j : k - 1 - j + n])
+        return fwd, rev, bad[k : k + n] == bad[:n] if n else np.zeros(0, bool)
 
-    def push(key: Key, base: np.ndarray) -> Key:
-        high, low = key
-        return high << np.uint64(2) | low >> np.uint64(62), low << np.uint64(2) | (base & 3).astype(np.uint64)
+    def kmers(self, at: np.ndarray, is_rev: np.ndarray, k: int) -> pa.StringArray:
+        """The k-mers at valid places, as they are read."""
+        code = self.code[at[:, None] + np.arange(k)]
+        code = np.where(is_rev[:, None], 3 - code[:, ::-1], code)
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer((np.arange(len(at) + 1) * k).astype(np.int32)), pa.py_buffer(_BASES[code].tobytes()))
 
-    for j in range(k if n else 0):
-        fwd, rev = push(fwd, code[j : j + n]), push(rev, 3 - code[k - 1 - j : k - 1 - j + n])
-    return fwd, rev, bad[k : k + n] == bad[:n] if n else np.zeros(0, bool)
+    def offsets(self, at: np.ndarray, is_rev: np.ndarray, k: int) -> np.ndarray:
+        """Place in the text, of a reverse k-mer that of its last base."""
+        return at - self.start[self.text[at]] + is_rev * (k - 1)
 
 
 def _plain_hash(key: Key, bits: int) -> np.ndarray:
@@ -79,42 +104,52 @@ def _hash(key: Key, frequent: Key | None, rounds: int, bits: int) -> np.ndarray:
     return np.where(often, dna.downweight(h, rounds), h)
 
 
-def minimizers_of(text: str, k: int, w: int, frequent: Key | None = None, rounds: int = 0, bits: int = 64) -> list[tuple[int, bool, int, int, int]]:
-    """(start, is_rev, hash, first window, last window) of the k-mers that attain the least hash of a full window of w.
+def _minimizers(texts: _Texts, k: int, w: int, frequent: Key | None = None, rounds: int = 0, bits: int = 64) -> tuple[np.ndarray, ...]:
+    """place, forward and reverse hash, first and last window of the k-mers that attain the least hash of a full window of w.
 
-    The smaller strand by hash counts, a tie forwards; all ties within a window count; windows without a valid k-mer are skipped.
+    All ties within a window count; windows without a valid k-mer are skipped.
     """
-    fwd, rev, valid = _strands(text, k)
-    if len(valid) < w:
-        return []
+    fwd, rev, valid = texts.strands(k)
+    n = max(0, len(valid) - w + 1)
     hf, hr = (_hash(x, frequent, rounds, bits) for x in (fwd, rev))
-    h = np.minimum(hf, hr)
-    seen = np.where(valid, h, np.uint64(2**64 - 1))
-    views, ok = (np.lib.stride_tricks.sliding_window_view(x, w) for x in (seen, valid))
-    least = views.min(axis=1)
-    wins = (views == least[:, None]) & ok
-    win, j = np.nonzero(wins)
-    at = win + j
-    order = np.argsort(at, kind="stable")  # of a position the windows that it wins, first to last
-    at, win = at[order], win[order]
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    last = np.append(first[1:], len(at)) - 1
-    p = at[first]
-    return list(zip(p.tolist(), (hr[p] < hf[p]).tolist(), h[p].tolist(), win[first].tolist(), win[last].tolist(), strict=True))
+    seen = np.where(valid, np.minimum(hf, hr), np.uint64(2**64 - 1))
+    least = seen[:n].copy()
+    for j in range(1, w):
+        np.minimum(least, seen[j : j + n], out=least)
+    full = texts.left[:n] >= k + w - 1
+    first, last, window = np.full(len(valid), -1), np.full(len(valid), -1), np.arange(n)
+    for j in reversed(range(w)):  # of a place the windows that it wins, first to last
+        won = full & valid[j : j + n] & (seen[j : j + n] == least)
+        last[j : j + n][won] = window[won]
+        won &= first[j : j + n] < 0
+        first[j : j + n][won] = window[won]
+    at = np.flatnonzero(last >= 0)
+    return at, hf[at], hr[at], first[at], last[at]
 
 
-def syncmers_of(text: str, k: int, s: int, bits: int = 64) -> list[tuple[int, bool]]:
-    """(start, is_rev) of closed syncmers: the least s-mer hash of the k-mer is at its first or last s-mer."""
-    fwd, rev, valid = _strands(text, k)
-    if not len(valid):
-        return []
-    sf, sr, _ = _strands(text, s)
-    sh = np.minimum(_plain_hash(sf, bits), _plain_hash(sr, bits))
-    views = np.lib.stride_tricks.sliding_window_view(sh, k - s + 1)
-    least = views.min(axis=1)
-    at = np.flatnonzero(valid & ((views[:, 0] == least) | (views[:, -1] == least)))
+def minimizers_of(text: str, k: int, w: int, frequent: Key | None = None, rounds: int = 0, bits: int = 64) -> list[tuple[int, bool, int, int, int]]:
+    """(start, is_rev, hash, first window, last window) of the minimizers of one text. The smaller strand by hash counts, a tie forwards."""
+    at, hf, hr, first, last = _minimizers(_Texts([text]), k, w, frequent, rounds, bits)
+    return list(zip(at.tolist(), (hr < hf).tolist(), np.minimum(hf, hr).tolist(), first.tolist(), last.tolist(), strict=True))
+
+
+def _syncmers(texts: _Texts, k: int, s: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """place and is_rev of closed syncmers: the least s-mer hash of the k-mer is at its first or last s-mer."""
+    fwd, rev, valid = texts.strands(k)
+    sf, sr, _ = texts.strands(s)
+    sh, n = np.minimum(_plain_hash(sf, bits), _plain_hash(sr, bits)), len(valid)
+    least = sh[:n].copy()
+    for j in range(1, k - s + 1):
+        np.minimum(least, sh[j : j + n], out=least)
+    at = np.flatnonzero(valid & ((sh[:n] == least) | (sh[k - s : k - s + n] == least)))
     hf, hr = (_plain_hash((high[at], low[at]), bits) for high, low in (fwd, rev))
-    return list(zip(at.tolist(), (hr < hf).tolist(), strict=True))
+    return at, hr < hf
+
+
+def syncmers_of(text: str, k: int, s: int, bits: int = 64) -> list[tuple[int, bool]]:
+    """(start, is_rev) of the closed syncmers of one text."""
+    at, is_rev = _syncmers(_Texts([text]), k, s, bits)
+    return list(zip(at.tolist(), is_rev.tolist(), strict=True))
 
 
 #: The longest k-mers for keys of 64 and 128 bits.
@@ -131,15 +166,19 @@ def check_parameters(k: int, w: int | None = None, s: int | None = None, bits: i
 _HIT = "id {0}, kmer string, is_rev boolean, offset int"
 
 
-def _over(seqs: DataFrame, id_col: str, seq_col: str, f, extra: str = "") -> DataFrame:
+def _over(seqs: DataFrame, id_col: str, seq_col: str, k: int, f, extra: str = "") -> DataFrame:
+    """f gives place, is_rev and further columns of the k-mers of a whole batch of texts."""
     kind = seqs.schema[id_col].dataType.simpleString()
+    names = ["id", "kmer", "is_rev", "offset", *(e.split()[0] for e in extra.split(",") if e.strip())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for x in f(t)]
-            names = ["id", "kmer", "is_rev", "offset", *([e.split()[0] for e in extra.split(",") if e.strip()])]
-            types = [batch.schema.field(0).type, pa.string(), pa.bool_(), pa.int32(), *[pa.int32()] * (len(names) - 4)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names)
+            some = pc.is_valid(batch.column(1))
+            ids, texts = batch.column(0).filter(some), _Texts(batch.column(1).filter(some).to_pylist())
+            at, is_rev, *more = f(texts)
+            own = texts.text[at]
+            columns = [ids.take(pa.array(own)), texts.kmers(at, is_rev, k), pa.array(is_rev), *(pa.array(x.astype(np.int32)) for x in (texts.offsets(at, is_rev, k), *(m(texts, own) for m in more)))]
+            yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if i == 1 else c for i, c in enumerate(columns)], names)
 
     return seqs.select(F.col(id_col).alias("id"), seq_col).mapInArrow(run, _HIT.format(kind) + extra)
 
@@ -147,11 +186,6 @@ def _over(seqs: DataFrame, id_col: str, seq_col: str, f, extra: str = "") -> Dat
 _RC = str.maketrans("ACGT", "TGCA")
 
 
-def _read(text: str, p: int, k: int, is_rev: bool) -> tuple[str, bool, int]:
-    kmer = text[p : p + k].upper()
-    return (kmer.translate(_RC)[::-1], True, p + k - 1) if is_rev else (kmer, False, p)
-
-
 def _keys(kmers: Collection[str]) -> Key:
     whole = [int(x.upper().translate(str.maketrans("ACGT", "0123")), 4) for x in kmers]
     return np.array([x >> 64 for x in whole], np.uint64), np.array([x & (1 << 64) - 1 for x in whole], np.uint64)
@@ -171,18 +205,28 @@ def minimizers(seqs: DataFrame, k: int, w: int, frequent: Collection[str] = (),
     if rounds > 7:
         raise ValueError("at most 7 rounds")
     some = _keys(frequent) if frequent and rounds else None
-    return _over(seqs, id_col, seq_col, lambda t: [_read(t, p, k, r) for p, r, *_ in minimizers_of(t, k, w, some, rounds, bits)])
+
+    def f(texts: _Texts) -> tuple:
+        at, hf, hr, *_ = _minimizers(texts, k, w, some, rounds, bits)
+        return at, hr < hf
+
+    return _over(seqs, id_col, seq_col, k, f)
 
 
 def minimizer_regions(seqs: DataFrame, k: int, w: int, id_col: str = "id", seq_col: str = "seq", bits: int = 64) -> DataFrame:
     """Minimizers with start and length of the run of windows that each wins."""
     check_parameters(k, w=w, bits=bits)
-    return _over(seqs, id_col, seq_col, lambda t: [(*_read(t, p, k, r), a, b - a + k + w - 1) for p, r, _, a, b in minimizers_of(t, k, w, bits=bits)], ", start int, length int")
+
+    def f(texts: _Texts) -> tuple:
+        at, hf, hr, first, last = _minimizers(texts, k, w, bits=bits)
+        return at, hr < hf, lambda t, own: first - t.start[own], lambda t, own: last - first + k + w - 1
+
+    return _over(seqs, id_col, seq_col, k, f, ", start int, length int")
 
 
 def syncmers(seqs: DataFrame, k: int, s: int, id_col: str = "id", seq_col: str = "seq", bits: int = 64) -> DataFrame:
     check_parameters(k, s=s, bits=bits)
-    return _over(seqs, id_col, seq_col, lambda t: [_read(t, p, k, r) for p, r in syncmers_of(t, k, s, bits)])
+    return _over(seqs, id_col, seq_col, k, lambda texts: _syncmers(texts, k, s, bits))
 
 
 # Indexes: hits (kmer, node_id, is_rev, offset [, payload, hap_bits]).

@@ -489,6 +489,24 @@ def test_subgraph_lines_are_made_in_spark(spark, monkeypatch):
         assert rows(U.gfa_lines(gr, found[x], out)) == list(enumerate(lines))
 
 
+def test_schemes_over_batches_of_texts(spark):
+    """All texts of a batch are one array: no k-mer or window goes from one text into the next."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGTacgtN" if i % 3 else "ACGT") for _ in range(rng.randint(0, 30))) for i in range(80)] + ["", "A", "ACGTACG"]
+    joined = kmers._Texts(texts)
+    for k, w in ((3, 1), (5, 4), (7, 12)):
+        at, hf, hr, first, last = kmers._minimizers(joined, k, w)
+        own, start = joined.text[at], joined.start[joined.text[at]]
+        got = list(zip(own.tolist(), (at - start).tolist(), (hr < hf).tolist(), (first - start).tolist(), (last - start).tolist()))
+        assert got == [(i, p, r, a, b) for i, t in enumerate(texts) for p, r, _, a, b in kmers.minimizers_of(t, k, w)]
+        at, is_rev = kmers._syncmers(joined, k, 2)
+        assert list(zip(joined.text[at].tolist(), (at - joined.start[joined.text[at]]).tolist(), is_rev.tolist())) == [(i, *x) for i, t in enumerate(texts) for x in kmers.syncmers_of(t, k, 2)]
+    table = spark.createDataFrame([*enumerate(texts), (1000, None)], "id bigint, seq string").repartition(2)
+    spelt = {(i, x, r, o) for i, x, r, o in rows(kmers.minimizers(table, 5, 4))}
+    back = lambda t: t.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    assert spelt and all(x == (back(texts[i][o - 4 : o + 1].upper()) if r else texts[i][o : o + 5].upper()) for i, x, r, o in spelt)
+
+
 def test_counts_over_a_stream(spark, tmp_path, base):
     base.steps.repartition(3).write.parquet(str(tmp_path / "steps"))
     stream = spark.readStream.schema(base.steps.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "steps"))
