@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from plait.functions import dna
 from plait.operators.graph import HapGraph
-from plait.operators.paths import haplotype_ids
-from plait.operators.windows import haplotype_windows, visits_of, walk_text, window_sequences
+from plait.operators.paths import haplotype_ids, too_many_haplotypes
+from plait.operators.windows import contexts, haplotype_windows, visits_of, walk_text, window_sequences
 from plait.storage import settle
 
 #: k-mers that may be listed in a minimizer scheme: 8 bytes each, sent to every task.
@@ -251,11 +251,61 @@ def _on_nodes(graph: HapGraph, windows: DataFrame, hits: DataFrame, k: int) -> D
     )
 
 
+def _spell(key: Key, k: int) -> pa.Array:
+    """Keys as k-mers."""
+    word = lambda j: (key[0] if j > 31 else key[1]) >> np.uint64(2 * (j % 32)) & np.uint64(3)
+    text = _BASES[np.stack([word(j) for j in reversed(range(k))], axis=1)] if len(key[1]) else np.zeros((0, k), np.uint8)
+    return pa.StringArray.from_buffers(len(text), pa.py_buffer((np.arange(len(text) + 1) * k).astype(np.int32)), pa.py_buffer(text.tobytes()))
+
+
+def _index(graph: HapGraph, k: int, around: int, scheme) -> DataFrame:
+    """Distinct hits (kmer, node_id, is_rev, offset) on all paths. scheme picks k-mers (place, key or hash on both strands) in a batch of texts.
+
+    A text is a node with `around` bases before and after it on a path, so a node has all its hits: those read forwards start in it, those
+    read backwards end in it (of a tie between the strands, both count). Contexts come in order of nodes, and a hit is given once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # hits of the last node so far: node, is_rev, offset, key
+        for batch in batches:
+            node, left, seq, right = batch.columns
+            texts = _Texts(pc.binary_join_element_wise(left, seq, right, "").to_pylist())
+            before, size = (pc.utf8_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (left, seq))
+            node = node.to_numpy(zero_copy_only=False)
+            at, hf, hr = scheme(texts)[:3]
+            fwd, rev, _ = texts.strands(k)
+            found = []
+            for is_rev, mine, key in ((False, hf <= hr, fwd), (True, hr <= hf, rev)):
+                p = at[mine]
+                own = texts.text[p]
+                offset = p - texts.start[own] - before[own]
+                offset = size[own] - 1 - (offset + k - 1) if is_rev else offset
+                kept = (offset >= 0) & (offset < size[own])
+                p, own, offset = p[kept], own[kept], offset[kept]
+                found.append((node[own], np.full(len(p), is_rev), offset, key[0][p], key[1][p]))
+            hits = [np.concatenate(x) for x in zip(*found, *([held] if held else []), strict=True)]
+            order = np.lexsort(hits[::-1])
+            hits = [x[order] for x in hits]
+            new = np.zeros(len(order), bool)
+            for x in hits:
+                new[1:] |= x[1:] != x[:-1]
+            new[:1] = True
+            hits = [x[new] for x in hits]
+            done = hits[0] != node[-1] if len(node) else np.ones(len(hits[0]), bool)
+            held = tuple(x[~done] for x in hits)
+            yield _hits(*(x[done] for x in hits))
+        if held:
+            yield _hits(*held)
+
+    def _hits(node, is_rev, offset, high, low) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_spell((high, low), k), pa.array(node), pa.array(is_rev), pa.array(offset.astype(np.int32))], ["kmer", "node_id", "is_rev", "offset"])
+
+    return contexts(graph, around).mapInArrow(run, "kmer string, node_id bigint, is_rev boolean, offset int")
+
+
 def minimizer_index(graph: HapGraph, k: int, w: int, payload: DataFrame | None = None) -> DataFrame:
     """Distinct minimizer hits of all haplotype windows; payload (node_id, is_rev, offset, payload) is joined after the dedup."""
-    windows = settle(haplotype_windows(graph, check_parameters(k, w=w)))
-    hits = minimizers(window_sequences(graph, windows).withColumnRenamed("walk", "id"), k, w)
-    index = _on_nodes(graph, windows, hits, k).select("kmer", "node_id", "is_rev", "offset").distinct()
+    index = _index(graph, k, check_parameters(k, w=w) - 1, lambda texts: _minimizers(texts, k, w))
     return index if payload is None else with_payload(index, payload)
 
 
@@ -267,6 +317,8 @@ def with_payload(index: DataFrame, payload: DataFrame) -> DataFrame:
 
 def minimizer_index_with_paths(graph: HapGraph, k: int, w: int) -> DataFrame:
     """Hits with hap_bits: bit i is set if haplotype i contains the walk that the k-mer covers there."""
+    if too_many_haplotypes(graph.paths) and graph.steps.select("path_id").distinct().join(graph.paths, "path_id", "left_anti").limit(1).count() == 0:
+        return minimizer_index(graph, k, w).withColumn("hap_bits", F.lit(1).cast("bigint"))  # all paths share one id, and some path has each hit
     windows = settle(haplotype_windows(graph, check_parameters(k, w=w)))
     hits = minimizers(window_sequences(graph, windows).withColumnRenamed("walk", "id"), k, w)
     placed = settle(_on_nodes(graph, windows, hits, k).distinct())
@@ -279,10 +331,15 @@ def minimizer_index_with_paths(graph: HapGraph, k: int, w: int) -> DataFrame:
 
 def kmer_index(graph: HapGraph, k: int, include: Column | None = None) -> DataFrame:
     """Distinct canonical k-mer hits of the haplotype windows of k bases; include: a condition on kmer."""
-    windows = settle(haplotype_windows(graph, k))
-    hits = canonical_kmers(window_sequences(graph, windows).withColumnRenamed("walk", "id"), k)
-    hits = hits if include is None else hits.where(include)
-    return _on_nodes(graph, windows, hits, k).select("kmer", "node_id", "is_rev", "offset").distinct()
+    def scheme(texts: _Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        fwd, rev, valid = texts.strands(k)
+        at = np.flatnonzero(valid)
+        (fh, fl), (rh, rl) = ((high[at], low[at]) for high, low in (fwd, rev))
+        more, less = (fh > rh) | (fh == rh) & (fl > rl), (fh < rh) | (fh == rh) & (fl < rl)
+        return at, more.astype(np.int8), less.astype(np.int8)
+
+    index = _index(graph, k, check_parameters(k, bits=128) - 1, scheme)
+    return index if include is None else index.where(include)
 
 
 def by_middle_base(index: DataFrame, k: int) -> dict[str, DataFrame]:

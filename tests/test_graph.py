@@ -507,6 +507,38 @@ def test_schemes_over_batches_of_texts(spark):
     assert spelt and all(x == (back(texts[i][o - 4 : o + 1].upper()) if r else texts[i][o : o + 5].upper()) for i, x, r, o in spelt)
 
 
+def test_indexes_come_from_the_surroundings_of_nodes(spark, monkeypatch):
+    """All hits of all paths on both strands, against a plain version; no window is made, and bitmaps of one shared id need no lookup of walks."""
+
+    def windows_of(*_):
+        raise AssertionError("windows")
+
+    monkeypatch.setattr(kmers, "haplotype_windows", windows_of)
+    rng = random.Random(8)
+    labels = {i: "".join(rng.choice("ACGTN" if i == 7 else "ACGT") for _ in range(rng.randint(1, 9))) for i in range(1, 15)}
+    walks = [[rng.choice([1, 1, -1]) * rng.randint(1, 14) for _ in range(rng.randint(1, 9))] for _ in range(12)]
+    back = lambda t: t.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    gr = build(spark, labels, walks)
+    strands = []  # texts with the node, orientation and offset of each base
+    for walk in walks + [[-n for n in reversed(w)] for w in walks]:
+        spelt = [(back(labels[-n]) if n < 0 else labels[n], abs(n), n < 0) for n in walk]
+        strands.append(("".join(t for t, *_ in spelt), [(n, r, i) for t, n, r in spelt for i in range(len(t))]))
+    place = lambda at, o, is_rev: (at[o][0], not at[o][1], len(labels[at[o][0]]) - 1 - at[o][2]) if is_rev else at[o]
+    for k, w in ((4, 3), (5, 2), (3, 6)):
+        every, least = set(), set()
+        for text, at in strands:
+            for p in range(len(text) - k + 1):
+                fwd, rev = text[p : p + k], back(text[p : p + k])
+                if "N" not in fwd:
+                    every.add((min(fwd, rev), *place(at, p + k - 1 if rev <= fwd else p, rev <= fwd)))
+            for p, r, *_ in kmers.minimizers_of(text, k, w):
+                least.add((back(text[p : p + k]) if r else text[p : p + k], *place(at, p + k - 1 if r else p, r)))
+        assert rows(kmers.kmer_index(gr, k)) == sorted(every)
+        assert rows(kmers.minimizer_index(gr, k, w)) == sorted(least)
+        monkeypatch.setattr(kmers, "too_many_haplotypes", lambda _: True)
+        assert rows(kmers.minimizer_index_with_paths(gr, k, w)) == sorted((*x, 1) for x in least)
+
+
 def test_counts_over_a_stream(spark, tmp_path, base):
     base.steps.repartition(3).write.parquet(str(tmp_path / "steps"))
     stream = spark.readStream.schema(base.steps.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "steps"))
