@@ -2,7 +2,9 @@
 
 import itertools
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
@@ -539,6 +541,105 @@ def test_indexes_come_from_the_surroundings_of_nodes(spark, monkeypatch):
         assert rows(kmers.minimizer_index_with_paths(gr, k, w)) == sorted((*x, 1) for x in least)
 
 
+def _plain_heads(nodes, succ, indegree):
+    heads = sorted(n for n in nodes if not indegree.get((n, False)))
+    left, side, active, freed = {}, dict.fromkeys(heads, False), [(n, False) for n in heads], len(heads)
+    while active:
+        for nxt, rev in succ.get(active.pop(), ()):
+            if nxt not in side:
+                side[nxt], left[nxt] = rev, indegree.get((nxt, rev), 0)
+            elif side[nxt] != rev or nxt not in left:
+                return []
+            left[nxt] -= 1
+            if left[nxt] == 0:
+                active.append((nxt, rev))
+                freed += 1
+    return heads if freed == len(nodes) else []
+
+
+def _plain_order(nodes, succ, indegree):
+    degree = {(n, r): indegree.get((n, r), 0) for n in nodes for r in (False, True)}
+    level, out = sorted(h for h, d in degree.items() if d == 0), []
+    while level:
+        out, freed = out + level, []
+        for h in level:
+            for b in succ.get(h, ()):
+                degree[b] -= 1
+                freed += [b] * (degree[b] == 0)
+        level = sorted(freed)
+    return out if len(out) == len(degree) else []
+
+
+def _plain_cover(nodes, succ, heads, n, k, visits):
+    node, window = Counter(), Counter()
+    flip = lambda w: tuple((x, not r) for x, r in reversed(w))
+    count = lambda w: sum(v[i : i + len(w)] == w for v in visits for i in range(len(v)))
+    cost = lambda chosen, w: chosen if visits is None else -count(w) / (chosen + 1)
+    starts = [x for x in heads or nodes if visits is None or count(((x, False),))]
+    made = []
+    for _ in range(n if starts else 0):
+        first = min(starts, key=lambda x: (cost(node[x], ((x, False),)), x))
+        node[first] += 1
+        path, going = ((first, False),), True
+        while going and len(path) < len(nodes):
+            going = False
+            for forward in (True, False) if not heads else (True,):
+                if len(path) >= len(nodes):
+                    break
+                near = succ.get(path[-1], ()) if forward else [flip([h])[0] for h in succ.get(flip(path[:1])[0], ())]
+                walks = [(*path[-(k - 1) :], h) if forward else (h, *path[: k - 1]) for h in sorted(near)]
+                walks = [(w, w[-1] if forward else w[0]) for w in walks if visits is None or count(w)]
+                by_node = not heads and len(path) + 1 < k
+                if not walks:
+                    continue
+                w, h = min(walks, key=lambda x: cost(node[x[1][0]], (x[1],)) if by_node else cost(window[min(x[0], flip(x[0]))], x[0]))
+                window[min(w, flip(w))] += not by_node
+                node[h[0]] += not heads
+                path, going = (*path, h) if forward else (h, *path), True
+        made.append(list(path))
+    return made
+
+
+def test_component_work_against_plain_versions():
+    """Heads, orders and covers from arrays of handles."""
+    rng, seen = random.Random(21), set()
+    for case in range(150):
+        n, acyclic = rng.randint(1, 9), case % 2
+        walks = [sorted(rng.sample(range(1, n + 1), rng.randint(1, n))) if acyclic else [rng.choice([1, 1, -1]) * rng.randint(1, n) for _ in range(rng.randint(1, 6))] for _ in range(rng.randint(1, 5))]
+        walks = [[(abs(x), x < 0) for x in w] for w in walks]
+        both = [tuple(w) for w in walks] + [tuple((x, not r) for x, r in reversed(w)) for w in walks]
+        edges = {e for w in both for e in zip(w, w[1:])}
+        succ, indegree = {}, Counter(b for _, b in edges)
+        for a, b in sorted(edges):
+            succ.setdefault(a, []).append(b)
+        nodes = sorted({x for w in walks for x, _ in w})
+        code = lambda h: 2 * h[0] + h[1]
+        flipped = lambda e: tuple((x, not r) for x, r in reversed(e))
+        once = np.array([[code(h) for h in e] for e in sorted(edges) if e <= flipped(e)], np.int64).reshape(-1, 2)
+        ways = C.Ways(np.array(nodes), once[:, 0], once[:, 1])
+        heads, order = _plain_heads(nodes, succ, indegree), _plain_order(nodes, succ, indegree)
+        assert C.heads_of(ways) == heads and C.order_of(ways).tolist() == [code(h) for h in order]
+        at = np.array([(p, s, code(h)) for p, w in enumerate(walks) for s, h in enumerate(w)])
+        flat = cover._flat(*rng_permuted(rng, at).T)
+        for k in (2, 3):
+            assert cover.greedy_paths(ways, 3, k) == [[code(h) for h in w] for w in _plain_cover(nodes, succ, heads, 3, k, None)]
+            assert cover.greedy_paths(ways, 3, k, flat) == [[code(h) for h in w] for w in _plain_cover(nodes, succ, heads, 3, k, both)]
+        seen.add((bool(heads), bool(order)))
+    assert len(seen) >= 3
+
+
+def rng_permuted(rng, rows_):
+    order = list(range(len(rows_)))
+    rng.shuffle(order)
+    return rows_[order]
+
+
+def test_component_ids_are_computed_once(spark):
+    gr = build(spark, {n: "A" for n in range(1, 8)}, [[5, 1, -5], [2, 6], [6, 3], [7]])
+    ids = C.component_ids(gr)
+    assert ids._settled_at and rows(ids) == [(1, 1), (2, 2), (3, 2), (5, 1), (6, 2), (7, 7)]
+
+
 def test_counts_over_a_stream(spark, tmp_path, base):
     base.steps.repartition(3).write.parquet(str(tmp_path / "steps"))
     stream = spark.readStream.schema(base.steps.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "steps"))
