@@ -1,7 +1,7 @@
 """Graph names and lineage: stable names from canonical text, relations between graphs, reachability.
 
 Relations are a small table of metadata, so they are a Python object; names are made from the graph by one ordered
-stream of lines, of which the driver holds a line at a time.
+stream of lines, which a task reads.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plait.operators.graph import HapGraph
-from plait.storage import settle
+from plait.storage import discard, settle
 
 
 def canonical_lines(graph: HapGraph) -> DataFrame:
@@ -36,11 +37,50 @@ def canonical_gfa(graph: HapGraph) -> DataFrame:
 
 
 def compute_name(graph: HapGraph) -> str:
-    """SHA-256 of the canonical text."""
-    digest = hashlib.sha256()
-    for row in canonical_gfa(graph).toLocalIterator(prefetchPartitions=True):
-        digest.update(row["line"].encode() + b"\n")
-    return digest.hexdigest()
+    """SHA-256 of the canonical text.
+
+    The hash needs the text in order. Tasks make pieces of it, and one task reads these, a sorted range after the other; the driver gets the name.
+    """
+    lines = canonical_gfa(graph).select(F.spark_partition_id().alias("p"), "line")
+    pieces = settle(lines.mapInArrow(_pieces, "p int, i bigint, text binary"))
+    spark = pieces.sparkSession
+    before, starts = 0, []
+    for p, n in sorted(tuple(r) for r in pieces.groupBy("p").count().collect()):  # a row for each task that made pieces
+        starts.append((p, before))
+        before += n
+    numbered = pieces.join(F.broadcast(spark.createDataFrame(starts, "p int, before bigint")), "p").select((F.col("before") + F.col("i")).alias("i"), "text")
+    ranges = numbered.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "i").coalesce(1)
+    found = ranges.mapInArrow(_digest, "name string").first()
+    discard(pieces)
+    return hashlib.sha256().hexdigest() if found is None else found["name"]
+
+
+#: Bytes of a piece of text; a batch has some 10,000 of them.
+PIECE = 16_384
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    i = 0
+    for batch in batches:
+        if batch.num_rows:
+            text = ("\n".join(batch.column(1).to_pylist()) + "\n").encode()
+            cut = [text[x : x + PIECE] for x in range(0, len(text), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[0].as_py()] * len(cut), pa.int32()), pa.array(range(i, i + len(cut)), pa.int64()), pa.array(cut, pa.binary())], ["p", "i", "text"])
+            i += len(cut)
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of numbered pieces. They come a range after the other, so those that wait for their turn are a range, not sorted, at most."""
+    digest, following, waiting = hashlib.sha256(), 0, {}
+    for batch in batches:
+        waiting.update(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        while following in waiting:
+            digest.update(waiting.pop(following))
+            following += 1
+    if waiting:
+        raise RuntimeError("a piece of the text is missing")
+    if following:
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["name"])
 
 
 @dataclass

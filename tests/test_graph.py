@@ -1,10 +1,12 @@
 """The graph core on a small graph with a bubble, a reversal and an unvisited node."""
 
+import hashlib
 import itertools
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
@@ -640,6 +642,26 @@ def test_component_ids_are_computed_once(spark):
     assert ids._settled_at and rows(ids) == [(1, 1), (2, 2), (3, 2), (5, 1), (6, 2), (7, 7)]
 
 
+def test_names_are_hashed_in_a_task(spark, base, monkeypatch):
+    text = "".join(r["line"] + "\n" for r in lineage.canonical_gfa(base).collect())
+
+    def rows_to_driver(*_, **__):
+        raise AssertionError("the text goes through the driver")
+
+    monkeypatch.setattr(type(base.steps), "toLocalIterator", rows_to_driver)
+    wanted = hashlib.sha256(text.encode()).hexdigest()
+    for size in (3, 16_384):
+        monkeypatch.setattr(lineage, "PIECE", size)
+        assert lineage.compute_name(base) == wanted
+    assert lineage.compute_name(build(spark, {1: "A"}, [[1]])) == hashlib.sha256(b"S\t1\tA\n").hexdigest()
+    cut = lambda *at: pa.RecordBatch.from_arrays([pa.array(at), pa.array([b"%d" % i for i in at])], ["i", "text"])
+    (found,) = lineage._digest(iter([cut(1, 0), cut(4, 5, 3), cut(2)]))
+    assert found.column(0)[0].as_py() == hashlib.sha256(b"012345").hexdigest()
+    with pytest.raises(RuntimeError):
+        list(lineage._digest(iter([cut(0, 2)])))
+    assert list(lineage._digest(iter([]))) == []
+
+
 def test_counts_over_a_stream(spark, tmp_path, base):
     base.steps.repartition(3).write.parquet(str(tmp_path / "steps"))
     stream = spark.readStream.schema(base.steps.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "steps"))
