@@ -673,6 +673,28 @@ def test_names_are_hashed_in_a_task(spark, base, monkeypatch):
     assert list(lineage._digest(iter([]))) == []
 
 
+def test_pattern_search_counts_windows_as_they_are_cut(spark, monkeypatch):
+    def lookup(*_):
+        raise AssertionError("a lookup of walks")
+
+    rng = random.Random(3)
+    labels = {i: "".join(rng.choice("ACG") for _ in range(rng.randint(1, 6))) for i in range(1, 9)}
+    walks = [[rng.choice([1, 1, -1]) * rng.randint(1, 8) for _ in range(rng.randint(1, 6))] for _ in range(25)]
+    gr = build(spark, labels, walks)
+    back = lambda t: t.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    strands = walks + [[-n for n in reversed(w)] for w in walks]
+    monkeypatch.setattr(windows, "visits_of", lookup)
+    for pattern in ("AC", "CAG"):
+        made = [[-n if r else n for n, r, _ in x["nodes"]] for x in windows.nonredundant_windows(gr, len(pattern)).collect()]
+        wanted = []
+        for w in made:
+            seq = "".join(back(labels[-n]) if n < 0 else labels[n] for n in w)
+            if pattern in seq:
+                visits = sum(s[i : i + len(w)] == w for s in strands for i in range(len(s)))
+                wanted.append(("".join(f"{'<' if n < 0 else '>'}{abs(n)}" for n in w), len(w), seq, seq.index(pattern), visits))
+        assert wanted and rows(windows.pattern_search(gr, pattern)) == sorted(wanted)
+
+
 def test_counts_over_a_stream(spark, tmp_path, base):
     base.steps.repartition(3).write.parquet(str(tmp_path / "steps"))
     stream = spark.readStream.schema(base.steps.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "steps"))
